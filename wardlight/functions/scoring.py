@@ -27,6 +27,11 @@ def reference_id(timestamp: Column, key: Column) -> Column:
     return F.format_string("CP-%04d-%06d", F.year(timestamp), F.pmod(key, F.lit(1_000_000)))
 
 
+def id_number(key: Column) -> Column:
+    """A well-spread integer for a text id."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
 def priority_score(count: Column, severity_sum: Column, infra_score: Column) -> Column:
     mean = severity_sum / count
     return count * mean / F.greatest(F.coalesce(infra_score, F.lit(1.0)), F.lit(1.0))

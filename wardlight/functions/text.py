@@ -9,14 +9,14 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from wardlight import domain
 
 _WORD = r"[\p{L}\p{N}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -102,17 +102,16 @@ def keyword_hits(text: Column) -> Column:
 
 def _most_frequent(values: Column, domain_values: list[str]) -> Column:
     """Most frequent value; of equals, the one seen first."""
-    ranked = F.array(
-        *[
-            F.struct(
-                F.size(F.filter(values, lambda v, d=d: v == d)).alias("n"),
-                (-F.array_position(values, d)).alias("at"),
-                F.lit(d).alias("value"),
-            )
-            for d in domain_values
-        ]
-    )
-    return F.array_max(ranked)["value"]
+
+
+    def rank(value: str) -> Column:
+        return F.struct(
+            F.size(F.filter(values, lambda v: v == value)).alias("n"),
+            (-F.array_position(values, value)).alias("at"),
+            F.lit(value).alias("value"),
+        )
+
+    return F.array_max(F.array(*[rank(v) for v in domain_values]))["value"]
 
 
 def keyword_summary_parts(hits: Column) -> Column:

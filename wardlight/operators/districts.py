@@ -57,7 +57,7 @@ def canonicalize_districts(districts: DataFrame, catalog: DataFrame) -> DataFram
     """
     entry = F.struct("districtId", "districtName", "stateName")
     by_id = catalog.select(F.col("districtId").alias("id"), entry.alias("_by_id"))
-    by_pair = catalog.groupBy("pairKey").agg(F.max_by(entry, "districtId").alias("_by_pair"))
+    by_pair = catalog.groupBy(pair_key(F.col("stateName"), F.col("districtName")).alias("pairKey")).agg(F.max_by(entry, "districtId").alias("_by_pair"))
     keyed = districts.withColumn("pairKey", pair_key(F.col("state"), F.col("name")))
     matched = joins.lookup(joins.lookup(keyed, by_id, "id", "left"), by_pair, "pairKey", "left")
     found = F.coalesce("_by_id", "_by_pair")

@@ -20,5 +20,5 @@ def local_session(cores: int | str = 8, app: str = "wardlight", memory: str = "1
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
