@@ -183,13 +183,13 @@ def _keywords(source: str) -> str:
              CAST((length(w) - length(replace(w, t, ''))) / length(t) AS BIGINT) AS n, strpos(w, t) AS first,
              length(w) - strpos(reverse(w), reverse(t)) - length(t) + 2 AS final
       FROM words JOIN terms ON contains(w, t)),
-    per_category AS (SELECT id, category, sum(n) AS n, min((first, len)) AS at, arg_max(phrase, (final, len)) AS last FROM found GROUP BY id, category),
-    per_language AS (SELECT id, language, sum(n) AS n, min((first, len)) AS at FROM found GROUP BY id, language),
+    per_category AS (SELECT id, category, sum(n) AS n, min((first, len)) AS opened, arg_max(phrase, (final, len)) AS last FROM found GROUP BY id, category),
+    per_language AS (SELECT id, language, sum(n) AS n, min((first, len)) AS opened FROM found GROUP BY id, language),
     keyword AS (
       SELECT id, category, language, round(least(0.99::DOUBLE, 0.88::DOUBLE + (n - 1) * 0.04::DOUBLE), 6) AS confidence,
              'Citizen reported a ' || category || ' issue (' || last || ').' AS summary
-      FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, at) AS r FROM per_category) c
-      JOIN (SELECT id, language FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, at) AS r FROM per_language) WHERE r = 1) l USING (id)
+      FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, opened) AS r FROM per_category) c
+      JOIN (SELECT id, language FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, opened) AS r FROM per_language) WHERE r = 1) l USING (id)
       WHERE c.r = 1)
     """
 
