@@ -108,6 +108,9 @@ HOTSPOTS = ASSIGN + "," + DBSCAN.replace("--cte", "", 1) + f""", best AS (
       JOIN {_FIGURES.format(rows='placed')} f ON f.districtId = h.districtId)
     """
 
+# The same over reports whose district is taken as given.
+HOTSPOTS_GIVEN = "--cte placed AS (SELECT * FROM complaints)," + HOTSPOTS[len(ASSIGN) + 1:]
+
 _SEED_LISTS = "[" + ", ".join(
     "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in group) + "]" for group in SEED_SENTENCES.values()
 ) + "]"

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardlight import domain
 from wardlight.checks import oracle_text as O
-from wardlight.checks.views import load, with_views
+from wardlight.checks.views import VIEWS, load, with_views
 from wardlight.functions import display, geo, scoring, text as tx
 from wardlight.operators import aggregates, clustering, districts as dist, enrichment, nearest, store, validation
 from wardlight.operators.components import connected_components
 from wardlight.operators.rate_limit import token_bucket
 from wardlight.plans import classify, hotspots as hot, ingest, stats as st
 from wardlight.sources import seed as seeds, sinks
+from wardlight.streaming import reports as streams, stateful
+from wardlight.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -765,16 +767,19 @@ def _(spark, sf):
     )
 
 
+_STORED = [
+    "id", "userId", "status", "rawText", "detectedLanguage", "category", "classifiedBy", "severity", "districtId",
+    "lat", "lng", "source", "userCategory", "stateName", "contactPhone", "isAnonymous", "referenceId",
+]
+
+
 @query("ingest_reports", ["submissions", "catalog", "districts"], O.INGEST)
 def _(spark, sf):
     stored, _rejects = ingest.ingest_reports(
         load(spark, sf, "submissions").withColumn("photoUrls", F.lit(None).cast("array<string>")),
         load(spark, sf, "districts"), load(spark, sf, "catalog"),
     )
-    return stored.select(
-        "id", "userId", "status", "rawText", "detectedLanguage", "category", "classifiedBy", "severity", "districtId",
-        "lat", "lng", "source", "userCategory", "stateName", "contactPhone", "isAnonymous", "referenceId",
-    )
+    return stored.select(*_STORED)
 
 
 @query("hotspots_json", ["complaints", "districts"], O.HOTSPOTS + """
@@ -799,3 +804,81 @@ def _(spark, sf):
         F.get_json_object("json", "$.categories.roads").cast("long").alias("roads"),
         F.get_json_object("json", "$.countries.Unknown").cast("long").alias("unknown"),
     )
+
+
+# -- streams: the same results from a file stream over the events table ---------------
+
+
+def _stream(spark, sf, view: str) -> DataFrame:
+    """A derived view over the events table read as a stream."""
+    schema = load(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.sql(VIEWS[view], events=events)
+
+
+@query("stream_ingest", ["submissions", "catalog", "districts"], O.INGEST)
+def _(spark, sf):
+    root = Workspace(spark).root
+    rows = _stream(spark, sf, "submissions").withColumn("photoUrls", F.lit(None).cast("array<string>"))
+    streams.stream_ingest(
+        rows, load(spark, sf, "districts"), load(spark, sf, "catalog"), f"{root}/stored", f"{root}/rejects", f"{root}/log"
+    ).awaitTermination()
+    return streams.read_batches(spark, f"{root}/stored", domain.COMPLAINT).select(*_STORED)
+
+
+@query("stream_stats", ["complaints", "districts"], _stats_sql(domain.COUNTED_LANGUAGES).replace(
+    "CASE WHEN ord % 101 = 7 THEN 'noise' WHEN ord % 10 = 3 THEN 'drainage' ELSE category END AS category", "category"
+) + "SELECT * FROM stats")
+def _(spark, sf):
+    root = Workspace(spark).root
+    streams.stream_stats(
+        _stream(spark, sf, "complaints"), load(spark, sf, "districts"), f"{root}/stats", f"{root}/log"
+    ).awaitTermination()
+    return streams.latest_batch(spark, f"{root}/stats").select("dimension", "key", "n")
+
+
+@query("stream_hotspots", ["complaints", "districts"], O.HOTSPOTS_GIVEN + """
+    SELECT districtId, priorityScore, topCategory, complaintCount, avgSeverity FROM ranked ORDER BY priorityScore DESC, districtId LIMIT 5""")
+def _(spark, sf):
+    root = Workspace(spark).root
+    streams.stream_hotspots(
+        _stream(spark, sf, "complaints"), load(spark, sf, "districts"), f"{root}/stored", f"{root}/ranked",
+        f"{root}/clusters", f"{root}/log", every=None,
+    ).awaitTermination()
+    ranked = streams.latest_batch(spark, f"{root}/ranked")
+    return _rounded(
+        ranked.select("districtId", "priorityScore", "topCategory", "complaintCount", "avgSeverity"), priorityScore=9, avgSeverity=9
+    )
+
+
+@query("stream_status", ["status_events", "complaints"], """--cte ok AS (
+      SELECT complaintId, seq, updatedAt, status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note FROM status_events
+      WHERE status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
+        AND complaintId IN (SELECT id FROM complaints)),
+    d AS (SELECT complaintId, updatedAt, status, adminId, note, max(seq) AS seq FROM ok GROUP BY ALL)
+    SELECT complaintId, arg_max(status, (updatedAt, seq)) AS status, arg_max(note, (updatedAt, seq)) FILTER (WHERE note IS NOT NULL) AS adminNote,
+           epoch_us(max(updatedAt)) AS updatedUs, CAST(count(*) AS INTEGER) AS entries FROM d GROUP BY complaintId""")
+def _(spark, sf):
+    root = Workspace(spark).root
+    folded = stateful.stream_status(_stream(spark, sf, "status_events"), load(spark, sf, "complaints"))
+    # Update mode emits a row per change; the row with the most entries is the current one.
+    folded.writeStream.outputMode("update").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).foreachBatch(
+        lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/status/batch={i}")
+    ).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/status")
+    last = rows.groupBy("complaintId").agg(F.max_by(F.struct("status", "adminNote", "updatedUs", "entries"), F.struct("batch", "entries")).alias("r"))
+    return last.select("complaintId", "r.*")
+
+
+@query("stream_token_bucket", [], SQL["token_bucket"])
+def _(spark, sf):
+    root = Workspace(spark).root
+    schema = load(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    flags = stateful.stream_token_bucket(
+        events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "event_id", 3.0, _RATE
+    )
+    flags.writeStream.format("parquet").option("path", f"{root}/flags").option("checkpointLocation", f"{root}/log").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return spark.read.parquet(f"{root}/flags").select("user_id", "event_id", "allowed")
