@@ -10,7 +10,7 @@ from wardlight import domain
 from wardlight.checks import oracle_text as O
 from wardlight.checks.views import VIEWS, load, with_views
 from wardlight.functions import display, geo, scoring, text as tx
-from wardlight.operators import aggregates, clustering, districts as dist, enrichment, nearest, store, validation
+from wardlight.operators import aggregates, clustering, districts as dist, enrichment, joins, nearest, store, validation
 from wardlight.operators.components import connected_components
 from wardlight.operators.rate_limit import token_bucket
 from wardlight.plans import classify, hotspots as hot, ingest, stats as st
@@ -45,6 +45,15 @@ def _ranked_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def load_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and submissions come from one small file each but take long per row."""
+    return joins.spread(load(spark, sf, "texts"))
+
+
+def _submissions(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.spread(load(spark, sf, "submissions"))
+
+
 # -- ranking -------------------------------------------------------------------------
 
 RANK_SQL = """--cte counts AS (
@@ -423,7 +432,7 @@ def _(spark, sf):
     SELECT id, array_to_string(errors, ',') AS errors, errors[1] AS reason, text, lat, lng FROM checked""")
 def _(spark, sf):
     valid, rejects = validation.split_valid(
-        validation.validate_complaints(load(spark, sf, "submissions"), load(spark, sf, "catalog"))
+        validation.validate_complaints(_submissions(spark, sf), load(spark, sf, "catalog"))
     )
     good = valid.select("id", F.lit("").alias("errors"), F.lit(None).cast("string").alias("reason"), "text", "lat", "lng")
     return good.unionByName(
@@ -580,14 +589,14 @@ def _(spark, sf):
 
 @query("normalize_text", ["texts"], "SELECT id, md5(lower(nfc_normalize(text))) AS digest FROM texts")
 def _(spark, sf):
-    return load(spark, sf, "texts").select("id", F.md5(tx.normalize_text(F.col("text"))).alias("digest"))
+    return load_texts(spark, sf).select("id", F.md5(tx.normalize_text(F.col("text"))).alias("digest"))
 
 
 @query("text_fingerprint", ["texts"], """
     SELECT id, sha256(coalesce(language, 'auto') || chr(0) || regexp_replace(trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g')), ' +', ' ', 'g'))
                || coalesce('_' || userCategory, '') AS fingerprint FROM texts""")
 def _(spark, sf):
-    return load(spark, sf, "texts").select(
+    return load_texts(spark, sf).select(
         "id", tx.text_fingerprint(F.col("text"), F.col("language"), F.col("userCategory")).alias("fingerprint")
     )
 
@@ -595,14 +604,14 @@ def _(spark, sf):
 @query("keyword_classify", ["texts"], O.KEYWORDS + """
     SELECT t.id, k.category, k.language, k.confidence, k.summary FROM texts t LEFT JOIN keyword k USING (id)""")
 def _(spark, sf):
-    return tx.keyword_classify(load(spark, sf, "texts").select("id", "text")).select(
+    return tx.keyword_classify(load_texts(spark, sf)).select(
         "id", "keyword.category", "keyword.language", F.round("keyword.confidence", 6).alias("confidence"), "keyword.summary"
     )
 
 
 @query("detect_script", ["texts"], O.SCRIPT + "SELECT id, code, label, round(confidence, 9) AS confidence FROM script")
 def _(spark, sf):
-    s = load(spark, sf, "texts").select("id", tx.detect_script(F.col("text")).alias("s"))
+    s = load_texts(spark, sf).select("id", tx.detect_script(F.col("text")).alias("s"))
     return s.select("id", "s.code", "s.label", F.round("s.confidence", 9).alias("confidence"))
 
 
@@ -611,7 +620,7 @@ def _(spark, sf):
            CAST(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS INTEGER) AS letters FROM texts""")
 def _(spark, sf):
     text = F.col("text")
-    return load(spark, sf, "texts").select(
+    return load_texts(spark, sf).select(
         "id", F.md5(tx.strip_district_suffix(tx.normalize_admin_name(text))).alias("adminName"),
         tx.count_letters(text).alias("letters"),
     )
@@ -628,7 +637,7 @@ def _(spark, sf):
          LATERAL (SELECT CASE WHEN regexp_matches(t.text, '\\p{Cyrillic}') THEN 'ru' ELSE 'en' END AS f)""")
 def _(spark, sf):
     text, hint = F.col("text"), F.col("language")
-    rows = tx.keyword_classify(load(spark, sf, "texts")).withColumn("s", tx.detect_script(text)["code"])
+    rows = tx.keyword_classify(load_texts(spark, sf)).withColumn("s", tx.detect_script(text)["code"])
     return rows.select(
         "id", tx.first_script(text).alias("firstScript"), tx.first_script(text, hint).alias("hintedScript"),
         tx.guess_language(text, F.col("keyword.language")).alias("guess"),
@@ -640,7 +649,7 @@ def _(spark, sf):
 @query("display_texts", ["texts"], f"""
     SELECT id, {O.summary('text', 150)} AS queueSummary, {O.summary('text', 140)} AS reportSummary FROM texts""")
 def _(spark, sf):
-    return load(spark, sf, "texts").select(
+    return load_texts(spark, sf).select(
         "id", display.summarize_text(F.col("text"), 150).alias("queueSummary"),
         display.summarize_text(F.col("text"), 140).alias("reportSummary"),
     )
@@ -733,7 +742,7 @@ def _(spark, sf):
 
 def _enriched_texts(spark, sf):
     model = enrichment.sanitize_enrichment(load(spark, sf, "model_json")).select("id", "enrichment")
-    return load(spark, sf, "texts").join(model, "id", "left")
+    return load_texts(spark, sf).join(model, "id", "left")
 
 
 def _flat_classes(df):
@@ -754,7 +763,7 @@ def _(spark, sf):
 @query("classify_once_per_text", ["texts", "model_json"], O.CLASSIFY_PLAIN + _CLASSES)
 def _(spark, sf):
     # Equal fingerprints may differ in case and spacing; compare over texts in normal form.
-    rows = load(spark, sf, "texts").withColumn("text", tx.collapse_spaces(F.lower("text")))
+    rows = load_texts(spark, sf).withColumn("text", tx.collapse_spaces(F.lower("text")))
     return _flat_classes(classify.classify_once_per_text(rows))
 
 
@@ -762,7 +771,7 @@ def _(spark, sf):
     SELECT t.id, k.category, k.confidence, CASE WHEN k.category IS NOT NULL THEN 'trie' END AS classifiedBy
     FROM texts t LEFT JOIN keyword k USING (id) WHERE length(trim(t.text)) >= 15""")
 def _(spark, sf):
-    return classify.preview_category(load(spark, sf, "texts").select("id", "text")).select(
+    return classify.preview_category(load_texts(spark, sf).select("id", "text")).select(
         "id", "category", F.round("confidence", 6).alias("confidence"), "classifiedBy"
     )
 
@@ -776,7 +785,7 @@ _STORED = [
 @query("ingest_reports", ["submissions", "catalog", "districts"], O.INGEST)
 def _(spark, sf):
     stored, _rejects = ingest.ingest_reports(
-        load(spark, sf, "submissions").withColumn("photoUrls", F.lit(None).cast("array<string>")),
+        _submissions(spark, sf).withColumn("photoUrls", F.lit(None).cast("array<string>")),
         load(spark, sf, "districts"), load(spark, sf, "catalog"),
     )
     return stored.select(*_STORED)

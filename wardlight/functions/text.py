@@ -6,7 +6,7 @@ Lengths, positions and slices count code points.
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -16,6 +16,15 @@ from wardlight import domain
 _WORD = r"[\p{L}\p{N}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times.
+
+    A Column used twice is an expression evaluated twice; the one-element array holds
+    the value instead.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -43,8 +52,11 @@ def trim_spaces(text: Column) -> Column:
 
 def text_fingerprint(text: Column, hint: Column, category: Column) -> Column:
     """Hash of language hint and normalised text, with the user's category as suffix."""
-    content = F.concat(F.coalesce(hint, F.lit("auto")), F.lit("\0"), collapse_spaces(normalize_text(text)))
-    return F.concat(F.sha2(content, 256), F.coalesce(F.concat(F.lit("_"), category), F.lit("")))
+    words = F.coalesce(collapse_spaces(normalize_text(text)), F.lit("\0"))
+    digest = F.sha2(F.concat(F.coalesce(hint, F.lit("auto")), F.lit("\0"), words), 256)
+    # Never null, and known not to be: otherwise a join on it filters for null, and
+    # that filter computes the whole fingerprint a second time.
+    return F.coalesce(F.concat(digest, F.coalesce(F.concat(F.lit("_"), category), F.lit(""))), F.lit(""))
 
 
 # -- keywords ------------------------------------------------------------------------
@@ -79,23 +91,18 @@ KEYWORD_PATTERN = (
 )
 
 
+#: The table as one SQL map: a few hundred literals are slow to build one Column at a time.
+_KEYWORD_MAP = "map({})".format(
+    ", ".join(
+        f"'{folded}', array({', '.join(f"struct('{p}' AS phrase, '{c}' AS category, '{g}' AS language)" for p, c, g in hits)})"
+        for folded, hits in _KEYWORDS.items()
+    )
+)
+
+
 def keyword_hits(text: Column) -> Column:
     """All dictionary hits in text order, as array<struct<phrase, category, language>>."""
-    entry = F.create_map(
-        *[
-            column
-            for folded, hits in _KEYWORDS.items()
-            for column in (
-                F.lit(folded),
-                F.array(
-                    *[
-                        F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(g).alias("language"))
-                        for p, c, g in hits
-                    ]
-                ),
-            )
-        ]
-    )
+    entry = F.expr(_KEYWORD_MAP)
     found = F.regexp_extract_all(normalize_text(text), F.lit(KEYWORD_PATTERN), F.lit(1))
     return F.flatten(F.transform(found, lambda phrase: entry[phrase]))
 
@@ -116,22 +123,25 @@ def _most_frequent(values: Column, domain_values: list[str]) -> Column:
 
 def keyword_summary_parts(hits: Column) -> Column:
     """struct<category, language, confidence, summary> of a hit array, or null without hits."""
-    categories = F.transform(hits, lambda h: h["category"])
-    languages = F.transform(hits, lambda h: h["language"])
-    category = _most_frequent(categories, sorted({c for _, c, _ in domain.KEYWORDS}))
-    language = _most_frequent(languages, sorted({g for _, _, g in domain.KEYWORDS}))
-    own = F.filter(hits, lambda h: h["category"] == category)
-    confidence = F.least(F.lit(0.99), F.lit(0.88) + (F.size(own) - 1) * F.lit(0.04))
-    summary = F.concat(
-        F.lit("Citizen reported a "), category, F.lit(" issue ("), F.element_at(own, -1)["phrase"], F.lit(").")
-    )
-    return F.when(
-        F.size(hits) > 0,
-        F.struct(
-            category.alias("category"), language.alias("language"),
-            confidence.alias("confidence"), summary.alias("summary"),
-        ),
-    )
+    category = _most_frequent(F.transform(hits, lambda h: h["category"]), sorted({c for _, c, _ in domain.KEYWORDS}))
+    language = _most_frequent(F.transform(hits, lambda h: h["language"]), sorted({g for _, _, g in domain.KEYWORDS}))
+
+    def describe(winner: Column) -> Column:
+        own = F.filter(hits, lambda h: h["category"] == winner["category"])
+        return let(
+            own,
+            lambda mine: F.struct(
+                winner["category"].alias("category"), winner["language"].alias("language"),
+                F.least(F.lit(0.99), F.lit(0.88) + (F.size(mine) - 1) * F.lit(0.04)).alias("confidence"),
+                F.concat(
+                    F.lit("Citizen reported a "), winner["category"], F.lit(" issue ("),
+                    F.element_at(mine, -1)["phrase"], F.lit(")."),
+                ).alias("summary"),
+            ),
+        )
+
+    winners = F.struct(category.alias("category"), language.alias("language"))
+    return F.when(F.size(hits) > 0, let(winners, describe))
 
 
 def keyword_classify(df, text: str = "text", into: str = "keyword"):
@@ -152,40 +162,53 @@ def count_letters(text: Column) -> Column:
 
 def detect_script(text: Column) -> Column:
     """struct<code, label, confidence>: the majority script, or Hindi in Latin letters."""
-    letter = {code: rf"[\p{{L}}&&[{block}]]" for block, code, _ in domain.SCRIPT_BLOCKS}
-    count = {code: F.regexp_count(text, F.lit(pattern)) for code, pattern in letter.items()}
+    # Most texts hold no Indic character and need one scan for letters instead of ten.
+    indic = let(F.array(*[_script_count(text, block, code) for block, code, _ in domain.SCRIPT_BLOCKS]), _majority)
+    latin = F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))
+    plain = F.struct(latin.alias("n"), F.lit("en").alias("code"), latin.alias("letters"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+
+    def romanised(words: Column) -> Column:
+        hits = F.filter(words, lambda w: w.isin(domain.ROMANISED_HINDI))
+        return F.struct(F.size(words).alias("tokens"), F.size(hits).alias("hits"))
+
+    def decide(best: Column) -> Column:
+        return F.when(best["letters"] == 0, _detected(F.lit("en"), F.lit(0.0))).when(
+            best["code"] == "en", let(let(tokens, romanised), lambda t: _latin_or_hindi(best, t))
+        ).otherwise(_detected(best["code"], best["n"] / best["letters"]))
+
+    return let(F.when(text.rlike(r"[ऀ-ൿ]"), indic).otherwise(plain), decide)
+
+
+def _script_count(text: Column, block: str, code: str) -> Column:
+    letter = F.lit(rf"[\p{{L}}&&[{block}]]")
     # Of equal counts the script seen first wins.
-    ranked = F.array(
-        *[
-            F.struct(
-                count[code].alias("n"),
-                (-F.regexp_instr(text, F.lit(letter[code]))).alias("at"),
-                F.lit(code).alias("code"),
-            )
-            for code in letter
-        ]
+    return F.struct(
+        F.regexp_count(text, letter).alias("n"), (-F.regexp_instr(text, letter)).alias("at"), F.lit(code).alias("code")
     )
-    latin_only = F.struct(count["en"].alias("n"), F.lit(0).alias("at"), F.lit("en").alias("code"))
-    # Most texts hold no Indic character at all and skip nine of the ten scans.
-    indic = text.rlike(r"[ऀ-ൿ]")
-    best = F.when(indic, F.array_max(ranked)).otherwise(latin_only)
-    letters = F.when(indic, reduce(lambda a, b: a + b, count.values())).otherwise(count["en"])
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
-    hindi = F.size(F.filter(tokens, lambda t: t.isin(domain.ROMANISED_HINDI)))
-    needed = F.greatest(F.lit(2), F.ceil(F.size(tokens) * F.lit(0.25)))
-    code = F.when(letters == 0, "en").otherwise(best["code"])
-    romanised = (code == "en") & (letters > 0) & (hindi >= needed)
-    final = F.when(romanised, "hi-Latn").otherwise(code)
-    confidence = (
-        F.when(letters == 0, F.lit(0.0))
-        .when(romanised, hindi / F.size(tokens))
-        .otherwise(best["n"] / letters)
+
+
+def _majority(counts: Column) -> Column:
+    return let(
+        F.array_max(counts),
+        lambda top: F.struct(
+            top["n"].alias("n"), top["code"].alias("code"),
+            F.aggregate(counts, F.lit(0), lambda total, c: total + c["n"]).alias("letters"),
+        ),
     )
-    return F.struct(
-        final.alias("code"), label(final, domain.SCRIPT_LABELS).alias("label"), confidence.alias("confidence")
+
+
+def _latin_or_hindi(best: Column, tokens: Column) -> Column:
+    needed = F.greatest(F.lit(2), F.ceil(tokens["tokens"] * F.lit(0.25)))
+    return F.when(tokens["hits"] >= needed, _detected(F.lit("hi-Latn"), tokens["hits"] / tokens["tokens"])).otherwise(
+        _detected(F.lit("en"), best["n"] / best["letters"])
     )
 
 
+def _detected(code: Column, confidence: Column) -> Column:
+    return F.struct(code.alias("code"), label(code, domain.SCRIPT_LABELS).alias("label"), confidence.alias("confidence"))
+
+
 def first_script(text: Column, hint: Column | None = None) -> Column:
     """The hint if given, else the language of the first known script present, else English."""
     found = F
@@ -241,7 +264,5 @@ def strip_district_suffix(name: Column) -> Column:
 
 def label(value: Column, labels: dict[str, str]) -> Column:
     """Map a value to its display label; unknown values give null."""
-    chain = F
-    for key, text in labels.items():
-        chain = chain.when(value == key, text)
-    return chain.otherwise(F.lit(None).cast("string"))
+    pairs = ", ".join(f"'{key}', '{text}'" for key, text in labels.items())
+    return F.element_at(F.expr(f"map({pairs})"), value)

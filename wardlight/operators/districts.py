@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardlight import domain
 from wardlight.functions.text import label, normalize_admin_name, strip_district_suffix
 from wardlight.operators import joins
-from wardlight.operators.nearest import nearest_district
+from wardlight.operators.nearest import attach_nearest
 from wardlight.workspace import Workspace
 
 
@@ -129,10 +129,9 @@ def assign_district(
     matched = joins.lookup(reports, dim.withColumn("_known", F.lit(True)), "districtId", "left")
     explicit = matched.filter("_known").withColumn("stateName", F.col("_state")).drop("_known", "_state")
     rest = matched.filter("_known IS NULL").drop("_known", "_state")
-    near = nearest_district(rest.select("id", "lat", "lng"), districts, "id", workspace).select(
-        "id", F.col("districtId").alias("_near"), F.col("state").alias("_state")
+    placed = attach_nearest(rest, districts, workspace).withColumns(
+        {"districtId": F.col("best.id"), "stateName": F.col("best.state")}
     )
-    placed = rest.join(near, "id").withColumns({"districtId": F.col("_near"), "stateName": F.col("_state")})
     columns = [*reports.columns, *([] if "stateName" in reports.columns else ["stateName"])]
     return explicit.select(*columns).unionByName(placed.select(*columns))
 

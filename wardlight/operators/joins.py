@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: A table with at most this many rows may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -23,6 +21,16 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row work on a scan of fewer partitions than there are cores.
+
+    For a table read directly from files; counting the partitions of a frame behind a
+    shuffle would run the shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(
     left: DataFrame,
     dim: DataFrame,
@@ -50,11 +58,6 @@ def lookup(
     return cold_part.unionByName(hot_part)
 
 
-def lookup_streaming(left: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """Stream-static lookup; Spark broadcasts ``dim`` only below its own size threshold."""
-    return left.join(dim, on, how)
-
-
 def join_group_rows(
     requests: DataFrame,
     rows: DataFrame,
@@ -82,7 +85,3 @@ def join_group_rows(
         .drop("_hot")
     )
     return asked.join(held, keys + ["_part"]).drop("_part")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

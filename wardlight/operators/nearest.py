@@ -76,8 +76,8 @@ def nearest_district(
     Ties go to the lowest district id.  Returns ``<point_id>, districtId, districtName,
     state, districtLat, districtLng, distanceMeters``.
     """
-    found = _search(points, districts, point_id, SPHERE, "id", workspace)
-    metres = geo.haversine_sql("_plat", "_plng", "best.lat", "best.lng")
+    found = attach_nearest(points.select(point_id, "lat", "lng"), districts, workspace)
+    metres = geo.haversine_sql("lat", "lng", "best.lat", "best.lng")
     return found.selectExpr(
         point_id, "best.id AS districtId", "best.name AS districtName", "best.state AS state",
         "best.lat AS districtLat", "best.lng AS districtLng", f"{metres} AS distanceMeters",
@@ -92,14 +92,22 @@ def nearest_district_planar(
     Ties go to the lowest ``ord`` of ``districts``.  Returns ``<point_id>, districtId,
     districtName, country, infraScore``.
     """
-    found = _search(points, districts, point_id, PLANE, "ord", workspace)
+    found = attach_nearest(points.select(point_id, "lat", "lng"), districts, workspace, PLANE, "ord")
     return found.selectExpr(
         point_id, "best.id AS districtId", "best.name AS districtName",
         "best.country AS country", "best.infraScore AS infraScore",
     )
 
 
-def _search(points, districts, point_id, metric: Metric, tie: str, workspace) -> DataFrame:
+def attach_nearest(
+    points: DataFrame, districts: DataFrame, workspace: Workspace | None = None,
+    metric: Metric = SPHERE, tie: str = "id",
+) -> DataFrame:
+    """All columns of ``points`` and ``best``, a struct of the nearest district's columns.
+
+    ``points`` is read twice: for the cells it occupies and for the answer.  Its rows
+    are only shuffled if the table of occupied cells is too large to broadcast.
+    """
     spark = points.sparkSession
     ws = workspace or Workspace(spark)
     n = len(metric.axes("lat", "lng"))
@@ -115,7 +123,8 @@ def _search(points, districts, point_id, metric: Metric, tie: str, workspace) ->
         raise ValueError("nearest district search needs at least one district")
 
     axes = metric.axes("_plat", "_plng")
-    rows = points.selectExpr(point_id, "CAST(lat AS DOUBLE) AS _plat", "CAST(lng AS DOUBLE) AS _plng")
+    columns = points.columns
+    rows = points.selectExpr("*", "CAST(lat AS DOUBLE) AS _plat", "CAST(lng AS DOUBLE) AS _plng")
     # Few districts: one level of some thousand cells.  Many: several levels down to
     # cells that are small against the spacing of districts.
     levels = [4] if size <= SHORT_LIST else list(range(size.bit_length() // 2 + 3, 1, -STEP))[::-1]
@@ -128,14 +137,14 @@ def _search(points, districts, point_id, metric: Metric, tie: str, workspace) ->
         listed = ws.write(listed, "lists")
         # A list can only be too long if there are that many districts at all.
         if size <= SHORT_LIST or level >= DEEPEST:
-            answers.append(_pick(placed, listed, grid, metric, tie, point_id))
+            answers.append(_pick(placed, listed, grid, metric, tie, columns))
             break
         long = listed.filter(F.size("list") > SHORT_LIST)
-        answers.append(_pick(placed, listed.filter(F.size("list") <= SHORT_LIST), grid, metric, tie, point_id))
+        answers.append(_pick(placed, listed.filter(F.size("list") <= SHORT_LIST), grid, metric, tie, columns))
         if not joins.has_rows(long):
             break
         rows = ws.write(
-            joins.lookup(placed, long.select(*grid), grid).select(point_id, "_plat", "_plng"), "crowded"
+            joins.lookup(placed, long.select(*grid), grid).select(*columns, "_plat", "_plng"), "crowded"
         )
         parents = long.select(*grid, F.inline("list"))
         deeper = min(level + STEP, DEEPEST)
@@ -192,10 +201,10 @@ def _narrow(boxes, parents, metric, n, level, bits) -> DataFrame:
     return kept.groupBy(*grid).agg(F.collect_list(entry).alias("list"))
 
 
-def _pick(placed, listed, grid, metric, tie, point_id) -> DataFrame:
+def _pick(placed, listed, grid, metric, tie, columns) -> DataFrame:
     """Compare a point with its cell's list inside the row."""
     cost = metric.cost("_plat", "_plng", "c.district.lat", "c.district.lng")
     return joins.lookup(placed, listed, grid).selectExpr(
-        point_id, "_plat", "_plng",
+        *columns,
         f"array_min(transform(list, c -> struct({cost} AS cost, c.district.{tie} AS tie, c.district AS best))).best AS best",
     )

@@ -20,13 +20,16 @@ def ingest_reports(
     ``submissions`` has the columns of ``validate_complaints`` plus ``id, userId,
     timestamp, isAnonymous, photoUrls`` and, if there is model output, ``enrichment``.
     """
-    valid, rejects = split_valid(validate_complaints(submissions, catalog))
-    return finish_reports(valid, districts, workspace), rejects
+    ws = workspace or Workspace(submissions.sparkSession)
+    # Read several times below: validate once.
+    checked = ws.write(validate_complaints(submissions, catalog), "checked")
+    valid, rejects = split_valid(checked)
+    return finish_reports(valid, districts, ws), rejects
 
 
 def finish_reports(valid: DataFrame, districts: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """Classify, place, score and shape rows that passed validation."""
-    placed = assign_district(classify_reports(valid), districts, workspace)
+    placed = classify_reports(assign_district(valid, districts, workspace))
     c = F.col("classification")
     scored = scoring.mask_anonymous(
         placed.withColumns(

@@ -43,10 +43,8 @@ def stream_ingest(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # The district search reads its input more than once: take the batch from files.
         ws = Workspace(batch.sparkSession)
-        arrived = ws.write(batch, "arrived")
-        stored, rejects = ingest_reports(arrived, districts, catalog, ws)
+        stored, rejects = ingest_reports(batch, districts, catalog, ws)
         _write_batch(stored, stored_path, batch_id)
         _write_batch(rejects, rejects_path, batch_id)
         ws.close()
