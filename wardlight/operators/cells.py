@@ -123,9 +123,11 @@ def near_by_chord(radius_m: float) -> Callable[[str, str], str]:
     return lambda a, b: geo.chord_sq_sql(f"{a}_lat", f"{a}_lng", f"{b}_lat", f"{b}_lng") + f" <= {limit!r}D"
 
 
-def neighbour_pairs(grid: Grid, left: DataFrame, right: DataFrame) -> DataFrame:
+def neighbour_pairs(grid: Grid, left: DataFrame, right: DataFrame, only: str = "true") -> DataFrame:
     """Pairs of rows in different cells whose boxes come within the radius.
 
+    ``only`` is a cheap condition on the pair, checked before the boxes.
+
     Rows meet in blocks of cells: the left side lies in its own block, the right side
     is copied to the one or two blocks per axis that its reach touches.  A block holds
     a bounded number of cells, so blocks cannot be skewed by dense places.
@@ -145,7 +147,7 @@ def neighbour_pairs(grid: Grid, left: DataFrame, right: DataFrame) -> DataFrame:
     return (
         lhs.repartition(*grid.keys, *blocks)
         .join(rhs, grid.keys + blocks)
-        .filter(f"{close} AND NOT ({same}) AND {grid.possible('a', 'b')}")
+        .filter(f"({only}) AND {close} AND NOT ({same}) AND {grid.possible('a', 'b')}")
         .drop(*blocks)
     )
 
@@ -157,8 +159,11 @@ def linked_cells(grid: Grid, points: DataFrame, cells: DataFrame, ws: Workspace)
     large ones are split into quarter cells until the boxes decide.
     """
     slim = cells.drop("sum_lat", "sum_lng")
-    pairs = neighbour_pairs(grid, slim, slim).filter("a_node < b_node")
-    pairs = ws.write(pairs.selectExpr("*", grid.verdict("a", "b") + " AS near"), "cellpairs")
+    pairs = neighbour_pairs(grid, slim, slim, "a_node < b_node").selectExpr(
+        *grid.keys, "a_node", "b_node", "a_n", "b_n", *[f"{s}_{c}" for s in "ab" for c in CELL],
+        grid.verdict("a", "b") + " AS near",
+    )
+    pairs = ws.write(pairs, "cellpairs")
     edges = pairs.filter("near").select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
 
     undecided = pairs.filter("near is null")
