@@ -563,6 +563,28 @@ def _(spark, sf):
     return folded.withColumns({"history": F.array_join(line, "|"), "updatedAt": F.col("updatedAt").cast("timestamp_ntz")})
 
 
+_EVENTS_SQL = """--cte ok AS (
+      SELECT complaintId, seq, updatedAt, status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note FROM status_events
+      WHERE status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
+        AND complaintId IN (SELECT id FROM complaints)),
+    d AS (SELECT complaintId, updatedAt, status, adminId, note, max(seq) AS seq FROM ok GROUP BY ALL)
+    """
+
+
+@query("status_history", ["status_events", "complaints"], _EVENTS_SQL + "SELECT * FROM d")
+def _(spark, sf):
+    history = store.status_history(load(spark, sf, "status_events"), load(spark, sf, "complaints"))
+    return history.withColumn("updatedAt", F.col("updatedAt").cast("timestamp_ntz"))
+
+
+@query("current_status", ["status_events", "complaints"], _EVENTS_SQL + """
+    SELECT complaintId, arg_max(status, (updatedAt, seq)) AS status, arg_max(note, (updatedAt, seq)) FILTER (WHERE note IS NOT NULL) AS adminNote,
+           max(updatedAt) AS updatedAt, count(*) AS entries FROM d GROUP BY complaintId""")
+def _(spark, sf):
+    history = store.status_history(load(spark, sf, "status_events"), load(spark, sf, "complaints"))
+    return store.current_status(history).withColumn("updatedAt", F.col("updatedAt").cast("timestamp_ntz"))
+
+
 _RATE = 1 / 8192
 
 

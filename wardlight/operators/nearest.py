@@ -129,26 +129,27 @@ def attach_nearest(
     # cells that are small against the spacing of districts.
     levels = [4] if size <= SHORT_LIST else list(range(size.bit_length() // 2 + 3, 1, -STEP))[::-1]
     level = levels[-1]
-    listed = _first_list(rows, places, metric, n, levels)
+    candidates = _first_candidates(rows, places, metric, n, levels)
+    grid = [f"g{i}" for i in range(n)]
     answers = []
     while True:
-        grid = [f"g{i}" for i in range(n)]
         placed = rows.selectExpr("*", *[f"{_index(a, level)} AS {g}" for a, g in zip(axes, grid)])
-        listed = ws.write(listed, "lists")
+        candidates = ws.write(candidates, "candidates")
         # A list can only be too long if there are that many districts at all.
         if size <= SHORT_LIST or level >= DEEPEST:
-            answers.append(_pick(placed, listed, grid, metric, tie, columns))
-            break
-        long = listed.filter(F.size("list") > SHORT_LIST)
-        answers.append(_pick(placed, listed.filter(F.size("list") <= SHORT_LIST), grid, metric, tie, columns))
-        if not joins.has_rows(long):
+            answers.append(_pick(placed, candidates, grid, metric, tie, columns))
             break
-        rows = ws.write(
-            joins.lookup(placed, long.select(*grid), grid).select(*columns, "_plat", "_plng"), "crowded"
+        crowded = candidates.groupBy(*grid).count().filter(F.col("count") > SHORT_LIST).select(*grid)
+        answers.append(
+            _pick(placed, candidates.join(crowded, grid, "left_anti"), grid, metric, tie, columns)
         )
-        parents = long.select(*grid, F.inline("list"))
+        if not joins.has_rows(crowded):
+            break
+        rows = ws.write(joins.lookup(placed, crowded, grid).select(*columns, "_plat", "_plng"), "crowded")
         deeper = min(level + STEP, DEEPEST)
-        listed = _narrow(_boxes(rows, metric, n, deeper), parents, metric, n, deeper, deeper - level)
+        candidates = _narrow(
+            _boxes(rows, metric, n, deeper), candidates.join(crowded, grid, "left_semi"), metric, n, deeper - level
+        )
         level = deeper
     result = answers[0]
     for more in answers[1:]:
@@ -168,8 +169,8 @@ def _boxes(rows: DataFrame, metric: Metric, n: int, level: int) -> DataFrame:
     return placed.groupBy(*[f"g{i}" for i in range(n)]).agg(*box)
 
 
-def _first_list(rows, places, metric, n, levels) -> DataFrame:
-    """Candidate lists at the last level, narrowed from a first one whose few cells take every district."""
+def _first_candidates(rows, places, metric, n, levels) -> DataFrame:
+    """Candidates at the last level, narrowed from a first one whose few cells take every district."""
     level = levels[-1]
     boxes = {level: _boxes(rows, metric, n, level)}
     for fine, coarse in zip(levels[::-1], levels[::-1][1:]):
@@ -180,31 +181,31 @@ def _first_list(rows, places, metric, n, levels) -> DataFrame:
     for i in range(n):
         # All cells of a level between 2 and 4, a fixed number.
         start = start.selectExpr("*", f"explode(sequence(0L, {2 ** levels[0]}L)) AS g{i}")
-    listed = _narrow(boxes[levels[0]], start, metric, n, levels[0], 0)
-    for finer in levels[1:]:
-        listed = _narrow(boxes[finer], listed.select(*[f"g{i}" for i in range(n)], F.inline("list")), metric, n, finer, STEP)
-    return listed
+    candidates = _narrow(boxes[levels[0]], start, metric, n, 0)
+    for coarse, finer in zip(levels, levels[1:]):
+        candidates = _narrow(boxes[finer], candidates, metric, n, finer - coarse)
+    return candidates
 
 
-def _narrow(boxes, parents, metric, n, level, bits) -> DataFrame:
-    """Give each cell the districts of its parent that may be nearest to one of its points."""
+def _narrow(boxes, parents, metric, n, bits) -> DataFrame:
+    """Rows (cell, district) of the parent's districts that may be nearest to a point of the cell."""
     grid = [f"g{i}" for i in range(n)]
-    ups = parents.select(*[F.col(g).alias(f"u{g}") for g in grid], "district", *[f"d{i}" for i in range(n)])
+    axes = [f"d{i}" for i in range(n)]
+    ups = parents.select(*[F.col(g).alias(f"u{g}") for g in grid], "district", *axes)
     inner = boxes.selectExpr("*", *[f"shiftright({g}, {bits}) AS u{g}" for g in grid])
     pairs = inner.join(ups, [f"u{g}" for g in grid]).selectExpr(
-        *grid, "district", *[f"d{i}" for i in range(n)],
-        f"{metric.lower(n)} AS low", f"{metric.upper(n)} AS high",
+        *grid, "district", *axes, f"{metric.lower(n)} AS low", f"{metric.upper(n)} AS high",
     )
     best = pairs.groupBy(*grid).agg(F.min("high").alias("bound"))
     kept = pairs.join(best, grid).filter("low <= bound * (1D + 1e-9D) + 1e-18D")
-    entry = F.struct("district", *[f"d{i}" for i in range(n)])
-    return kept.groupBy(*grid).agg(F.collect_list(entry).alias("list"))
+    return kept.select(*grid, "district", *axes)
 
 
-def _pick(placed, listed, grid, metric, tie, columns) -> DataFrame:
-    """Compare a point with its cell's list inside the row."""
-    cost = metric.cost("_plat", "_plng", "c.district.lat", "c.district.lng")
+def _pick(placed, candidates, grid, metric, tie, columns) -> DataFrame:
+    """Compare a point with its cell's short list inside the row."""
+    listed = candidates.groupBy(*grid).agg(F.collect_list("district").alias("list"))
+    cost = metric.cost("_plat", "_plng", "c.lat", "c.lng")
     return joins.lookup(placed, listed, grid).selectExpr(
         *columns,
-        f"array_min(transform(list, c -> struct({cost} AS cost, c.district.{tie} AS tie, c.district AS best))).best AS best",
+        f"array_min(transform(list, c -> struct({cost} AS cost, c.{tie} AS tie, c AS best))).best AS best",
     )

@@ -106,21 +106,40 @@ def clean_status_events(events: DataFrame) -> DataFrame:
     ).withColumn("note", F.when(note != "", note))
 
 
-def fold_status_events(events: DataFrame, complaints: DataFrame) -> DataFrame:
-    """Current status, last note, time of the last change and distinct history per known report.
+def status_history(events: DataFrame, complaints: DataFrame) -> DataFrame:
+    """Distinct history entries of known reports, one row each, ordered by ``updatedAt, seq``.
 
-    ``events`` has ``complaintId, seq, updatedAt, status, adminId, note``; equal history
-    entries collapse.  Unknown ids are dropped.
+    Equal entries collapse to the last ``seq``; unknown ids are dropped.  ``events`` has
+    ``complaintId, seq, updatedAt, status, adminId, note``.
     """
-    known = clean_status_events(events).join(
-        complaints.select(F.col("id").alias("complaintId")), "complaintId", "left_semi"
+    distinct = clean_status_events(events).groupBy("complaintId", "updatedAt", "status", "adminId", "note").agg(
+        F.max("seq").alias("seq")
     )
+    return distinct.join(complaints.select(F.col("id").alias("complaintId")), "complaintId", "left_semi")
+
+
+def current_status(history: DataFrame) -> DataFrame:
+    """Status, last note, time of the last change and number of entries per report.
+
+    Only running maxima are kept per report, however long its history is.
+    """
     order = F.struct("updatedAt", "seq")
-    # Distinct entries first (partially aggregated), so repeated events do not pile up.
-    entries = known.groupBy("complaintId", "updatedAt", "status", "adminId", "note").agg(F.max("seq").alias("seq"))
-    return entries.groupBy("complaintId").agg(
+    return history.groupBy("complaintId").agg(
         F.max_by("status", order).alias("status"),
         F.max_by("note", F.when(F.col("note").isNotNull(), order)).alias("adminNote"),
         F.max("updatedAt").alias("updatedAt"),
-        F.array_sort(F.collect_list(F.struct("updatedAt", "seq", "status", "adminId", "note"))).alias("history"),
+        F.count("*").alias("entries"),
+    )
+
+
+def fold_status_events(events: DataFrame, complaints: DataFrame) -> DataFrame:
+    """Report documents: the current status with the whole history as one ordered array.
+
+    A document must fit in a row; use :func:`status_history` and :func:`current_status`
+    where a report may have collected more events than that.
+    """
+    history = status_history(events, complaints)
+    arrays = history.groupBy("complaintId").agg(
+        F.array_sort(F.collect_list(F.struct("updatedAt", "seq", "status", "adminId", "note"))).alias("history")
     )
+    return current_status(history).drop("entries").join(arrays, "complaintId")
