@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from wardlight.operators import joins
 from wardlight.workspace import Workspace
 
+#: A graph with at most this many links takes two rounds per job.
+SMALL_GRAPH = 50_000
+
 
 def connected_components(
     nodes: DataFrame,
@@ -29,18 +32,24 @@ def connected_components(
     ws = workspace or Workspace(nodes.sparkSession)
     links = ws.write(_undirected(edges.select("src", "dst")), "links")
     lows = [nodes.selectExpr("node", "node AS low").distinct()]
-    maps: list[DataFrame] = []
+    maps: list[tuple[DataFrame, _Attach]] = []
     while (size := links.count()) > 0:
         # Only a graph with more links than ``hot_rows`` can have a hot node.
         attach = _Attach(hot_rows if size > hot_rows else None)
-        step = ws.write(_hook(links, lows[-1], len(maps), attach), "hook")
+        moves = _hook(links, 2 * len(maps), attach)
+        if size <= SMALL_GRAPH:
+            # Starting a job costs more than the work left in it: two rounds in one.
+            further = _hook(_contract(links, moves, attach), 2 * len(maps) + 1, attach)
+            moves = moves.join(further.toDF("parent", "further"), "parent", "left").selectExpr(
+                "node", "coalesce(further, parent) AS parent"
+            )
+        step = ws.write(moves.join(lows[-1], "node"), "hook")
         links = ws.write(_contract(links, step, attach), "links")
-        maps.append(step)
+        maps.append((step, attach))
         lows.append(step.groupBy("parent").agg(F.min("low").alias("low")).withColumnRenamed("parent", "node"))
 
     labels = lows.pop().selectExpr("node", "low AS label")
-    for step in reversed(maps):
-        attach = _Attach(hot_rows if step.count() > hot_rows else None)
+    for step, attach in reversed(maps):
         deep = attach(step.select("node", "parent"), labels.toDF("parent", "deep"), "parent").select("node", "deep")
         labels = lows.pop().join(deep, "node", "left").selectExpr("node", "coalesce(deep, low) AS label")
     return ws.write(labels, "labels")
@@ -62,7 +71,7 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").selectExpr("least(src, dst) AS src", "greatest(src, dst) AS dst").distinct()
 
 
-def _hook(links: DataFrame, lows: DataFrame, round_no: int, attach: _Attach) -> DataFrame:
+def _hook(links: DataFrame, round_no: int, attach: _Attach) -> DataFrame:
     """Map every linked node two steps towards smaller priorities."""
 
     def priority(name: str) -> str:
@@ -72,8 +81,7 @@ def _hook(links: DataFrame, lows: DataFrame, round_no: int, attach: _Attach) ->
     first = both.groupBy("node").agg(F.expr(f"min({priority('other')})").alias("best")).selectExpr(
         "node", f"least(best, {priority('node')}).n AS parent"
     )
-    second = attach(first, first.toDF("parent", "above"), "parent").selectExpr("node", "above AS parent")
-    return second.join(lows, "node")
+    return attach(first, first.toDF("parent", "above"), "parent").selectExpr("node", "above AS parent")
 
 
 def _contract(links: DataFrame, step: DataFrame, attach: _Attach) -> DataFrame:
