@@ -28,7 +28,7 @@ def stats_from_counts(counts: DataFrame, districts: DataFrame, count_all_languag
     counted = domain.LANGUAGES if count_all_languages else domain.COUNTED_LANGUAGES
 
     def filled(dimension: str, column: str, keys: list[str], counted_keys: list[str]) -> DataFrame:
-        keys_df = spark.createDataFrame([(k,) for k in keys], "key string")
+        keys_df = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
         seen = counts.filter(F.col(column).isin(counted_keys)).groupBy(F.col(column).alias("key")).agg(F.sum("n").alias("n"))
         return keys_df.join(seen, "key", "left").select(F.lit(dimension).alias("dimension"), "key", F.coalesce("n", F.lit(0)).alias("n"))
 
