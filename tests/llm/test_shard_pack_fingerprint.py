@@ -135,7 +135,7 @@ def test_word_ids_are_text_ids(text):
     whole = Tokenizer.from_file(path) if not hasattr(test_word_ids_are_text_ids, "t") else test_word_ids_are_text_ids.t
     test_word_ids_are_text_ids.t = whole
     want = whole.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.word_tokenizer(path).ids(text), "<u4").tolist() == want
+    assert np.frombuffer(packing.word_tokenizer(path).ids(text.encode()), "<u4").tolist() == want
 
 
 def test_fingerprints_of_documents(spark, sf_dir):

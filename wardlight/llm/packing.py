@@ -10,6 +10,8 @@ a time.  The pieces then look up their place by their rank among pieces of their
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +29,11 @@ END_ID = 0
 #: Width of the bins of the fitted patterns, as a part of the limit.
 BINS = 64
 #: Words whose ids a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+#: Words of letters that are tokenised as one text.
+JOINED = 256
+#: Parts that the tokenizer splits between and treats apart.
+_LETTERS_THEN_SIGNS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -35,8 +41,9 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     """Ids of whole texts, tokenised word by word with a bounded memory of words.
 
-    For tokenizers that drop white space and never look across it, the ids of a text are
-    those of its space-separated parts, so a word seen before costs one look-up.
+    For tokenizers that lower case, drop white space, never look across it and split
+    letters from punctuation, the ids of a text are those of its space-separated parts,
+    so a word seen before costs one look-up.
     """
 
     def __init__(self, path: str):
@@ -44,22 +51,62 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._known: dict[bytes, bytes] = {b"": b""}
+
+    def ids(self, text: bytes) -> bytes:
+        """The ids of UTF-8 bytes, as little-endian unsigned 32-bit numbers."""
+        # A combining mark may compose with a small letter only, and a special token is
+        # spelled in small letters: such texts keep their capitals.
+        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
+            text = text.lower()
+        words = text.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" ")
         known = self._known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                new = list(set(words) - {""})
-            for word, found in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.asarray(found.ids, "<u4").tobytes()
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            self._learn(set(words))
         return b"".join([known[w] for w in words])
 
+    def _learn(self, words: set[bytes]) -> None:
+        known = self._known
+        new = words.difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            known[b""] = b""
+            new = words.difference(known)
+        split = {w: m.groups() for w in new if (m := _LETTERS_THEN_SIGNS.fullmatch(w))}
+        missing = list({part for w in new for part in split.get(w, (w,))}.difference(known))
+        texts = [w.decode() for w in missing]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        for k in range(0, len(plain), JOINED):
+            self._learn_plain([missing[i] for i in plain[k : k + JOINED]], [texts[i] for i in plain[k : k + JOINED]])
+        self._learn_each([w for w in missing if w not in known])
+        for w, (letters, signs) in split.items():
+            known[w] = known[letters] + known[signs]
+
+
+    def _learn_plain(self, words: list[bytes], texts: list[str]) -> None:
+        """Tokenise words of letters together; each ends with the only token that ends a word."""
+        ids = np.array(self._tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._learn_each(words)
+        data, begin = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self._known[word] = data[begin:end]
+            begin = end
+
+    def _learn_each(self, words: list[bytes]) -> None:
+        found = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self._known.update(zip(words, (_as_bytes(e.ids) for e in found)))
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
@@ -86,8 +133,8 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, limit: int = LIMI
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = tokens.ids(text.as_py() or "") + end
+            for doc, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.large_binary())):
+                ids = tokens.ids(text.as_py() or b"") + end
                 doc = doc.as_py()
                 for i in range(0, len(ids), 4 * limit):
                     part = ids[i : i + 4 * limit]
