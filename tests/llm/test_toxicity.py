@@ -33,14 +33,13 @@ def test_held_out_accuracy(spark):
 def test_unseen_misspellings():
     rng = np.random.default_rng(1)
     plain = ["river", "house", "green", "walked", "yellow", "window", "table", "slowly", "letter", "garden"]
-    bags, labels = [], []
+    sample = tx.Sample()
     for i in range(200):
         bag = {w: 1 for w in rng.choice(plain, 6, replace=False)}
         if i % 2:
             bag["worthless"] = 2
-        bags.append(bag)
-        labels.append(i % 2)
-    model = tx.train(bags, np.array(labels), 0.5)
+        sample.add(list(bag), list(bag.values()), i % 2)
+    model = tx.train(sample, 0.5)
     clean = model.score("green house by river", {})
     assert clean < 0.5 < model.score("w0rthless house worthlesss worthles by river", {})
 

@@ -19,9 +19,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardlight.llm.textarrays import ranges
+
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 WIDTH = 8
+SCALE = 8
 #: Words of a zero vector that every text's mean includes, so that short texts need stronger signs.
 BLANK_WORDS = 100
 #: Labelled documents that a model is fitted on, at most: of class 0 and of class 1.
@@ -82,79 +85,80 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-class _Bags:
-    """Mean over groups of rows, and its gradient, for rows given group by group."""
+class Sample:
+    """Word counts of labelled texts, as numbers into a common vocabulary."""
+
+    def __init__(self):
+        self.vocabulary: dict[str, int] = {}
+        self.words: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.labels: list[int] = []
+
+    def add(self, words_: list[str], counts: list[int], label: int) -> None:
+        if words_:
+            number = self.vocabulary.setdefault
+            self.words.append(np.array([number(w, len(self.vocabulary)) for w in words_], np.int32))
+            self.counts.append(np.array(counts, np.float32))
+            self.labels.append(label)
 
-    def __init__(self, rows: np.ndarray, begins: np.ndarray, weights: np.ndarray, height: int, blank: float = 0):
-        self.rows, self.begins, self.height = rows, begins, height
-        self.group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))
-        self.share = (weights / (np.bincount(self.group, weights) + blank)[self.group]).astype(np.float32)
-        self.order = np.argsort(rows, kind="stable")
-        ordered = rows[self.order]
-        self.first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        self.touched = ordered[self.first]
 
-    def mean(self, table: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(table[self.rows] * self.share[:, None], self.begins, axis=0)
+def _means(table: np.ndarray, rows: np.ndarray, share: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Weighted sums of table rows over groups that follow one another."""
+    return np.add.reduceat(table[rows] * share[:, None], begins, axis=0)
 
-    def spread(self, gradient: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.height, gradient.shape[1]), np.float32)
-        parts = gradient[self.group[self.order]] * self.share[self.order, None]
-        out[self.touched] = np.add.reduceat(parts, self.first, axis=0)
-        return out
 
+def _spread(gradient: np.ndarray, group: np.ndarray, rows: np.ndarray, share: np.ndarray, height: int) -> np.ndarray:
+    """The gradient of :func:`_means` for its table."""
+    columns = [np.bincount(rows, g[group] * share, height) for g in gradient.T]
+    return np.stack(columns, axis=1).astype(np.float32)
 
-def train(texts: list[dict[str, int]], labels: np.ndarray, positive_share: float, seed: int = 1) -> Model:
+
+def train(sample: Sample, positive_share: float, seed: int = 1) -> Model:
     """Fit embeddings and softmax on word counts per text by Adam over mini-batches.
 
-    ``positive_share`` is the share of positives to expect; it sets the bias at which
-    the training texts are divided with the fewest expected errors.
+    A fifth of the texts is set aside; ``positive_share``, the share of positives to
+    expect, and those texts set the bias with the fewest expected errors.
     """
-    used = [i for i, t in enumerate(texts) if t]
-    texts, labels = [texts[i] for i in used], np.asarray(labels)[used]
+    labels = np.array(sample.labels, int)
     if len(set(labels.tolist())) < 2:
         share = min(max(positive_share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), math.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(labels))
     aside, order = order[: len(order) // 5], order[len(order) // 5 :]
     table = rng.normal(0, START, (BUCKETS, WIDTH)).astype(np.float32)
     softmax = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("table", table), ("softmax", softmax))}
-    side = np.bincount(labels, minlength=2)
-    weight = (len(labels) / 2 / side)[labels].astype(np.float32)
-    known: dict[str, list[int]] = {}
-    batches, size = [], 256
-    for i in range(0, len(order), size):
-        chosen = order[i : i + size]
-        vocabulary = sorted({w for j in chosen for w in texts[j]})
-        number = {w: k for k, w in enumerate(vocabulary)}
-        for w in vocabulary:
-            if w not in known:
-                known[w] = buckets(w)
-        grams = [known[w] for w in vocabulary]
-        gram_begins = np.concatenate([[0], np.cumsum([len(g) for g in grams])])[:-1]
-        gram_rows = np.concatenate(grams).astype(np.int32)
-        rows = np.array([number[w] for j in chosen for w in texts[j]], np.int32)
-        counts = np.array([c for j in chosen for c in texts[j].values()], np.float32)
-        begins = np.concatenate([[0], np.cumsum([len(texts[j]) for j in chosen])])[:-1]
-        batches.append((
-            _Bags(gram_rows, gram_begins, np.ones(len(gram_rows)), BUCKETS), _Bags(rows, begins, counts, len(vocabulary), BLANK_WORDS), chosen,
-        ))
-    del known
+    weight = (len(labels) / 2 / np.bincount(labels, minlength=2))[labels].astype(np.float32)
+    grams = [np.array(buckets(w), np.int32) for w in sample.vocabulary]
+    sizes = np.array([len(g) for g in grams])
+    gram_begins = np.concatenate([[0], np.cumsum(sizes)])
+    all_grams = np.concatenate(grams)
+    del grams
+    batches = [order[i : i + 256] for i in range(0, len(order), 256)]
     epochs = -(-STEPS // len(batches))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
-            grams, bags, chosen = batches[k]
-            vectors = bags.mean(grams.mean(table))
-            logits = vectors @ softmax * 8
+            chosen = batches[k]
+            lengths = np.array([len(sample.words[i]) for i in chosen])
+            text = np.repeat(np.arange(len(chosen)), lengths)
+            counts = np.concatenate([sample.counts[i] for i in chosen])
+            share = (counts / (np.bincount(text, counts) + BLANK_WORDS)[text]).astype(np.float32)
+            used, word = np.unique(np.concatenate([sample.words[i] for i in chosen]), return_inverse=True)
+            rows = all_grams[ranges(gram_begins[used], sizes[used])]
+            of_word = np.repeat(np.arange(len(used)), sizes[used])
+            part = (1 / sizes[used]).astype(np.float32)[of_word]
+            word_vectors = _means(table, rows, part, np.cumsum(sizes[used]) - sizes[used])
+            vectors = _means(word_vectors, word, share, np.cumsum(lengths) - lengths)
+            logits = vectors @ softmax * SCALE
             logits -= logits.max(1, keepdims=True)
             chance = np.exp(logits)
             chance /= chance.sum(1, keepdims=True)
             chance[np.arange(len(chosen)), labels[chosen]] -= 1
-            miss = (chance * weight[chosen, None] * (8 / len(chosen))).astype(np.float32)
-            gradients = {"softmax": vectors.T @ miss, "table": grams.spread(bags.spread(miss @ softmax.T))}
+            miss = (chance * weight[chosen, None] * (SCALE / len(chosen))).astype(np.float32)
+            to_words = _spread(miss @ softmax.T, text, word, share, len(used))
+            gradients = {"softmax": vectors.T @ miss, "table": _spread(to_words, of_word, rows, part, BUCKETS)}
             for name, value in (("softmax", softmax), ("table", table)):
                 first, second = state[name]
                 g = gradients[name]
@@ -165,10 +169,12 @@ def train(texts: list[dict[str, int]], labels: np.ndarray, positive_share: float
                 value -= rate * first / (np.sqrt(second) + floor + 1e-8)
                 if name == "table":
                     value *= 1 - DECAY * rate
-    scores = (table @ (softmax[:, 1] - softmax[:, 0]) * 8).astype(np.float32)
-    model, cache = Model(scores, 0.0), {}
+    scores = (table @ (softmax[:, 1] - softmax[:, 0]) * SCALE).astype(np.float32)
+    word_scores = np.add.reduceat(scores[all_grams], gram_begins[:-1]) / sizes
     aside = aside if len(set(labels[aside].tolist())) == 2 else order
-    logit = np.array([model.logit(texts[i], cache) for i in aside])
+    logit = np.array([
+        word_scores[sample.words[i]] @ sample.counts[i] / (sample.counts[i].sum() + BLANK_WORDS) for i in aside
+    ])
     return Model(scores, _bias(logit, labels[aside], positive_share))
 
 
@@ -189,8 +195,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Fit on at most ``sample[c]`` labelled documents of class c that are not held out.
+def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> Model:
+    """Fit on at most ``most[c]`` labelled documents of class c that are not held out.
 
     The sample is the documents with the smallest hashes of their ids, so it does not
     depend on the order of rows.  Rows without an id or label, and ids labelled both
@@ -205,9 +211,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
     )
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     chosen = [
-        usable.filter(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[side]) for side in (0, 1)
+        usable.filter(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[side]) for side in (0, 1)
     ]
-    # At most sum(sample) rows of two numbers.
+    # At most sum(most) rows of two numbers.
     picked = F.broadcast(chosen[0].union(chosen[1]))
     bags = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -215,13 +221,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
         .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
         .mapInArrow(_count_words, "doc_id long, toxic int, words array<string>, counts array<int>")
     )
-    rows = bags.orderBy("doc_id").collect()
-    total = sum(counts.values())
-    return train(
-        [dict(zip(r["words"], r["counts"])) for r in rows],
-        np.array([r["toxic"] for r in rows], int),
-        counts.get(1, 0) / total if total else 0.5,
-    )
+    total, sample = sum(counts.values()), Sample()
+    # Row by row, so that the driver keeps numbers instead of words.
+    for row in bags.orderBy("doc_id").toLocalIterator():
+        sample.add(row["words"], row["counts"], row["toxic"])
+    return train(sample, counts.get(1, 0) / total if total else 0.5)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
