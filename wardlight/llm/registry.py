@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import fingerprint, packing, sharding, toxicity
+from wardlight.llm import fingerprint, ngram_join, packing, sharding, toxicity
 from wardlight.llm.tables import load
 
 
@@ -22,6 +22,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
 }
 SQL: dict[str, str] = {}
