@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import fingerprint, ngram_join, packing, sharding, toxicity
+from wardlight.llm import fingerprint, ngram_join, packing, sharding, suffix_dedup, toxicity
 from wardlight.llm.tables import load
 
 
@@ -30,11 +30,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_repeats(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 SQL: dict[str, str] = {}
