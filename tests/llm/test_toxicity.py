@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from wardlight.llm import toxicity as tx
 from wardlight.llm.registry import QUERIES
@@ -38,10 +39,12 @@ def test_unseen_misspellings():
         bag = {w: 1 for w in rng.choice(plain, 6, replace=False)}
         if i % 2:
             bag["worthless"] = 2
-        sample.add(list(bag), list(bag.values()), i % 2)
+        sample.add([w.encode() for w in bag], list(bag.values()), i % 2)
     model = tx.train(sample, 0.5)
-    clean = model.score("green house by river", {})
-    assert clean < 0.5 < model.score("w0rthless house worthlesss worthles by river", {})
+    texts = ["green house by river", "w0rthless house worthlesss worthles by river", "WORTHLESS!", "", None]
+    scores = model.scores(pa.array(texts))
+    assert scores[0] < 0.5 < scores[1] < 1 and scores[2] > 0.5 and scores[3] == scores[4]
+    assert np.allclose(scores[:3], np.concatenate([model.scores(pa.array([t])) for t in texts[:3]]))
 
 
 def test_odd_rows(spark):

@@ -50,6 +50,11 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     return _powers[name][:n]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _LOWER[data]
+
+
 class Block:
     """Rows ``first`` to ``last`` of a batch: their bytes and where each text begins."""
 
@@ -83,8 +88,9 @@ class Block:
         begin, end = self.word_spans()
         return self.spans(begin, end, lower=True), np.searchsorted(begin, self.offsets).astype(np.int64)
 
-    def word_spans(self) -> tuple[np.ndarray, np.ndarray]:
-        solid = ~_SPACE[self.data]
+    def word_spans(self, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the runs of bytes that are not marked in ``apart``."""
+        solid = ~apart[self.data]
         begins, ends = solid.copy(), np.empty(len(solid), bool)
         begins[1:] &= ~solid[:-1]
         starts = self.offsets[:-1][np.diff(self.offsets) > 0]

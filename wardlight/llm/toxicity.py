@@ -9,17 +9,16 @@ As everything behind the embeddings is linear, scoring needs one number per buck
 from __future__ import annotations
 
 import math
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wardlight.llm.textarrays import ranges
+from wardlight.llm import textarrays as ta
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -36,23 +35,34 @@ START = 0.01
 FLOOR = 20.0
 #: Shrinking of all weights in each step, against rare n-grams that fit by chance.
 DECAY = 0.03
-#: Words whose scores a task remembers.
-CACHE_WORDS = 400_000
-_OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_APART = np.array([not _WORD.match(bytes([c])) for c in range(256)])
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased words without punctuation around them."""
-    return [w for part in text.lower().split() if (w := part.strip(_OUTER))]
+def words(text: str) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII bytes, with A-Z lowered."""
+    return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def buckets(word: str) -> list[int]:
-    """The rows of a word and its n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    grams = {marked}
+def grams(words_: ta.Block) -> tuple[np.ndarray, np.ndarray]:
+    """For a block with one word per text: rows of the table, and the word that each belongs to.
+
+    A word has a row for itself, with marks at both ends, and for each run of 3 to 5 bytes.
+    """
+    sizes = np.diff(words_.offsets)
+    to = words_.offsets[:-1] + 2 * np.arange(len(sizes))
+    data = np.full(len(words_.data) + 2 * len(sizes), ord("<"), np.uint8)
+    data[ta.ranges(to + 1, sizes)] = ta.lowered(words_.data)
+    data[to + sizes + 1] = ord(">")
+    marked = ta.Block(0, data, np.append(to, len(data)))
+    begins, ends, owners = [to], [to + sizes + 2], [np.arange(len(sizes))]
     for n in GRAMS:
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams})
+        count = np.maximum(0, sizes + 3 - n)
+        begins.append(ta.ranges(to, count))
+        ends.append(begins[-1] + n)
+        owners.append(np.repeat(owners[0], count))
+    rows = marked.spans(np.concatenate(begins), np.concatenate(ends)) % np.uint64(BUCKETS)
+    return rows.astype(np.int32), np.concatenate(owners)
 
 
 @dataclass
@@ -62,39 +72,34 @@ class Model:
     bucket_scores: np.ndarray
     bias: float
 
-    def word_score(self, word: str) -> float:
-        return float(self.bucket_scores[buckets(word)].mean())
-
-    def logit(self, bag: dict[str, int], known: dict[str, float]) -> float:
-        new = bag.keys() - known.keys()
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = bag.keys()
-            for w in new:
-                known[w] = self.word_score(w)
-        total = math.fsum([known[w] * n for w, n in bag.items()])
-        return self.bias + total / (sum(bag.values()) + BLANK_WORDS)
-
-    def score(self, text: str, known: dict[str, float]) -> float:
-        """Chance of class 1; ``known`` remembers the scores of words."""
-        return _sigmoid(self.logit(Counter(words(text)), known))
-
-
-def _sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-min(max(z, -60.0), 60.0)))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Chance of class 1 for each text; null and empty ones have no words."""
+        out = np.empty(len(texts))
+        for block in ta.blocks(texts):
+            begin, end = block.word_spans(_APART)
+            number = np.searchsorted(begin, block.offsets)
+            _, first, word = np.unique(block.spans(begin, end, lower=True), return_index=True, return_inverse=True)
+            sizes = (end - begin)[first]
+            own = ta.Block(0, block.data[ta.ranges(begin[first], sizes)], np.append(0, np.cumsum(sizes)))
+            rows, owner = grams(own)
+            word_scores = np.bincount(owner, self.bucket_scores[rows], len(first)) / np.bincount(owner, minlength=len(first))
+            total = np.append(0, np.cumsum(word_scores[word]))
+            n = np.diff(number)
+            z = self.bias + (total[number[1:]] - total[number[:-1]]) / (n + BLANK_WORDS)
+            out[block.first : block.last] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return out
 
 
 class Sample:
     """Word counts of labelled texts, as numbers into a common vocabulary."""
 
     def __init__(self):
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.words: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.labels: list[int] = []
 
-    def add(self, words_: list[str], counts: list[int], label: int) -> None:
+    def add(self, words_: list[bytes], counts: list[int], label: int) -> None:
         if words_:
             number = self.vocabulary.setdefault
             self.words.append(np.array([number(w, len(self.vocabulary)) for w in words_], np.int32))
@@ -130,11 +135,13 @@ def train(sample: Sample, positive_share: float, seed: int = 1) -> Model:
     softmax = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("table", table), ("softmax", softmax))}
     weight = (len(labels) / 2 / np.bincount(labels, minlength=2))[labels].astype(np.float32)
-    grams = [np.array(buckets(w), np.int32) for w in sample.vocabulary]
-    sizes = np.array([len(g) for g in grams])
-    gram_begins = np.concatenate([[0], np.cumsum(sizes)])
-    all_grams = np.concatenate(grams)
-    del grams
+    all_grams, sizes = [], []
+    for block in ta.blocks(pa.array(list(sample.vocabulary), pa.large_binary()), 1 << 17):
+        rows, owner = grams(block)
+        all_grams.append(rows[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner).astype(np.int32))
+    all_grams, sizes = np.concatenate(all_grams), np.concatenate(sizes)
+    gram_begins = np.append(0, np.cumsum(sizes))
     batches = [order[i : i + 256] for i in range(0, len(order), 256)]
     epochs = -(-STEPS // len(batches))
     for epoch in range(epochs):
@@ -146,7 +153,7 @@ def train(sample: Sample, positive_share: float, seed: int = 1) -> Model:
             counts = np.concatenate([sample.counts[i] for i in chosen])
             share = (counts / (np.bincount(text, counts) + BLANK_WORDS)[text]).astype(np.float32)
             used, word = np.unique(np.concatenate([sample.words[i] for i in chosen]), return_inverse=True)
-            rows = all_grams[ranges(gram_begins[used], sizes[used])]
+            rows = all_grams[ta.ranges(gram_begins[used], sizes[used])]
             of_word = np.repeat(np.arange(len(used)), sizes[used])
             part = (1 / sizes[used]).astype(np.float32)[of_word]
             word_vectors = _means(table, rows, part, np.cumsum(sizes[used]) - sizes[used])
@@ -219,12 +226,12 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(picked, "doc_id").dropDuplicates(["doc_id"])
         .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(_count_words, "doc_id long, toxic int, words array<string>, counts array<int>")
+        .mapInArrow(_count_words, "doc_id long, toxic int, words array<binary>, counts array<int>")
     )
     total, sample = sum(counts.values()), Sample()
     # Row by row, so that the driver keeps numbers instead of words.
     for row in bags.orderBy("doc_id").toLocalIterator():
-        sample.add(row["words"], row["counts"], row["toxic"])
+        sample.add([bytes(w) for w in row["words"]], row["counts"], row["toxic"])
     return train(sample, counts.get(1, 0) / total if total else 0.5)
 
 
@@ -234,7 +241,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), batch.column("toxic"),
-                pa.array([list(b) for b in bags], pa.list_(pa.string())),
+                pa.array([list(b) for b in bags], pa.list_(pa.binary())),
                 pa.array([list(b.values()) for b in bags], pa.list_(pa.int32())),
             ],
             ["doc_id", "toxic", "words", "counts"],
@@ -242,20 +249,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def add_scores(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """Add the chance that a text is toxic; null and empty texts get that of no words."""
-
-    score_column = _score_udf(model)
-    return documents.withColumn(name, score_column(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
+    """Add the chance that a text is toxic (a column of this name is replaced)."""
+    documents = documents.drop(name)
+    at = documents.columns.index("text")
 
-def _score_udf(model: Model):
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([model.score(t, known) for t in batch], dtype=float)
+            yield batch.append_column(name, pa.array(model.scores(batch.column(at))))
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, "double")
+    return documents.mapInArrow(score, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,7 +266,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are scored alike; null texts count as empty.  An empty table gives no
     rows.  Without labels of both classes every text gets the expected share.
     """
-    scored = add_scores(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(documents, labels))
+    scored = add_scores(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(documents, labels))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
