@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import fingerprint, ngram_join, packing, sharding, suffix_dedup, toxicity
+from wardlight.llm import chat, decontamination, fingerprint, ngram_join, packing, sharding, suffix_dedup, toxicity, twins
 from wardlight.llm.tables import load
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_snapshots(load(spark, sf_dir, "conversations"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(load(spark, sf_dir, "documents"))
 
@@ -34,12 +38,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_repeats(load(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op3_sharding": op3_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_decontamination": op10_decontamination,
+}
+SQL: dict[str, str] = {
+    "op1_chat": twins.CHAT,
+    "op7_ngram_join": twins.NGRAM_JOIN,
+    "op9_suffix_dedup": twins.SUFFIX_DEDUP,
+    "op10_decontamination": twins.DECONTAMINATION,
 }
-SQL: dict[str, str] = {}
