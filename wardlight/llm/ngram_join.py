@@ -37,7 +37,9 @@ SEND_BYTES = 8 << 20
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: Rounds with one centre per column before all unconnected pairs are compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Longs of a set's sketch: a bit for each of its hash classes that holds an odd number of n-grams.
+SKETCH = 16
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -145,17 +147,28 @@ def _blobs(parts: list, number: int, columns: int) -> pa.RecordBatch:
     )
 
 
+def _odd_sketches(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs per set.  Two sets differ in at least as many n-grams as their sketches in bits."""
+    bits, n = 64 * SKETCH, len(begins) - 1
+    row = np.repeat(np.arange(n), np.diff(begins))
+    odd = np.bincount(row * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
 def _hash_sets(documents: DataFrame, words: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, hashes, begins in _sets(batch, words):
                 k1, k2 = _keys(hashes, begins)
                 lists = pa.LargeListArray.from_arrays(pa.array(begins, pa.int64()), pa.array(hashes.view(np.int64)))
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(_odd_sketches(hashes, begins).ravel()), SKETCH)
+                long_list = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(k1), pa.array(k2), lists.cast(pa.list_(pa.int64()))], ["node", "k1", "k2", "grams"]
+                    [ids, pa.array(k1), pa.array(k2), lists.cast(long_list), sketches.cast(long_list)],
+                    ["node", "k1", "k2", "grams", "sketch"],
                 )
 
-    return documents.mapInArrow(emit, "node long, k1 long, k2 long, grams array<long>")
+    return documents.mapInArrow(emit, "node long, k1 long, k2 long, grams array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +188,7 @@ def _fits(a: str, b: str, percent: int) -> str:
 
 
 def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
-    """``node, label`` for the nodes of ``sets`` (``node, grams``): their components under the threshold.
+    """``node, label`` for the nodes of ``sets`` (``node, grams, sketch``): their components under the threshold.
 
     Only nodes that may have a partner are returned.
     """
@@ -187,7 +200,8 @@ def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
     room = F.expr(f"int(n - ceil({percent} * n / 100.0) + 1 - (n - size(rare)))")
     postings = ws.write(
         by_node.withColumn("_room", room).filter("_room > 0")
-        .select("node", "n", F.explode(F.slice("rare", F.lit(1), F.col("_room"))).alias("e")).select("node", "n", "e.g"),
+        .select("node", "n", (1 - F.size("rare") / F.col("n")).alias("own"), F.explode(F.slice("rare", F.lit(1), F.col("_room"))).alias("e"))
+        .select("node", "n", "own", "e.g"),
         "postings",
     )
     labels = postings.select("node", F.col("node").alias("label")).distinct()
@@ -202,15 +216,23 @@ def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
                 break
         if step < STAR_ROUNDS:
             centre = active.groupBy("g").agg(
-                F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(step))).alias("c")
+                F.min_by(F.struct("node", "n", "label"), F.struct(F.col("own") if step % 2 == 0 else F.lit(0.0), F.xxhash64("node", F.lit(step)))).alias("c")
             )
             met = active.join(centre, "g").filter("c.label <> label").filter(_fits("n", "c.n", percent))
             met = met.groupBy("node", F.col("c.node").alias("centre")).agg(F.count("*").alias("_c"))
             # One candidate per node: the centre it meets in most columns.
             met = met.groupBy("node").agg(F.max_by("centre", F.struct("_c", "centre")).alias("centre"))
         else:
-            other = active.select("g", F.col("node").alias("centre"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-            met = active.join(other, "g").filter("label < _l").filter(_fits("n", "_n", percent)).select("node", "centre").distinct()
+            bits = [f"s{i}" for i in range(SKETCH)]
+            mine = active.select("g", "node", "n", "label").join(
+                sets.select("node", *(F.element_at("sketch", i + 1).alias(b) for i, b in enumerate(bits))), "node"
+            )
+            other = mine.toDF("centre", "g", "_n", "_l", *(f"_{b}" for b in bits))
+            apart = " + ".join(f"bit_count({b} ^ _{b})" for b in bits)
+            # Sets at the threshold differ in at most this share of their n-grams.
+            near = f"{100 + percent} * ({apart}) <= {100 - percent} * (n + _n)"
+            met = mine.join(other, "g").filter("label < _l").filter(_fits("n", "_n", percent)).filter(near)
+            met = met.select("node", "centre").distinct()
         pairs = met.selectExpr("least(node, centre) AS a", "greatest(node, centre) AS b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -252,9 +274,9 @@ def near_duplicates(
     kept = _hash_sets(texts.join(few, "doc_id", "left_semi"), words)
     # A row that shares its id with another text is no representative of a class.
     kept = kept.join(F.broadcast(survivors) if survivors.count() <= BROADCAST_IDS else survivors, ["node", "k1", "k2"], "left_semi")
-    matrix = ws.write(kept.dropDuplicates(["node", "k1", "k2"]).select("node", "k1", "k2", "grams"), "matrix")
+    matrix = ws.write(kept.dropDuplicates(["node", "k1", "k2"]), "matrix")
     # Two classes of one doc_id keep apart until the end.
-    matrix = matrix.select(F.col("k1").alias("node"), "grams")
+    matrix = matrix.select(F.col("k1").alias("node"), "grams", "sketch")
     labels = links(matrix, ws, percent)
     joined = classes.join(labels.select(F.col("node").alias("k1"), "label"), "k1", "left")
     group = ws.write(joined.withColumn("group", F.coalesce("label", "k1")), "groups")
