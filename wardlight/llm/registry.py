@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import chat, decontamination, fingerprint, ngram_join, packing, sharding, suffix_dedup, toxicity, twins
+from wardlight.llm import chat, decontamination, fingerprint, html_text, ngram_join, packing, sharding, suffix_dedup, toxicity, twins
 from wardlight.llm.tables import load
 
 
@@ -18,6 +18,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(load(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(load(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(load(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op3_sharding": op3_sharding,
+    "op4_html": op4_html,
     "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
