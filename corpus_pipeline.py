@@ -1,26 +1,58 @@
-"""Documents to packed training sequences, in stages."""
+"""Documents to packed training sequences, in five stages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardlight.llm import packing
+from wardlight.llm import decontamination, ngram_join, packing, suffix_dedup, toxicity
 from wardlight.llm.tables import load
 from wardlight.workspace import Workspace
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the subword model does not reject."""
+    return toxicity.without_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, that of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 100 bytes and more that occurred before.
+
+    ``n_chars`` follows the text.  Documents of which nothing is left are dropped.
+    """
+    cut = suffix_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece with its sequence and offset."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and read again."""
     ws = Workspace(spark)
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = ws.write(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    for number, (_, stage) in enumerate(STAGES):
+        docs = ws.write(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm import textarrays as ta
+from wardlight.llm.tables import without_ids
+from wardlight.workspace import Workspace
 
 WORDS = 5
 PERCENT = 75
 #: Single-hash bands.  An item at the threshold in the worst window is missed with (1 - 0.17) ** HASHES.
 HASHES = 48
 #: Smallest partition; each further one is twice as large.
-LEAST = 16
+LEAST = 1
 #: N-grams of items that are sent to the tasks at once (24 bytes each); more take further passes.
 ITEM_GRAMS = 1_000_000
 
@@ -149,7 +151,7 @@ def _searcher(items: Items, words: int, percent: int):
     return search
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """``documents`` without those that hold an item; rows without an id stay."""
-    hits = contaminated(documents, benchmark).select("doc_id").distinct()
-    return documents.join(hits, "doc_id", "left_anti").select(*documents.columns)
+    ws = workspace or Workspace(documents.sparkSession)
+    return without_ids(documents, contaminated(documents, benchmark), ws)

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm import textarrays as ta
+from wardlight.llm.tables import BROADCAST_IDS, without_ids
 from wardlight.operators.components import connected_components
 from wardlight.workspace import Workspace
 
@@ -34,8 +35,6 @@ PERCENT = 75
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose hashes travel together.
 SEND_BYTES = 8 << 20
-#: Ids (8 bytes each) that may be broadcast.
-BROADCAST_IDS = 1_000_000
 #: Rounds with one centre per column before all unconnected pairs are compared.
 STAR_ROUNDS = 2
 #: Longs of a set's sketch: a bit for each of its hash classes that holds an odd number of n-grams.
@@ -296,3 +295,18 @@ def _named(sets: DataFrame, members: DataFrame, ws: Workspace) -> DataFrame:
     return sets.join(names, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(documents: DataFrame, workspace: Workspace | None = None) -> DataFrame:
+    """``documents`` with one row of each near-duplicate component: that of the smallest id.
+
+    Rows without an id stay; of rows with the same id one stays.
+    """
+    ws = workspace or Workspace(documents.sparkSession)
+    found = ws.write(near_duplicates(documents, workspace=ws), "components")
+    kept = without_ids(documents, found.filter("doc_id <> component_id"), ws)
+    again = ws.write(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.limit(1).count() == 0:
+        return kept
+    several = kept.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_semi")
+    return without_ids(kept, again, ws).unionByName(several.dropDuplicates(["doc_id"]))

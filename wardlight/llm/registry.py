@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import chat, decontamination, fingerprint, html_text, ngram_join, packing, sharding, suffix_dedup, toxicity, twins
+from wardlight.llm import chat, decontamination, fingerprint, html_text, licenses, ngram_join, packing, sharding, suffix_dedup, toxicity, twins
 from wardlight.llm.tables import load
 
 
@@ -14,6 +14,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_snapshots(load(spark, sf_dir, "conversations"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(load(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(load(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_licenses": op2_licenses,
     "op3_sharding": op3_sharding,
     "op4_html": op4_html,
     "op5_fingerprints": op5_fingerprints,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_chat": twins.CHAT,
+    "op2_licenses": licenses.TWIN,
     "op7_ngram_join": twins.NGRAM_JOIN,
     "op9_suffix_dedup": twins.SUFFIX_DEDUP,
     "op10_decontamination": twins.DECONTAMINATION,

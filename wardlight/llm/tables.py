@@ -9,6 +9,8 @@ from wardlight.workspace import Workspace
 
 #: Bytes of text that one task may hold; the number of partitions follows from it.
 TASK_BYTES = 32 << 20
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +18,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of ``df`` whose ``doc_id`` is not in ``ids``; rows without an id stay.
+
+    Up to ``BROADCAST_IDS`` ids are broadcast, so that texts do not move; more are joined.
+    """
+    ids = ws.write(ids.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "ids")
+    other = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(other, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column; one scan of that column."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]

@@ -271,3 +271,8 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``documents`` without those scored at 0.5 or more."""
+    return add_scores(documents, fit(documents, labels), "_toxic_score").filter("_toxic_score < 0.5").drop("_toxic_score")
