@@ -228,11 +228,24 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
         .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
         .mapInArrow(_count_words, "doc_id long, toxic int, words array<binary>, counts array<int>")
     )
-    total, sample = sum(counts.values()), Sample()
-    # Row by row, so that the driver keeps numbers instead of words.
-    for row in bags.orderBy("doc_id").toLocalIterator():
-        sample.add([bytes(w) for w in row["words"]], row["counts"], row["toxic"])
-    return train(sample, counts.get(1, 0) / total if total else 0.5)
+    total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.5
+
+    def train_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sample()
+        for batch in batches:
+            for own, counted, label in zip(*(batch.column(c) for c in ("words", "counts", "toxic"))):
+                sample.add(own.as_py(), counted.as_py(), label.as_py())
+        model = train(sample, share)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.bucket_scores.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["scores", "bias"]
+        )
+
+    # The bounded sample is fitted by one task, which keeps the driver small.
+    model = bags.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(train_on, "scores binary, bias double").first()
+    if model is None:
+        return train(Sample(), share)
+    return Model(np.frombuffer(bytes(model["scores"]), "<f4"), model["bias"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
