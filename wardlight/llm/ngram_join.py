@@ -36,7 +36,7 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of text whose hashes travel together.
 SEND_BYTES = 8 << 20
 #: Rounds with one centre per column before all unconnected pairs are compared.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Longs of a set's sketch: a bit for each of its hash classes that holds an odd number of n-grams.
 SKETCH = 16
 
@@ -204,7 +204,6 @@ def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
         "postings",
     )
     labels = postings.select("node", F.col("node").alias("label")).distinct()
-    edges = tested = None
     for step in range(STAR_ROUNDS + 1):
         # Columns that still meet more than one component.
         active = postings.join(labels, "node")
@@ -233,15 +232,16 @@ def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
             met = mine.join(other, "g").filter("label < _l").filter(_fits("n", "_n", percent)).filter(near)
             met = met.select("node", "centre").distinct()
         pairs = met.selectExpr("least(node, centre) AS a", "greatest(node, centre) AS b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = ws.write(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = ws.write(_verified(pairs, nodes, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = connected_components(
-            labels.select("node"), edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), ws
-        )
+        found = _verified(ws.write(pairs, "pairs"), nodes, percent)
+        # Only linked components are merged, by their labels.
+        ends = found.join(labels.toDF("a", "src"), "a").join(labels.toDF("b", "dst"), "b").select("src", "dst")
+        ends = ws.write(ends.distinct(), "links")
+        if ends.limit(1).count():
+            linked = ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct()
+            merged = connected_components(linked, ends, ws).toDF("label", "_into")
+            labels = ws.write(
+                labels.join(merged, "label", "left").select("node", F.coalesce("_into", "label").alias("label")), "labels"
+            )
     return labels
 
 
