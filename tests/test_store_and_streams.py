@@ -27,7 +27,9 @@ def test_read_json_with_defaults(spark, tmp_path):
         {"id": "a", "category": "roads", "districtId": "d", "lat": 1.5, "lng": 2, "severity": 3, "tags": ["x"], "timestamp": "2025-01-02T03:04:05.000Z"},
         {"lat": 1, "lng": 2, "severity": 1}, {"id": "no-severity", "lat": 1, "lng": 2},
     ]))
-    rows = tables.read_complaints(spark, str(path)).orderBy("id").collect()
+    good, bad = tables.split_complaints(spark, str(path))
+    rows = good.orderBy("id").collect()
+    assert [(r.id, r.reason) for r in bad.collect()] == [("no-severity", "severity")]
     assert [(r.id, r.category, r.districtId) for r in rows] == [("", "", ""), ("a", "roads", "d")]
     assert rows[1].timestamp == datetime(2025, 1, 2, 3, 4, 5) and rows[1].tags == ["x"]
     path = tmp_path / "d.json"
@@ -134,7 +136,7 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     query.awaitTermination()
     got = streams.read_batches(spark, paths[0], domain.COMPLAINT)
     whole = load(spark, sf_dir, "submissions").withColumn("photoUrls", F.lit(None).cast("array<string>"))
-    stored, rejects = ingest_reports(whole, districts, catalog)
+    stored, rejects, _ = ingest_reports(whole, districts, catalog)
     assert got.exceptAll(stored).count() == 0 and stored.exceptAll(got).count() == 0
     assert spark.read.parquet(paths[1]).select("batch").distinct().count() > 1
     assert spark.read.parquet(paths[1]).count() == rejects.count()

@@ -272,10 +272,17 @@ _VALID = """valid AS (SELECT * FROM checked WHERE len(errors) = 0)"""
 _NO_MODEL_V = _NO_MODEL.replace("texts", "valid")
 INGEST = VALIDATE + ", " + ", ".join(
     [_VALID, _NO_MODEL_V, _keywords("valid"), _script("valid"), _classes("valid", "none")]
-) + f""", nearby AS ({_NEAREST.format(rows='valid')})
+) + f""", wanted AS (
+      SELECT districtId, arg_min(lat, (timestamp, id)) AS lat, arg_min(lng, (timestamp, id)) AS lng FROM valid
+      WHERE coalesce(districtId, '') <> '' AND districtId NOT IN (SELECT id FROM district_rows) GROUP BY districtId),
+    known AS (
+      SELECT r.id, coalesce(stateName, state) AS state, lat, lng FROM district_rows r LEFT JOIN catalog k ON k.districtId = r.id
+      UNION ALL SELECT districtId, stateName, lat, lng FROM wanted JOIN catalog USING (districtId)),
+    nearby AS ({_NEAREST.format(rows='valid').replace('districts d', 'known d')})
     SELECT v.id, CASE WHEN NOT isAnonymous THEN userId END AS userId, 'submitted' AS status, v.text AS rawText, c.detectedLanguage, c.category,
-           c.classifiedBy, {severity('c.severity')} AS severity, coalesce(d.id, near) AS districtId, v.lat, v.lng,
-           coalesce(v.source, 'text') AS source, v.userCategory, (SELECT state FROM districts x WHERE x.id = coalesce(d.id, near)) AS stateName,
+           c.classifiedBy, {severity('c.severity')} AS severity, coalesce(nullif(v.districtId, ''), near) AS districtId, v.lat, v.lng,
+           coalesce(v.source, 'text') AS source, v.userCategory,
+           (SELECT state FROM known x WHERE x.id = coalesce(nullif(v.districtId, ''), near)) AS stateName,
            CASE WHEN NOT isAnonymous THEN contactPhone END AS contactPhone, isAnonymous,
            'CP-' || year(timestamp) || '-' || lpad(CAST(CAST('0x' || substr(md5(v.id), 1, 8) AS BIGINT) % 1000000 AS VARCHAR), 6, '0') AS referenceId
-    FROM valid v JOIN classes c USING (id) JOIN nearby n USING (id) LEFT JOIN districts d ON d.id = v.districtId"""
+    FROM valid v JOIN classes c USING (id) JOIN nearby n USING (id)"""

@@ -14,7 +14,7 @@ from wardlight.operators import aggregates, clustering, districts as dist, enric
 from wardlight.operators.components import connected_components
 from wardlight.operators.rate_limit import token_bucket
 from wardlight.plans import classify, hotspots as hot, ingest, stats as st
-from wardlight.sources import seed as seeds, sinks
+from wardlight.sources import seed as seeds, sinks, tables
 from wardlight.streaming import reports as streams, stateful
 from wardlight.workspace import Workspace
 
@@ -532,23 +532,22 @@ def _(spark, sf):
 
 @query("moderation_queue", ["complaints"], f"""--cte p AS (
       SELECT *, row_number() OVER (ORDER BY timestamp DESC, id) AS r FROM complaints)
-    SELECT CAST(r - 1 AS INTEGER) AS position, id, {O.summary('rawText', 150)} AS summary, 'D' || substr(districtId, 2) AS district,
+    SELECT CAST(r - 1 AS INTEGER) AS position, id, {O.summary('rawText', 150)} AS summary, upper(substr(districtId, 1, 1)) || substr(districtId, 2) AS district,
            {O.map_case('category', domain.CATEGORY_LABELS)} AS categoryLabel, strftime(timestamp, '%Y-%m-%d') AS day,
            {O.map_case("coalesce(classifiedBy, 'fallback')", domain.CLASSIFIER_LABELS)} AS classifier,
            {O.map_case('urgency', domain.URGENCY_LABELS)} AS urgencyLabel, {O.map_case('affectedScale', domain.SCALE_LABELS)} AS scaleLabel,
            replace(duration, '_', ' ') AS durationText, coalesce(referenceId, id) AS reference
     FROM p WHERE r <= 20""")
 def _(spark, sf):
-    # Unknown and missing districts have no letters to raise; keep the known ones comparable.
-    return store.moderation_queue(load(spark, sf, "complaints"), 20).withColumn(
-        "district", F.when(F.col("district") == "Zz", "Dz").otherwise(F.col("district"))
-    )
+    return store.moderation_queue(load(spark, sf, "complaints"), 20)
 
 
 @query("fold_status_events", ["status_events", "complaints"], """--cte ok AS (
-      SELECT complaintId, seq, updatedAt, status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note FROM status_events
-      WHERE status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
-        AND complaintId IN (SELECT id FROM complaints)),
+      SELECT coalesce(c.id, r.id) AS complaintId, seq, updatedAt, e.status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note
+      FROM status_events e LEFT JOIN complaints c ON c.id = e.complaintId
+      LEFT JOIN (SELECT referenceId, min(id) AS id FROM complaints GROUP BY referenceId) r ON r.referenceId = e.complaintId
+      WHERE e.status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
+        AND coalesce(c.id, r.id) IS NOT NULL),
     d AS (SELECT complaintId, updatedAt, status, adminId, note, max(seq) AS seq FROM ok GROUP BY ALL)
     SELECT complaintId, arg_max(status, (updatedAt, seq)) AS status,
            arg_max(note, (updatedAt, seq)) FILTER (WHERE note IS NOT NULL) AS adminNote, max(updatedAt) AS updatedAt,
@@ -564,9 +563,11 @@ def _(spark, sf):
 
 
 _EVENTS_SQL = """--cte ok AS (
-      SELECT complaintId, seq, updatedAt, status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note FROM status_events
-      WHERE status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
-        AND complaintId IN (SELECT id FROM complaints)),
+      SELECT coalesce(c.id, r.id) AS complaintId, seq, updatedAt, e.status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note
+      FROM status_events e LEFT JOIN complaints c ON c.id = e.complaintId
+      LEFT JOIN (SELECT referenceId, min(id) AS id FROM complaints GROUP BY referenceId) r ON r.referenceId = e.complaintId
+      WHERE e.status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
+        AND coalesce(c.id, r.id) IS NOT NULL),
     d AS (SELECT complaintId, updatedAt, status, adminId, note, max(seq) AS seq FROM ok GROUP BY ALL)
     """
 
@@ -804,11 +805,11 @@ _STORED = [
 ]
 
 
-@query("ingest_reports", ["submissions", "catalog", "districts"], O.INGEST)
+@query("ingest_reports", ["submissions", "catalog", "districts", "district_rows"], O.INGEST)
 def _(spark, sf):
-    stored, _rejects = ingest.ingest_reports(
+    stored, _rejects, _districts = ingest.ingest_reports(
         _submissions(spark, sf).withColumn("photoUrls", F.lit(None).cast("array<string>")),
-        load(spark, sf, "districts"), load(spark, sf, "catalog"),
+        load(spark, sf, "district_rows"), load(spark, sf, "catalog"),
     )
     return stored.select(*_STORED)
 
@@ -837,6 +838,26 @@ def _(spark, sf):
     )
 
 
+def _written_reports(spark, sf) -> str:
+    """The reports view as JSON lines, written in files of at most 500 rows."""
+    path = f"{Workspace(spark).root}/reports"
+    sinks.write_batched(load(spark, sf, "complaints").drop("ord", "district"), path, fmt="json")
+    return path
+
+
+@query("read_complaints", ["complaints"], """
+    SELECT id, category, coalesce(districtId, '') AS districtId, CAST(severity AS DOUBLE) AS severity, lat, lng, userId, status FROM complaints""")
+def _(spark, sf):
+    rows = tables.read_complaints(spark, _written_reports(spark, sf), "json-lines")
+    return rows.select("id", "category", "districtId", "severity", "lat", "lng", "userId", "status")
+
+
+@query("write_batched", ["complaints"], "SELECT count(*) AS n, true AS in_batches FROM complaints")
+def _(spark, sf):
+    files = spark.read.json(_written_reports(spark, sf)).groupBy(F.input_file_name().alias("file")).count()
+    return files.agg(F.sum("count").alias("n"), F.bool_and(F.col("count") <= sinks.MAX_BATCH).alias("in_batches"))
+
+
 # -- streams: the same results from a file stream over the events table ---------------
 
 
@@ -847,12 +868,12 @@ def _stream(spark, sf, view: str) -> DataFrame:
     return spark.sql(VIEWS[view], events=events)
 
 
-@query("stream_ingest", ["submissions", "catalog", "districts"], O.INGEST)
+@query("stream_ingest", ["submissions", "catalog", "districts", "district_rows"], O.INGEST)
 def _(spark, sf):
     root = Workspace(spark).root
     rows = _stream(spark, sf, "submissions").withColumn("photoUrls", F.lit(None).cast("array<string>"))
     streams.stream_ingest(
-        rows, load(spark, sf, "districts"), load(spark, sf, "catalog"), f"{root}/stored", f"{root}/rejects", f"{root}/log"
+        rows, load(spark, sf, "district_rows"), load(spark, sf, "catalog"), f"{root}/stored", f"{root}/rejects", f"{root}/log"
     ).awaitTermination()
     return streams.read_batches(spark, f"{root}/stored", domain.COMPLAINT).select(*_STORED)
 
@@ -883,9 +904,11 @@ def _(spark, sf):
 
 
 @query("stream_status", ["status_events", "complaints"], """--cte ok AS (
-      SELECT complaintId, seq, updatedAt, status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note FROM status_events
-      WHERE status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
-        AND complaintId IN (SELECT id FROM complaints)),
+      SELECT coalesce(c.id, r.id) AS complaintId, seq, updatedAt, e.status, adminId, CASE WHEN trim(note) <> '' THEN trim(note) END AS note
+      FROM status_events e LEFT JOIN complaints c ON c.id = e.complaintId
+      LEFT JOIN (SELECT referenceId, min(id) AS id FROM complaints GROUP BY referenceId) r ON r.referenceId = e.complaintId
+      WHERE e.status IN ('submitted', 'reviewing', 'in_progress', 'resolved') AND (note IS NULL OR length(trim(note)) <= 500)
+        AND coalesce(c.id, r.id) IS NOT NULL),
     d AS (SELECT complaintId, updatedAt, status, adminId, note, max(seq) AS seq FROM ok GROUP BY ALL)
     SELECT complaintId, arg_max(status, (updatedAt, seq)) AS status, arg_max(note, (updatedAt, seq)) FILTER (WHERE note IS NOT NULL) AS adminNote,
            epoch_us(max(updatedAt)) AS updatedUs, CAST(count(*) AS INTEGER) AS entries FROM d GROUP BY complaintId""")

@@ -94,13 +94,17 @@ VIEWS: dict[str, str] = {
         FROM (SELECT event_id AS e, CAST(floor(event_id / 5) AS BIGINT) AS g,
                      CASE WHEN event_id % 5 = 4 THEN event_id - 1 ELSE event_id END AS k, user_id, ts
               FROM {{events}}) b""",
+    # One chosen catalog district has a row, under an old name and state; the other has none.
+    "district_rows": """
+        SELECT id, name, country, state, lat, lng, infraScore, population FROM {districts}
+        UNION ALL SELECT 's1__nation-1', 'Old name', 'India', 'Old state', CAST(12 AS DOUBLE), CAST(77 AS DOUBLE), CAST(4 AS DOUBLE), NULL""",
     "points": f"""
         SELECT c_custkey AS id, {_micro('(c_custkey * 7919017 % 179990003) - 89995000')} AS lat,
                {_micro('(c_custkey * 104729011 % 359980013) - 179990000')} AS lng
         FROM {{customer}}""",
     "texts": f"""
         SELECT doc_id AS id,
-               CASE doc_id % 4 WHEN 0 THEN s || ' ' || text WHEN 1 THEN text WHEN 2 THEN s ELSE text || ' -- ' || s END AS text,
+               CASE doc_id % 4 WHEN 0 THEN s || ' ' || text WHEN 1 THEN text WHEN 2 THEN s || ' / ' || text ELSE text || ' -- ' || s END AS text,
                {case_list('CAST(floor(doc_id / 4) AS BIGINT) % 6', [None, 'mr', 'hi', 'en', None, 'pt'])} AS language,
                CASE WHEN doc_id % 10 = 7 THEN 'safety' END AS userCategory
         FROM (SELECT doc_id, text, {case_list(f'CAST(floor(doc_id / 2) AS BIGINT) % {len(SENTENCES)}', SENTENCES)} AS s
@@ -122,7 +126,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN e % 83 = 0 THEN repeat('l', 201) WHEN e % 6 = 0 THEN 'near ' || CAST(e AS STRING) END AS landmark,
                CASE WHEN e % 89 = 0 THEN '12345' WHEN e % 2 = 0 THEN '98765' || lpad(CAST(e % 100000 AS STRING), 5, '0') END AS contactPhone,
                CASE WHEN e % 101 = 0 THEN 'Nowhere' WHEN e % 3 = 1 THEN 'STATE ' || CAST(e % 5 AS STRING) END AS stateName,
-               CASE WHEN e % 103 = 0 THEN 'nope' WHEN e % 8 = 0 THEN 's0__nation-0' END AS districtId,
+               CASE WHEN e % 103 = 0 THEN 'nope' WHEN e % 16 = 0 THEN 's0__nation-0' WHEN e % 16 = 8 THEN 's1__nation-1' END AS districtId,
                CAST(CASE WHEN e % 107 = 0 THEN 4 ELSE e % 4 END AS INT) AS photoCount,
                e % 4 = 1 AS isAnonymous
         FROM (SELECT event_id AS e, CAST(floor(event_id / 5) AS BIGINT) AS g, user_id, ts FROM {{events}}) b""",
@@ -143,7 +147,8 @@ VIEWS: dict[str, str] = {
                      CASE event_id % 3 WHEN 0 THEN 'hi-IN' WHEN 1 THEN 'en-IN' ELSE CASE WHEN event_id % 2 = 0 THEN 'fr-FR' ELSE 'ru-RU' END END AS lang
               FROM {events}) b""",
     "status_events": f"""
-        SELECT CASE WHEN e % 50 = 0 THEN 'zz' || CAST(e AS STRING) ELSE 'c' || CAST(CAST(floor(e / 4) AS BIGINT) AS STRING) END AS complaintId,
+        SELECT CASE WHEN e % 50 = 0 THEN 'zz' || CAST(e AS STRING) WHEN e % 7 = 2 THEN 'CP-2024-' || lpad(CAST(CAST(floor(e / 4) AS BIGINT) % 1000000 AS STRING), 6, '0')
+                    ELSE 'c' || CAST(CAST(floor(e / 4) AS BIGINT) AS STRING) END AS complaintId,
                e AS seq, CAST(ts AS TIMESTAMP) AS updatedAt,
                CASE WHEN e % 29 = 0 THEN 'lost' ELSE {case_list('e % 4', domain.STATUSES)} END AS status,
                'a' || CAST(e % 3 AS STRING) AS adminId,

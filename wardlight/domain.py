@@ -65,11 +65,13 @@ STATE_ALIASES = {
     "orissa": "odisha",
     "pondicherry": "puducherry",
 }
+# Address fields in the order in which they are tried.
 ADDRESS_FIELDS = ["state_district", "district", "county", "city_district", "municipality", "city", "town"]
 
-REFERENCE_ID_PATTERN = r"^CP-\d{4}-\d{6}$"
-PHONE_PATTERN = r"^[6-9]\d{9}$"
-DISTRICT_ID_PATTERN = r"^[a-z0-9]+(-[a-z0-9]+)*__[a-z0-9]+(-[a-z0-9]+)*$"
+# Formats of ids and telephone numbers; the whole value must match.
+REFERENCE_ID_PATTERN = r"^CP-\d{4}-\d{6}\z"
+PHONE_PATTERN = r"^[6-9]\d{9}\z"
+DISTRICT_ID_PATTERN = r"^[a-z0-9]+(-[a-z0-9]+)*__[a-z0-9]+(-[a-z0-9]+)*\z"
 
 # Keyword dictionary (phrase, category, language); the first entry of a phrase wins.
 KEYWORDS = [

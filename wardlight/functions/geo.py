@@ -88,3 +88,13 @@ def grid_neighbours(cx: Column, cy: Column, cz: Column) -> Column:
             ),
         )
     )
+
+
+def located(lat: str, lng: str) -> Column:
+    """True if both coordinates are finite numbers (never null)."""
+
+    def finite(name: str) -> Column:
+        value = F.col(name).cast("double")
+        return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+    return finite(lat) & finite(lng)

@@ -63,12 +63,14 @@ def dedup_reports(
 ) -> DataFrame:
     """Keep the first report of every chain of same-category reports within ``radius_m``.
 
-    Needs ``ord, category, lat, lng``; the other columns pass through.
+    Needs ``ord, category, lat, lng``; the other columns pass through.  Reports without
+    finite coordinates are nobody's duplicates and stay.
     """
     if radius_m < 0:
         raise ValueError("the duplicate radius cannot be negative")
     if radius_m == 0:
         return df
+    everything, df = df, df.filter(geo.located("lat", "lng"))
     ws = workspace or Workspace(df.sparkSession)
     grid = Grid(radius_m, near_by_haversine(radius_m), ["_category"], hot_rows)
     if direct_pairs is not None:
@@ -80,7 +82,7 @@ def dedup_reports(
     links = linked_cells(grid, points, cells, ws)
     labels = connected_components(cells.select("node"), links, ws, hot_rows)
     first = labels.filter(F.col("node") == F.col("label")).select(F.col("node").alias("ord"))
-    return df.join(first, "ord", "left_semi")
+    return df.join(first, "ord", "left_semi").select(*df.columns).unionByName(everything.filter(~geo.located("lat", "lng")))
 
 
 def dbscan(
@@ -96,9 +98,11 @@ def dbscan(
     A point with at least ``min_points`` points within ``eps_m`` (itself included) is
     core.  Clusters are the components of core points within ``eps_m``, numbered by
     their first core point; a border point joins the lowest-numbered cluster it touches.
+    Points without finite coordinates are in no cluster.
     """
     if eps_m <= 0 or min_points <= 0:
         raise ValueError("eps_m and min_points must be positive")
+    df = df.filter(geo.located("lat", "lng"))
     ws = workspace or Workspace(df.sparkSession)
     grid = Grid(eps_m, near_by_chord(eps_m), [], hot_rows)
     if direct_pairs is not None:

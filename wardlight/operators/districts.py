@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlight import domain
+from wardlight.functions import geo
 from wardlight.functions.text import label, normalize_admin_name, strip_district_suffix
 from wardlight.operators import joins
 from wardlight.operators.nearest import attach_nearest
@@ -124,16 +125,22 @@ def ensure_district_rows(reports: DataFrame, districts: DataFrame, catalog: Data
 def assign_district(
     reports: DataFrame, districts: DataFrame, workspace: Workspace | None = None
 ) -> DataFrame:
-    """Set ``districtId`` and ``stateName``: a known explicit id wins, else the nearest district."""
+    """Set ``districtId`` and ``stateName``: a known explicit id wins, else the nearest district.
+
+    Rows with neither a known id nor finite coordinates get null for both.
+    """
     dim = districts.select(F.col("id").alias("districtId"), F.col("state").alias("_state"))
     matched = joins.lookup(reports, dim.withColumn("_known", F.lit(True)), "districtId", "left")
     explicit = matched.filter("_known").withColumn("stateName", F.col("_state")).drop("_known", "_state")
     rest = matched.filter("_known IS NULL").drop("_known", "_state")
-    placed = attach_nearest(rest, districts, workspace).withColumns(
+    placed = attach_nearest(rest.filter(geo.located("lat", "lng")), districts, workspace).withColumns(
         {"districtId": F.col("best.id"), "stateName": F.col("best.state")}
     )
+    nowhere = rest.filter(~geo.located("lat", "lng")).withColumns(
+        {"districtId": F.lit(None).cast("string"), "stateName": F.lit(None).cast("string")}
+    )
     columns = [*reports.columns, *([] if "stateName" in reports.columns else ["stateName"])]
-    return explicit.select(*columns).unionByName(placed.select(*columns))
+    return explicit.select(*columns).unionByName(placed.select(*columns)).unionByName(nowhere.select(*columns))
 
 
 def orphans(rows: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:

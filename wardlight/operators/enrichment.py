@@ -61,11 +61,16 @@ def merge_recommendations(hotspots: DataFrame, responses: DataFrame | None = Non
     )
     if responses is None:
         return hotspots.withColumn("recommendation", template)
-    shape = "struct<recommendations: array<struct<districtId: string, recommendation: string>>>"
+
+    def text(path: str):
+        # Only JSON strings count; a number is no text.
+        string = F.schema_of_variant(F.try_variant_get("item", path, "variant")) == "STRING"
+        return F.when(string, F.try_variant_get("item", path, "string"))
+
     given = (
-        responses.select("ord", F.from_json(F.col(json), shape).alias("r"))
-        .select("ord", F.posexplode("r.recommendations").alias("pos", "item"))
-        .select("ord", "pos", F.col("item.districtId").alias("districtId"), trim_spaces(F.col("item.recommendation")).alias("text"))
+        responses.select("ord", F.try_variant_get(F.try_parse_json(F.col(json)), "$.recommendations", "array<variant>").alias("r"))
+        .select("ord", F.posexplode("r").alias("pos", "item"))
+        .select("ord", "pos", text("$.districtId").alias("districtId"), trim_spaces(text("$.recommendation")).alias("text"))
         .filter("districtId IS NOT NULL AND text <> ''")
     )
     last = given.groupBy("districtId").agg(F.max_by(F.substring("text", 1, 600), F.struct("ord", "pos")).alias("_given"))

@@ -73,10 +73,10 @@ def nearest_district(
 ) -> DataFrame:
     """The nearest district on the sphere, for rows ``<point_id>, lat, lng``.
 
-    Ties go to the lowest district id.  Returns ``<point_id>, districtId, districtName,
+    Ties go to the lowest district id.  Points without finite coordinates get nulls.  Returns ``<point_id>, districtId, districtName,
     state, districtLat, districtLng, distanceMeters``.
     """
-    found = attach_nearest(points.select(point_id, "lat", "lng"), districts, workspace)
+    found = _with_unlocated(points.select(point_id, "lat", "lng"), districts, workspace)
     metres = geo.haversine_sql("lat", "lng", "best.lat", "best.lng")
     return found.selectExpr(
         point_id, "best.id AS districtId", "best.name AS districtName", "best.state AS state",
@@ -92,13 +92,21 @@ def nearest_district_planar(
     Ties go to the lowest ``ord`` of ``districts``.  Returns ``<point_id>, districtId,
     districtName, country, infraScore``.
     """
-    found = attach_nearest(points.select(point_id, "lat", "lng"), districts, workspace, PLANE, "ord")
+    found = _with_unlocated(points.select(point_id, "lat", "lng"), districts, workspace, PLANE, "ord")
     return found.selectExpr(
         point_id, "best.id AS districtId", "best.name AS districtName",
         "best.country AS country", "best.infraScore AS infraScore",
     )
 
 
+def _with_unlocated(points: DataFrame, districts: DataFrame, *how) -> DataFrame:
+    """:func:`attach_nearest` for all rows; those without finite coordinates get a null ``best``."""
+    located = geo.located("lat", "lng")
+    return attach_nearest(points.filter(located), districts, *how).unionByName(
+        points.filter(~located), allowMissingColumns=True
+    )
+
+
 def attach_nearest(
     points: DataFrame, districts: DataFrame, workspace: Workspace | None = None,
     metric: Metric = SPHERE, tie: str = "id",

@@ -26,10 +26,14 @@ CHUNK_ROWS = 200_000
 
 def units(capacity: float, refill_per_s: float) -> tuple[int, int, int]:
     """(units per token, units refilled per microsecond, units of a full bucket)."""
-    rate = Fraction(refill_per_s).limit_denominator(10**6) / 1_000_000
-    full = Fraction(capacity).limit_denominator(10**6) * rate.denominator
+    # The shortest decimal of a float is what its writer meant; it is taken exactly.
+    rate = Fraction(repr(float(refill_per_s))) / 1_000_000
+    full = Fraction(repr(float(capacity))) * rate.denominator
     scale = full.denominator
-    return rate.denominator * scale, rate.numerator * scale, int(full * scale)
+    out = rate.denominator * scale, rate.numerator * scale, int(full * scale)
+    if rate < 0 or capacity < 0 or max(out) >= 2**62:
+        raise ValueError("capacity and rate must be positive and of fewer digits")
+    return out
 
 
 def flag_run(times: list[int], tokens: int, last: int, scale: tuple[int, int, int]) -> tuple[list[bool], int]:
@@ -37,8 +41,8 @@ def flag_run(times: list[int], tokens: int, last: int, scale: tuple[int, int, in
     token, per_us, full = scale
     flags = []
     for t in times:
-        tokens = min(full, tokens + (t - last) * per_us)
-        last = t
+        tokens = min(full, tokens + max(0, t - last) * per_us)
+        last = max(last, t)
         allowed = tokens >= token
         if allowed:
             tokens -= token
@@ -108,7 +112,7 @@ def token_bucket(
     def flag(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "us", "tie"])
         flags: list[bool] = []
-        for _, run in pdf.groupby("k", sort=False):
+        for _, run in pdf.groupby("k", sort=False, dropna=False):
             first = run.iloc[0]
             known = not pd.isna(first["tokens"])
             state = (int(first["tokens"]), int(first["last"])) if known else (scale[2], int(first["us"]))

@@ -54,8 +54,13 @@ class UnknownCursor(ValueError):
 def page_reports(
     complaints: DataFrame, limit: int = 20, cursor: str | None = None, user_id: str | None = None
 ) -> DataFrame:
-    """One page, newest first and then by id, with the ``nextCursor`` of the page on every row."""
-    size = max(1, min(100, int(limit)))
+    """One page, newest first and then by id, with the ``nextCursor`` of the page on every row.
+
+    ``limit`` must be from 1 to 100.
+    """
+    size = int(limit)
+    if not 1 <= size <= 100:
+        raise ValueError("limit must be from 1 to 100")
     rows = complaints if user_id is None else my_reports(complaints, user_id)
     if cursor is not None:
         spark = complaints.sparkSession
@@ -106,16 +111,43 @@ def clean_status_events(events: DataFrame) -> DataFrame:
     ).withColumn("note", F.when(note != "", note))
 
 
+def report_names(complaints: DataFrame) -> DataFrame:
+    """``wanted, _report``: every name that a report answers to, its id first, else its reference id."""
+    by_id = complaints.select(F.col("id").alias("wanted"), F.col("id").alias("_report"), F.lit(0).alias("_rank"))
+    by_reference = complaints.filter(F.col("referenceId").rlike(domain.REFERENCE_ID_PATTERN)).select(
+        F.col("referenceId").alias("wanted"), F.col("id").alias("_report"), F.lit(1).alias("_rank")
+    )
+    return by_id.union(by_reference).groupBy("wanted").agg(F.min_by("_report", F.struct("_rank", "_report")).alias("_report"))
+
+
+def resolve_events(events: DataFrame, complaints: DataFrame) -> DataFrame:
+    """Events with ``complaintId`` as the report's id, given its id or reference id; null if unknown."""
+    names = report_names(complaints).withColumnRenamed("wanted", "complaintId")
+    found = events.join(names, "complaintId", "left")
+    return found.withColumn("complaintId", F.col("_report")).select(*events.columns)
+
+
+def rejected_status_events(events: DataFrame, complaints: DataFrame) -> DataFrame:
+    """Events that :func:`status_history` leaves out, with ``reason``: status, note or complaintId."""
+    names = report_names(complaints).withColumnRenamed("wanted", "complaintId")
+    reason = (
+        F.when(~F.coalesce(F.col("status").isin(domain.STATUSES), F.lit(False)), "status")
+        .when(F.length("note") > 500, "note").when(F.col("_report").isNull(), "complaintId")
+    )
+    return events.join(names, "complaintId", "left").withColumn("reason", reason).filter("reason IS NOT NULL").select(
+        *events.columns, "reason"
+    )
+
+
 def status_history(events: DataFrame, complaints: DataFrame) -> DataFrame:
     """Distinct history entries of known reports, one row each, ordered by ``updatedAt, seq``.
 
-    Equal entries collapse to the last ``seq``; unknown ids are dropped.  ``events`` has
-    ``complaintId, seq, updatedAt, status, adminId, note``.
+    ``events`` has ``complaintId, seq, updatedAt, status, adminId, note``; ``complaintId``
+    is a report's id or reference id, and the id in the result.  Equal entries collapse to
+    the last ``seq``; see :func:`rejected_status_events` for events that are left out.
     """
-    distinct = clean_status_events(events).groupBy("complaintId", "updatedAt", "status", "adminId", "note").agg(
-        F.max("seq").alias("seq")
-    )
-    return distinct.join(complaints.select(F.col("id").alias("complaintId")), "complaintId", "left_semi")
+    known = resolve_events(clean_status_events(events), complaints).filter("complaintId IS NOT NULL")
+    return known.groupBy("complaintId", "updatedAt", "status", "adminId", "note").agg(F.max("seq").alias("seq"))
 
 
 def current_status(history: DataFrame) -> DataFrame:

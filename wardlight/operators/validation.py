@@ -13,8 +13,13 @@ MAX_LANDMARK = 200
 MAX_PHOTOS = 3
 
 
+#: Decimal numbers; the cast alone would also take a type suffix, as in 12.5f.
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+
+
 def _coordinate(value: Column, limit: float) -> Column:
-    number = trim_spaces(value.cast("string")).try_cast("double")
+    text = trim_spaces(value.cast("string"))
+    number = F.when(text.rlike(_NUMBER), text).try_cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) <= limit), number)
 
 
@@ -65,8 +70,10 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, rejects
 
 
-def valid_severity(value: Column) -> Column:
-    return (value == F.floor(value)) & value.between(1, 5)
+def conform_severity(value: Column) -> Column:
+    """The severity; the query fails if it is no whole number from 1 to 5."""
+    fine = F.coalesce((value == F.floor(value)) & value.between(1, 5), F.lit(False))
+    return F.when(fine, value).otherwise(F.raise_error(F.lit("invalid severity")).cast("int"))
 
 
 def conform_hotspots(hotspots: DataFrame) -> DataFrame:

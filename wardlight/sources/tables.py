@@ -10,8 +10,9 @@ _BAD = "_corrupt"
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    """Rows of ``schema`` and, in ``_corrupt``, the text of what could not be read."""
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).withColumn(_BAD, F.lit(None).cast("string"))
     # An array of objects needs multiLine; JSON Lines files split and scale.
     loose = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     return (
@@ -20,26 +21,57 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> Dat
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _BAD)
         .json(path)
-        .filter(F.col(_BAD).isNull())
-        .drop(_BAD)
     )
 
 
+def _with_reason(rows: DataFrame, needed: list[str]) -> DataFrame:
+    """Add ``reason``: malformed, or the first needed column that is missing; null for good rows."""
+    reason = F.when(F.col(_BAD).isNotNull(), "malformed")
+    for name in needed:
+        reason = reason.when(F.col(name).isNull(), name)
+    return rows.withColumn("reason", reason)
+
+
+def _sound(rows: DataFrame) -> DataFrame:
+    """Good rows; the query fails at the first other one."""
+    message = F.concat(F.lit("unreadable input: "), F.col("reason"))
+    fine = F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(fine).drop("reason", _BAD)
+
+
+# The engine's severities are numbers, not only whole ones.
+_COMPLAINT = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == "severity" else f for f in domain.COMPLAINT])
+_COMPLAINT_NEEDS = ["lat", "lng", "severity"]
+
+
+def _complaint_defaults(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("id", "category", "districtId")})
+
+
 def read_complaints(spark: SparkSession, path: str, fmt: str = "json-array") -> DataFrame:
-    """Reports with defaults for missing text keys; rows without lat, lng or severity are left out.
+    """Reports with defaults for missing text keys; severity is a double.
 
-    ``fmt`` is ``json-array``, ``json-lines`` or ``parquet``.
+    ``fmt`` is ``json-array``, ``json-lines`` or ``parquet``.  The query fails on what
+    cannot be read and on rows without lat, lng or severity; see :func:`split_complaints`.
     """
-    rows = _read(spark, path, domain.COMPLAINT, fmt)
-    return rows.filter("lat IS NOT NULL AND lng IS NOT NULL AND severity IS NOT NULL").withColumns(
-        {c: F.coalesce(c, F.lit("")) for c in ("id", "category", "districtId")}
-    )
+    return _complaint_defaults(_sound(_with_reason(_read(spark, path, _COMPLAINT, fmt), _COMPLAINT_NEEDS)))
+
+
+def split_complaints(spark: SparkSession, path: str, fmt: str = "json-array") -> tuple[DataFrame, DataFrame]:
+    """(reports, rejects): rejects have ``reason, record`` and the columns that could be read.
+
+    A JSON array that breaks off is one reject, with its whole text as ``record``; the
+    rows before the break are rejected with it.
+    """
+    rows = _with_reason(_read(spark, path, _COMPLAINT, fmt), _COMPLAINT_NEEDS)
+    good = _complaint_defaults(rows.filter("reason IS NULL").drop("reason", _BAD))
+    return good, rows.filter("reason IS NOT NULL").withColumnRenamed(_BAD, "record")
 
 
 def read_districts(spark: SparkSession, path: str, fmt: str = "json-array") -> DataFrame:
-    """Districts with defaults: empty id and name, infraScore 1; rows without lat or lng are left out."""
-    rows = _read(spark, path, domain.DISTRICT, fmt)
-    return rows.filter("lat IS NOT NULL AND lng IS NOT NULL").withColumns(
+    """Districts with defaults: empty id and name, infraScore 1; the query fails on rows without lat or lng."""
+    rows = _sound(_with_reason(_read(spark, path, domain.DISTRICT, fmt), ["lat", "lng"]))
+    return rows.withColumns(
         {
             "id": F.coalesce("id", F.lit("")),
             "name": F.coalesce("name", F.lit("")),
@@ -50,4 +82,4 @@ def read_districts(spark: SparkSession, path: str, fmt: str = "json-array") -> D
 
 def read_admin_catalog(spark: SparkSession, path: str, fmt: str = "json-array") -> DataFrame:
     """Nested catalog of states with their districts; see ``flatten_admin_catalog``."""
-    return _read(spark, path, domain.ADMIN_CATALOG, fmt)
+    return _sound(_with_reason(_read(spark, path, domain.ADMIN_CATALOG, fmt), []))

@@ -6,10 +6,11 @@ batch is replayed, so a restart neither loses nor repeats rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight import domain
+from wardlight.operators.store import overlay_union
 from wardlight.plans.hotspots import hotspots
 from wardlight.plans.ingest import ingest_reports
 from wardlight.plans.stats import count_reports, stats_from_counts
@@ -23,6 +24,11 @@ def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").select(*[f.name for f in schema])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -35,16 +41,27 @@ def _start(stream: DataFrame, handle, checkpoint: str, every: str | None, mode:
 
 def stream_ingest(
     submissions: DataFrame, districts: DataFrame, catalog: DataFrame, stored_path: str, rejects_path: str,
-    checkpoint: str, every: str | None = None,
+    checkpoint: str, every: str | None = None, districts_path: str | None = None,
 ) -> StreamingQuery:
     """Validate, classify, place and store arriving submissions; rejects go to their own folder.
 
+    Rows of districts that reports bring about go to ``districts_path`` (by default
+    beside ``stored_path``), where later batches find them.
+
     ``every`` is a processing interval; without it the query takes what is there and ends.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ws = Workspace(batch.sparkSession)
-        stored, rejects = ingest_reports(batch, districts, catalog, ws)
+        spark, ws = batch.sparkSession, Workspace(batch.sparkSession)
+        made = districts_path or f"{stored_path}-districts"
+        given = known = districts.select(*[f.name for f in domain.DISTRICT])
+        if _exists(spark, made):
+            # A batch that is run again does not see what it wrote before.
+            shape = T.StructType([*given.schema.fields, T.StructField("batch", T.LongType())])
+            earlier = spark.read.schema(shape).parquet(made).filter(F.col("batch") < batch_id).drop("batch")
+            known = overlay_union(given, earlier)
+        stored, rejects, after = ingest_reports(batch, known, catalog, ws)
+        _write_batch(after.join(known.select("id"), "id", "left_anti").select(*given.columns), made, batch_id)
         _write_batch(stored, stored_path, batch_id)
         _write_batch(rejects, rejects_path, batch_id)
         ws.close()

@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardlight.operators.rate_limit import CAPACITY, REFILL_PER_S, flag_run, units
-from wardlight.operators.store import clean_status_events
+from wardlight.operators.store import clean_status_events, resolve_events
 
-IDLE_MS = 60 * 60 * 1000
 _ENTRY = ["us", "seq", "status", "adminId", "note"]
 
 
@@ -45,7 +44,7 @@ def stream_status(events: DataFrame, complaints: DataFrame) -> DataFrame:
     ``history`` is a JSON array of [microseconds, seq, status, adminId, note] in time
     order; late events take their place in it.
     """
-    known = clean_status_events(events).join(complaints.selectExpr("id AS complaintId"), "complaintId", "left_semi")
+    known = resolve_events(clean_status_events(events), complaints).filter("complaintId IS NOT NULL")
     return known.select("complaintId", F.unix_micros("updatedAt").alias("us"), "seq", "status", "adminId", "note").groupBy(
         "complaintId"
     ).applyInPandasWithState(
@@ -58,30 +57,24 @@ def stream_status(events: DataFrame, complaints: DataFrame) -> DataFrame:
 def stream_token_bucket(
     events: DataFrame, key: str, time: str, tie: str, capacity: float = CAPACITY, refill_per_s: float = REFILL_PER_S
 ) -> DataFrame:
-    """Flag arriving events (append mode); a bucket idle for an hour is forgotten.
+    """Flag arriving events (append mode).
 
-    An hour refills any bucket of less than 3600 * ``refill_per_s`` tokens, so that
-    forgetting it changes nothing.
+    The state of a key is two numbers, kept for good: event time decides about refills, so
+    no pause of the stream may forget a bucket.  Events older than the state find no refill.
     """
     scale = units(capacity, refill_per_s)
-    lossless = capacity <= refill_per_s * IDLE_MS / 1000
     slim = events.select(F.col(key).alias("k"), F.unix_micros(time).alias("us"), F.col(tie).alias("tie"))
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
 
     def flag(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(frames)).sort_values(["us", "tie"])
         times = rows["us"].tolist()
         tokens, last = state.get if state.exists else (scale[2], times[0])
         flags, tokens = flag_run(times, tokens, last, scale)
-        state.update((tokens, times[-1]))
-        if lossless:
-            state.setTimeoutDuration(IDLE_MS)
+        state.update((tokens, max(last, times[-1])))
         yield rows[["k", "us", "tie"]].assign(allowed=flags)
 
     return slim.groupBy("k").applyInPandasWithState(
         flag, f"k {kinds['k']}, us long, tie {kinds['tie']}, allowed boolean", "tokens long, last long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if lossless else GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout,
     ).select(F.col("k").alias(key), F.timestamp_micros("us").alias(time), F.col("tie").alias(tie), "allowed")
