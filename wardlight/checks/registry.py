@@ -469,17 +469,17 @@ def _(spark, sf):
 
 def _halves(spark, sf):
     rows = load(spark, sf, "complaints").select("id", "ord", "severity")
-    return rows.filter("ord % 3 <> 0"), rows.filter("ord % 2 = 0").withColumn("severity", F.col("severity") + 10)
+    return rows.filter("ord % 3 <> 0"), rows.filter("ord % 2 = 0 OR ord % 3 = 0").withColumn("severity", F.col("severity") + 10)
 
 
 @query("overlay_base_wins", ["complaints"], """
-    SELECT id, ord, CASE WHEN ord % 3 <> 0 THEN severity ELSE severity + 10 END AS severity FROM complaints WHERE ord % 3 <> 0 OR ord % 2 = 0""")
+    SELECT id, ord, CASE WHEN ord % 3 <> 0 THEN severity ELSE severity + 10 END AS severity FROM complaints""")
 def _(spark, sf):
     return store.overlay_union(*_halves(spark, sf), prefer="base")
 
 
 @query("overlay_wins", ["complaints"], """
-    SELECT id, ord, CASE WHEN ord % 2 = 0 THEN severity + 10 ELSE severity END AS severity FROM complaints WHERE ord % 3 <> 0 OR ord % 2 = 0""")
+    SELECT id, ord, CASE WHEN ord % 2 = 0 OR ord % 3 = 0 THEN severity + 10 ELSE severity END AS severity FROM complaints""")
 def _(spark, sf):
     return store.overlay_union(*_halves(spark, sf), prefer="overlay")
 

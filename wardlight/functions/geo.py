@@ -71,25 +71,6 @@ def grid_cell(lat: Column, lng: Column, radius_m: float) -> tuple[Column, Column
     return tuple(F.floor(v / edge).cast("long") for v in unit_vector(lat, lng))
 
 
-def grid_neighbours(cx: Column, cy: Column, cz: Column) -> Column:
-    """The 27 cells around and including a cell, as an array of (cx, cy, cz)."""
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    return F.flatten(
-        F.transform(
-            steps,
-            lambda dx: F.flatten(
-                F.transform(
-                    steps,
-                    lambda dy: F.transform(
-                        steps,
-                        lambda dz: F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy"), (cz + dz).alias("cz")),
-                    ),
-                )
-            ),
-        )
-    )
-
-
 def located(lat: str, lng: str) -> Column:
     """True if both coordinates are finite numbers (never null)."""
 

@@ -169,13 +169,6 @@ class Clusters:
         )
 
 
-def cluster_summary(members: DataFrame) -> DataFrame:
-    """Unweighted centroid and size per cluster from ``clusterId, lat, lng`` rows."""
-    return members.groupBy("clusterId").agg(
-        F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count("*").alias("memberCount")
-    )
-
-
 def _sparse_contacts(grid, points, cells, hot, min_points, ws):
     """Points of cells below ``min_points`` and the other cells within their reach."""
     thin = cells.filter(F.col("n") < min_points).select(*CELL, "n")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardlight.functions import text as tx
 from wardlight.operators import joins
+from wardlight.workspace import Workspace
 
 MIN_CONFIDENCE = 0.85
 DEFAULT_SUMMARY = "Infrastructure issue reported."
 MIN_PREVIEW_CHARS = 15
+#: Bytes of classification results that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def classify_reports(df: DataFrame, text: str = "text", hint: str = "language", user_category: str = "userCategory") -> DataFrame:
@@ -70,19 +73,25 @@ def classify_reports(df: DataFrame, text: str = "text", hint: str = "language",
 
 def classify_once_per_text(
     df: DataFrame, text: str = "text", hint: str = "language", user_category: str = "userCategory",
-    hot_rows: int = joins.HOT_ROWS,
+    hot_rows: int = joins.HOT_ROWS, workspace: Workspace | None = None,
 ) -> DataFrame:
     """Like :func:`classify_reports`, but each distinct fingerprint is classified once.
 
     All rows of a fingerprint get the result of one of their texts (the smallest).
     """
-    marked = df.withColumn(
-        "_print", tx.text_fingerprint(F.col(text), F.col(hint), F.nullif(F.col(user_category), F.lit("")))
+    ws = workspace or Workspace(df.sparkSession)
+    # The fingerprints are read three times below: compute them once.
+    marked = ws.write(
+        df.withColumn("_print", tx.text_fingerprint(F.col(text), F.col(hint), F.nullif(F.col(user_category), F.lit("")))),
+        "prints",
     )
     inputs = [text, hint, user_category, *(["enrichment"] if "enrichment" in df.columns else [])]
     sample = marked.groupBy("_print").agg(F.min(F.struct(*inputs)).alias("s")).select("_print", "s.*")
-    results = classify_reports(sample, text, hint, user_category).select("_print", "classification")
-    return joins.lookup(marked, results, "_print", hot_rows=hot_rows).drop("_print")
+    results = ws.write(classify_reports(sample, text, hint, user_category).select("_print", "classification"), "results")
+    # Results hold whole texts: their bytes decide about a broadcast, not their number.
+    size = results.agg(F.sum(F.octet_length(F.to_json("classification")))).first()[0] or 0
+    few = joins.BROADCAST_ROWS if size <= BROADCAST_BYTES else 0
+    return joins.lookup(marked, results, "_print", broadcast_rows=few, hot_rows=hot_rows).drop("_print")
 
 
 def preview_category(df: DataFrame, text: str = "text") -> DataFrame:

@@ -52,8 +52,9 @@ def enrich_clusters(
 
     Clusters whose district has no report are dropped.
     """
-    near = nearest_district_planar(clusters, districts, "clusterId", workspace)
-    figures = aggregate_by_district(complaints).drop("categoryFrequency")
+    ws = workspace or Workspace(clusters.sparkSession)
+    near = nearest_district_planar(clusters, districts, "clusterId", ws)
+    figures = ws.write(aggregate_by_district(complaints).drop("categoryFrequency"), "figures")
     placed = clusters.join(near, "clusterId")
     return joins.lookup(placed, figures, "districtId").select(
         "clusterId", "districtId", "districtName", "country", "lat", "lng", "memberCount",

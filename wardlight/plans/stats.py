@@ -7,15 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardlight import domain
 from wardlight.functions import display
 from wardlight.operators import joins
+from wardlight.workspace import Workspace
 
 
-def stats(complaints: DataFrame, districts: DataFrame, count_all_languages: bool = False) -> DataFrame:
+def stats(
+    complaints: DataFrame, districts: DataFrame, count_all_languages: bool = False, workspace: Workspace | None = None
+) -> DataFrame:
     """Long-form ``dimension, key, n``.
 
     Dimensions: total, category (zero-filled), language (zero-filled; ``or`` and
     ``hi-Latn`` are only counted with ``count_all_languages``), country, districts.
     """
-    return stats_from_counts(count_reports(complaints), districts, count_all_languages)
+    ws = workspace or Workspace(complaints.sparkSession)
+    # Every dimension reads the counts: write them, so that the reports are read once.
+    return stats_from_counts(ws.write(count_reports(complaints), "counts"), districts, count_all_languages)
 
 
 def count_reports(complaints: DataFrame) -> DataFrame:

@@ -109,6 +109,3 @@ def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     newest = rows.selectExpr("max(batch) AS batch").first()["batch"]
     return rows.filter(rows.batch == newest).drop("batch")
-
-
-STORED_SCHEMA = domain.COMPLAINT
