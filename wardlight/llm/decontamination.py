@@ -121,7 +121,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS,
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
         "doc_id is not null"
     )
-    passes = [texts.mapInArrow(_searcher(s, words, percent), _SCHEMA) for s in _slices(benchmark, words) if s.ids]
+    passes = [texts.mapInArrow(ta.tidy(_searcher(s, words, percent)), _SCHEMA) for s in _slices(benchmark, words) if s.ids]
     found = documents.sparkSession.createDataFrame([], _SCHEMA)
     for one in passes:
         found = one if one is passes[0] else found.union(one)

@@ -72,7 +72,7 @@ def ngram_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
                     [ids, pa.array(np.diff(begins), pa.int64()), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"]
                 )
 
-    return _texts(documents).mapInArrow(describe, "doc_id long, n long, k1 long, k2 long")
+    return _texts(documents).mapInArrow(ta.tidy(describe), "doc_id long, n long, k1 long, k2 long")
 
 
 def with_partners(documents: DataFrame, total: int, words: int, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def with_partners(documents: DataFrame, total: int, words: int, percent: int) ->
         return pd.DataFrame({"node": ids[(n > 0) & (100 * shared >= percent * n)]})
 
     sent = _texts(documents).filter("doc_id is not null").mapInArrow(
-        send, "column int, block long, ids binary, sizes binary, hashes binary"
+        ta.tidy(send), "column int, block long, ids binary, sizes binary, hashes binary"
     )
     counted = sent.groupBy("column").applyInPandas(count, "block long, ids binary, shared binary")
     return counted.groupBy("block").applyInPandas(decide, "node long").distinct()
@@ -167,7 +167,7 @@ def _hash_sets(documents: DataFrame, words: int) -> DataFrame:
                     ["node", "k1", "k2", "grams", "sketch"],
                 )
 
-    return documents.mapInArrow(emit, "node long, k1 long, k2 long, grams array<long>, sketch array<long>")
+    return documents.mapInArrow(ta.tidy(emit), "node long, k1 long, k2 long, grams array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,8 +198,8 @@ def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
     by_node = entries.join(often, "g").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
     room = F.expr(f"int(n - ceil({percent} * n / 100.0) + 1 - (n - size(rare)))")
     postings = ws.write(
-        by_node.withColumn("_room", room).filter("_room > 0")
-        .select("node", "n", (1 - F.size("rare") / F.col("n")).alias("own"), F.explode(F.slice("rare", F.lit(1), F.col("_room"))).alias("e"))
+        by_node.withColumns({"_room": room, "own": 1 - F.size("rare") / F.col("n")}).filter("_room > 0")
+        .select("node", "n", "own", F.explode(F.slice("rare", F.lit(1), F.col("_room"))).alias("e"))
         .select("node", "n", "own", "e.g"),
         "postings",
     )
@@ -213,9 +213,9 @@ def links(sets: DataFrame, ws: Workspace, percent: int = PERCENT) -> DataFrame:
             if active.limit(1).count() == 0:
                 break
         if step < STAR_ROUNDS:
-            centre = active.groupBy("g").agg(
-                F.min_by(F.struct("node", "n", "label"), F.struct(F.col("own") if step % 2 == 0 else F.lit(0.0), F.xxhash64("node", F.lit(step)))).alias("c")
-            )
+            # The document with the smallest share of n-grams of its own is the likeliest to link to many.
+            first = F.struct("own", F.xxhash64("node", F.lit(step)))
+            centre = active.groupBy("g").agg(F.min_by(F.struct("node", "n", "label"), first).alias("c"))
             met = active.join(centre, "g").filter("c.label <> label").filter(_fits("n", "c.n", percent))
             met = met.groupBy("node", F.col("c.node").alias("centre")).agg(F.count("*").alias("_c"))
             # One candidate per node: the centre it meets in most columns.

@@ -7,7 +7,8 @@ hash costs a few array operations instead of a Python call.  Blocks hold about
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together.
 BLOCK_BYTES = 1 << 21
+#: Rows that are copied together.
+SLICE_ROWS = 512
 
 _U = np.uint64
 _BYTE_VALUES = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint64)
@@ -104,18 +107,37 @@ def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterat
     """Cut a column of strings (null: empty) into blocks of whole texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    if not len(texts):
-        return
-    _, where, what = texts.buffers()
-    offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(what, np.uint8) if what is not None else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(texts):
-        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(max(last, first + 1), len(texts))
-        yield Block(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        first = last
+    # Slices of rows, so that a batch is not copied as a whole.
+    for begin in range(0, len(texts), SLICE_ROWS):
+        part = pc.fill_null(texts.slice(begin, SLICE_ROWS).cast(pa.large_binary()), b"")
+        _, where, what = part.buffers()
+        offsets = np.frombuffer(where, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(what, np.uint8) if what is not None else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(part):
+            last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
+            last = min(max(last, first + 1), len(part))
+            yield Block(begin + first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(function: Callable) -> Callable:
+    """A function for ``mapInArrow`` that releases memory at the end of its task."""
+
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+
+    return run
 
 
 def shingles(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -226,7 +226,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(picked, "doc_id").dropDuplicates(["doc_id"])
         .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(_count_words, "doc_id long, toxic int, words array<binary>, counts array<int>")
+        .mapInArrow(ta.tidy(_count_words), "doc_id long, toxic int, words array<binary>, counts array<int>")
     )
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
@@ -242,7 +242,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
         )
 
     # The bounded sample is fitted by one task, which keeps the driver small.
-    model = bags.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(train_on, "scores binary, bias double").first()
+    model = bags.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(ta.tidy(train_on), "scores binary, bias double").first()
     if model is None:
         return train(Sample(), share)
     return Model(np.frombuffer(bytes(model["scores"]), "<f4"), model["bias"])
@@ -270,7 +270,7 @@ def add_scores(documents: DataFrame, model: Model, name: str = "score") -> DataF
         for batch in batches:
             yield batch.append_column(name, pa.array(model.scores(batch.column(at))))
 
-    return documents.mapInArrow(score, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+    return documents.mapInArrow(ta.tidy(score), T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
