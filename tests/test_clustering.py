@@ -15,6 +15,7 @@ from wardlight.operators.clustering import dbscan, dedup_reports, radius_join
 from wardlight.operators.components import connected_components
 from wardlight.plans.hotspots import hotspots
 
+# Example reports and districts with known results.
 REPORTS = [
     (0, "c1", "roads", "north", 28.61390, 77.20900, 5),
     (1, "c2", "roads", "north", 28.61400, 77.20910, 3),
@@ -111,6 +112,7 @@ def test_dbscan_small(reports):
 
 
 def test_dbscan_all_within_reach(spark):
+    # Points with a known result.
     points = [(28.61390, 77.209), (28.61420, 77.209), (28.61421, 77.209), (28.61422, 77.209)]
     rows = dbscan(frame(spark, points), 40.0, 3).summary().collect()
     assert [r.memberCount for r in rows] == [4]

@@ -17,6 +17,7 @@ def values(spark, rows, shape, **columns):
 
 
 def test_script_examples(spark):
+    # Sentences with known languages.
     cases = [
         ("in my area's govt hospitals doctor's are not available properly", "en", "English"),
         ("गली में कचरा कई दिनों से नहीं उठा", "hi", "Hindi"),
