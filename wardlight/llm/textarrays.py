@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Rows that are copied together.
 SLICE_ROWS = 512
 
