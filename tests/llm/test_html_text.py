@@ -57,3 +57,14 @@ def test_templates_are_deleted(spark):
     assert by_id[200] == by_id[201] == ""
     assert by_id[202] == "Story 3 of many words\nMore from us\nRead our blog"
     assert ht.main_texts(df.limit(0)).count() == 0
+
+
+def test_inline_elements_stay_in_their_sentences(spark):
+    def page(i):
+        linked = '<div>Fact ' + str(i) + ' <a href="/x"><div>See all</div></a> after</div>'
+        return f"<article><p><b>Note:</b> day {i} by <a href='/jd'>Jane Doe</a> of the desk</p>{linked}</article>"
+
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    for r in ht.main_texts(df).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Note: day {i} by Jane Doe of the desk\nFact {i}\nafter"

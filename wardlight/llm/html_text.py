@@ -200,7 +200,8 @@ class Page:
         if pieces:
             own = self._hash(pieces, tag)
             self._stack[-1][3].append(b"\x01" + own.to_bytes(8, "little", signed=True))
-            if tag not in ("html", "body", "article", "main"):
+            # Inline elements go only with the whole block that holds them.
+            if tag not in _INLINE and tag not in ("html", "body", "article", "main"):
                 self.hashes.add(own)
                 if own in self._template:
                     del self._blocks[blocks:]
