@@ -68,3 +68,30 @@ def test_inline_elements_stay_in_their_sentences(spark):
     for r in ht.main_texts(df).collect():
         i = r["page_id"]
         assert r["text"] == f"Note: day {i} by Jane Doe of the desk\nFact {i}\nafter"
+
+
+def test_rarer_boxes_are_deleted_and_passages_stay(spark):
+    def page(i):
+        advert = f"<div><p>Shoes of kind {i % 3}</p><p>Buy them now</p></div>"
+        menu = f"<ul><li><a>Topic {i % 4}</a></li><li><a>Other topic {i % 4}</a></li></ul>"
+        notice = "<div>Rules changed</div>" if i % 7 == 0 else '<div class="notice">Seen</div>'
+        quoted = "<p>To be or not to be</p>" if i % 3 == 0 else "<ul><li>To be or not to be</li></ul>" if i == 1 else ""
+        marked = f"<article>{notice}<h1>Day {i}</h1>{advert}<p>Story {i} of many words</p>{quoted}</article>"
+        return f"<body>{menu}{marked if i % 2 else marked.replace('article', 'div')}</body>"
+
+    rows = [(i, f"https://boxes.example/{i}", page(i)) for i in range(60)]
+    # Without its class, a listed block is the same block.
+    bare = "<article><div>Seen</div><p>The last story</p></article>"
+    rows.append((60, "https://boxes.example/60", bare))
+    # Near copies in one wrapper are stories, not boxes.
+    body = "".join(f"<p>Paragraph {k} of a long story that several pages tell alike, with one other headline</p>" for k in range(9))
+    rows += [(100 + i, f"https://news.example/{i}", f"<article><h1>Head {i}</h1><div>{body if i < 8 else i}</div></article>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in ht.main_texts(df).collect()}
+    assert got[60] == "The last story"
+    for i in range(60):
+        lines = [f"Day {i}", f"Story {i} of many words"]
+        if i % 2 and (i % 3 == 0 or i == 1):
+            lines.append("To be or not to be")
+        assert [x for x in got[i].split("\n") if i % 2 or x != "To be or not to be"] == lines
+    assert all(got[100 + i].startswith(f"Head {i}\nParagraph 0") and "Paragraph 8" in got[100 + i] for i in range(8))

@@ -1,10 +1,13 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
 Every element of a page has a hash of its tag, texts and child elements.  Spark counts,
-for each host, on how many different pages a subtree occurs; subtrees on most of them
-are the site's template and are deleted, with all that they hold.  Elements that never
-hold an article's text (menus, scripts, forms, adverts and so on) go by their tag, role,
-class or id.  If the page marks its article, only that is kept.
+for each host, on how many different pages a subtree occurs; common ones are the site's
+template and are deleted, with all that they hold.  A paragraph, heading or list item
+inside an article is common on most pages only, so that quoted passages stay; any other
+block (a notice, box, advert or menu) already on a small share or number of pages.
+Elements that never hold an article's text (menus, scripts, forms, adverts and so on) go
+by their tag, role, class or id; they are counted too, so that the same block without
+the class goes as well.  If the page marks its article, only that is kept.
 """
 
 from __future__ import annotations
@@ -23,6 +26,12 @@ from wardlight.workspace import Workspace
 #: A subtree on more than this share of a host's different pages, and on so many at least, is template.
 SHARE = 0.5
 LEAST_PAGES = 5
+#: The same for boxes, which are all blocks but the paragraphs of an article.
+BOX_SHARE = 0.1
+#: On so many pages a box needs a tenth of its share only, which bounds the list of a large host.
+BOX_PAGES = 50
+#: Boxes may be so many characters of a page, or half of it; a page with more of them is a near copy of others.
+BOX_CHARS = 500
 #: Bytes of template hashes that may be broadcast to the pages.
 BROADCAST_BYTES = 32 << 20
 
@@ -44,6 +53,11 @@ _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5"
     " h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
+#: Elements that hold a paragraph's text, a quotation or a part of a list or table.
+_PARAGRAPHS = frozenset(
+    "address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 header hgroup legend li p pre summary tbody td tfoot th thead"
+    " tr".split()
+)
 #: An opened element closes an open one of these kinds, up to the nearest of the bounds.
 _SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -90,7 +104,8 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
 class Page:
     """One walk over a page; collects blocks of text and the hashes of its subtrees.
 
-    ``template`` holds the hashes of subtrees to delete.
+    ``template`` holds the hashes of subtrees to delete.  The hashes of an article's
+    paragraphs are odd, those of boxes even.
     """
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
@@ -98,11 +113,13 @@ class Page:
         self._template = template
         self._blocks: list[str] = []
         self._parts: list[str] = []
-        self._article: list[str] = []
+        self.article: list[str] = []
         self._has_article = False
         # tag, blocks and parts so far, pieces to hash, blocks of the outermost article begin here
         self._stack: list[tuple[str, int, int, list[bytes], bool]] = [("", 0, 0, [], False)]
         self._skip = 0
+        #: Hashes below a listed element that is open are not kept, only its own.
+        self._listed: list | None = None
         self._depth_article = 0
         self._walk(source)
         while len(self._stack) > 1:
@@ -111,7 +128,7 @@ class Page:
         self.root = self._hash(self._stack[0][3], "")
 
     def text(self) -> str:
-        return "\n".join(self._article if self._has_article and self._article else self._blocks)
+        return "\n".join(self.article if self._has_article and self.article else self._blocks)
 
     def _walk(self, source: str) -> None:
         at, end = 0, len(source)
@@ -123,6 +140,8 @@ class Page:
             if text is not None:
                 if not self._skip:
                     self._add(text)
+                elif self._listed is not None and self._stack[-1][0] not in _RAW:
+                    self._note(html.unescape(text) if "&" in text else text)
             elif tag:
                 tag = tag.lower()
                 if closing:
@@ -137,6 +156,9 @@ class Page:
         if "&" in text:
             text = html.unescape(text)
         self._parts.append(text)
+        self._note(text)
+
+    def _note(self, text: str) -> None:
         if text.strip():
             self._stack[-1][3].append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
@@ -161,6 +183,9 @@ class Page:
                     self._flush()
             return
         if self._skip or _dropped(tag, attributes, self._depth_article > 0):
+            if not self._skip and tag not in _INLINE and tag not in _RAW:
+                # Listed elements are counted as wholes.
+                self._listed = []
             self._skip += 1
         elif tag not in _INLINE:
             self._flush()
@@ -190,10 +215,21 @@ class Page:
         digest = hashlib.blake2b(b"\x00".join([tag.encode(), *pieces]), digest_size=8).digest()
         return int.from_bytes(digest, "little", signed=True)
 
+    def _kind(self, own: int, tag: str) -> int:
+        return own | 1 if self._depth_article and tag in _PARAGRAPHS else own & ~1
+
     def _close(self) -> None:
         tag, blocks, parts, pieces, outermost = self._stack.pop()
         if self._skip:
             self._skip -= 1
+            if self._listed is not None and pieces:
+                own = self._hash(pieces, tag)
+                if self._skip:
+                    self._stack[-1][3].append(b"\x01" + own.to_bytes(8, "little", signed=True))
+                else:
+                    self.hashes.add(self._kind(own, tag))
+            if not self._skip:
+                self._listed = None
             return
         if tag not in _INLINE:
             self._flush()
@@ -202,6 +238,7 @@ class Page:
             self._stack[-1][3].append(b"\x01" + own.to_bytes(8, "little", signed=True))
             # Inline elements go only with the whole block that holds them.
             if tag not in _INLINE and tag not in ("html", "body", "article", "main"):
+                own = self._kind(own, tag)
                 self.hashes.add(own)
                 if own in self._template:
                     del self._blocks[blocks:]
@@ -210,7 +247,7 @@ class Page:
             self._depth_article -= 1
         if outermost:
             self._has_article = True
-            self._article += self._blocks[blocks:]
+            self.article += self._blocks[blocks:]
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +264,10 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """``host, template``: the hashes of subtrees on more than ``share`` of a host's different pages."""
+    """``host, template, boxes``: the hashes of subtrees that are common on a host's different pages.
+
+    ``template`` has those on more than ``share`` of the pages, ``boxes`` the boxes on fewer.
+    """
     found = pages.select("url", "html").mapInArrow(_subtrees, "host string, page long, subtrees array<long>")
     # Copies of a page say nothing about its site: different pages count.
     different = found.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))
@@ -235,21 +275,46 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
     entries = different.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("subtree"))
     counts = entries.groupBy("host", "subtree").count()
     sizes = counts.filter("subtree IS NULL").select("host", F.col("count").alias("pages"))
-    common = counts.filter(f"subtree IS NOT NULL AND count >= {least}").join(sizes, "host").filter(F.col("count") > share * F.col("pages"))
-    # A page has a bounded number of elements, and a template subtree is on most pages.
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+    most = F.col("count") > share * F.col("pages")
+    many = (F.col("count") > BOX_SHARE * F.col("pages")) | (
+        (F.col("count") >= BOX_PAGES) & (F.col("count") > BOX_SHARE / 10 * F.col("pages"))
+    )
+    box = F.col("subtree").bitwiseAND(F.lit(1)) == 0
+    common = counts.filter(f"subtree IS NOT NULL AND count >= {least}").join(sizes, "host").filter(most | box & many)
+    # A page has a bounded number of elements, and each subtree here is on a share of the pages.
+    return common.groupBy("host").agg(
+        *(F.sort_array(F.collect_list(F.when(c, F.col("subtree")))).alias(n) for n, c in (("template", most), ("boxes", ~most)))
+    )
+
+
+def main_text(source: str, template: frozenset[int], boxes: frozenset[int]) -> str:
+    """A page's text without its host's template and boxes.
+
+    A page that would lose most of its text to boxes is a near copy of others, not a
+    page with boxes: its boxes stay.
+    """
+    page = Page(source, template)
+    text = page.text()
+    if boxes.isdisjoint(page.hashes):
+        return text
+    less = Page(source, template | boxes)
+    rest = less.text()
+    if not rest or len(page.article) and not len(less.article):
+        return text
+    return text if len(text) - len(rest) > max(BOX_CHARS, len(text) // 2) else rest
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, frozenset[int]] = {}
+    known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
     for batch in batches:
         texts = []
-        for source, host, template in zip(batch.column("html"), batch.column("_host").to_pylist(), batch.column("template")):
+        columns = (batch.column(n) for n in ("html", "template", "boxes"))
+        for host, source, template, boxes in zip(batch.column("_host").to_pylist(), *columns):
             if host not in known:
                 if len(known) > 10_000:
                     known.clear()
-                known[host] = frozenset(template.as_py() or ())
-            texts.append(Page(source.as_py() or "", known[host]).text())
+                known[host] = frozenset(template.as_py() or ()), frozenset(boxes.as_py() or ())
+            texts.append(main_text(source.as_py() or "", *known[host]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts), pa.array(np.array([len(t) for t in texts], np.int64))],
             ["page_id", "url", "text", "n_chars"],
@@ -271,10 +336,10 @@ def main_texts(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
     known = ws.write(templates(narrow, share, least), "templates").withColumnRenamed("host", "_host")
-    size = known.agg(F.coalesce(F.sum(8 * F.size("template") + F.length("_host") + 32), F.lit(0)).alias("s")).first()["s"]
+    size = known.agg(F.coalesce(F.sum(8 * (F.size("template") + F.size("boxes")) + F.length("_host") + 64), F.lit(0)).alias("s")).first()["s"]
     # The same host as host_of(), in the JVM.
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = narrow.withColumn("_host", host).join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "_host", "left")
-    return joined.select("page_id", "url", "html", "_host", "template").mapInArrow(
+    return joined.select("page_id", "url", "html", "_host", "template", "boxes").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )
