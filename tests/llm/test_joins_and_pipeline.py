@@ -157,6 +157,33 @@ def test_licence_rules(spark):
     assert licenses.find_licenses(df.limit(0)).count() == 0
 
 
+def test_licence_names_and_parameters(spark):
+    # Wordings of public notices, none of them lines of the supplied documents.
+    lines = {
+        "Licensed under the MIT License.": "MIT", "Released under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "This article is shared under the terms of the CC BY-SA 3.0 license": "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 2.5 Generic License.": "CC-BY-NC-SA-2.5",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "/* SPDX-License-Identifier: MIT OR Apache-2.0 */": "Apache-2.0 OR MIT",
+        "# SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later", "License: BSD-3-Clause": "BSD-3-Clause",
+        "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "GPL-2.0-only",
+        "This library is licensed under the LGPL v2.1 or later.": "LGPL-2.1-or-later", "Distributed under the AGPLv3": "AGPL-3.0-only",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy": "MPL-2.0",
+        "The code is available under the ISC licence, see LICENSE for details": "ISC", "Released under CC0 1.0 Universal.": "CC0-1.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        licenses.SENTENCES["gp1"]: "GPL-3.0-or-later", licenses.SENTENCES["gp1"].replace("program", "library").replace("General", "Lesser General"): "LGPL-3.0-or-later",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file)": "BSL-1.0",
+        "This is not licensed under the MIT License.": "", "MIT": "", "We released MIT people under the rain": "", "License: mine": "",
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_notices"]) for r in licenses.find_licenses(df).collect()}
+    assert {t: got[i] for i, t in enumerate(lines)} == {t: (v, int(v != "")) for t, v in lines.items()}
+    own = licenses.find_licenses(
+        spark.createDataFrame([(1, "x\nUse it as you like!\nMIT"), (2, "Licensed under the House's Terms 2")], "doc_id long, text string"),
+        {"free": "Use it as you like"}, [("Free's", ["free"])], {"House": ["House's Terms 2"]},
+    )
+    assert sorted(tuple(r) for r in own.collect()) == [(1, "Free's", 1), (2, "House", 1)]
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage's decisions, judged on its own input by brute force."""
     docs = load(spark, sf_dir, "documents")

@@ -2,8 +2,10 @@
 
 Sentences are normalised and looked up among known licence sentences; the identifiers
 found, in text order, are matched against ordered licence rules.  An earlier rule takes
-its sentences, so a notice is not also counted under a shorter rule.  All of it happens
-inside the row, in the JVM: nothing is shuffled.
+its sentences, so a notice is not also counted under a shorter rule.  A sentence that
+only puts something under a licence ("... is licensed under the terms of ...", an SPDX
+line) is known by the licence's name.  All of it happens inside the row, in the JVM:
+nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardlight.llm import license_names
+
 # Wording of public licence notices, in the order of their licences.
 SENTENCES = {
     "mt0": "Released under the MIT License.",
@@ -41,8 +45,26 @@ RULES = [
     ("GPL-2.0-or-later", ["gp2"]), ("GPL-3.0-only", ["gp0"]), ("CC-BY-NC-4.0", ["cc0"]), ("CC-BY-4.0", ["cc1"]),
     ("BSD-3-Clause", ["bs0", "bs1", "bs2", "bs3"]), ("BSD-2-Clause", ["bs0", "bs1", "bs2"]),
 ]
+#: What the operator knows unless it is told otherwise; the SQL twin has the sentences and rules above only.
+ALL_SENTENCES = SENTENCES | {
+    k: s for k, s in license_names.SENTENCES.items() if re.sub(r"\W+", "", s) not in {re.sub(r"\W+", "", t) for t in SENTENCES.values()}
+}
+ALL_RULES = RULES + [(licence, ids) for licence, ids in license_names.RULES if ALL_SENTENCES.keys() >= set(ids)]
 #: Every known sentence has one of these, so other texts need not be split.
 MARK = "(?i)licen[cs]e|copyright|permission|warrant|redistribut"
+#: The same for sentences that name a licence.
+NAME_MARK = MARK + r"|public\s+domain|(?:released|distributed|published|available|provided|shared|offered|covered|governed)\s+(?:\S+\s+){0,2}(?:under|by|with)"
+#: Before a name, in a normalised sentence.
+LEAD = (
+    "^(?!(.* )?(not|never|none|nothing|neither|if|unless|whether) )(([a-z0-9.]+ ){1,6}(is|are) )?(dual |also |hereby |made |currently )*"
+    "(licensed|released|distributed|published|available|provided|shared|offered|covered|governed) (to you )?(under|by|with) "
+    "((the |a |an )?(terms|conditions) (and conditions )?of )?(the |a |an )?|^([a-z]+ )?spdx license identifier |^license (is )?(the )?"
+)
+#: After a name.
+TRAIL = (
+    " (the license$|(please see|see|refer to|that can be found|which can be found|found in|as found|as described|in the license file"
+    "|with ([a-z0-9.]+ )*(exception|note)).*$)"
+)
 #: A rule's sentences may have so many others between two of them (a list number, a name).
 BETWEEN = 1
 
@@ -59,13 +81,35 @@ def normalised(sentence: str) -> str:
 assert all(re.search(MARK, s) for s in SENTENCES.values())
 
 
-def _identifiers(text: str) -> str:
-    """SQL for the identifiers of a text's known sentences; | where too many others lie between."""
-    table = ", ".join(f"'{normalised(s)}', '{name}'" for name, s in SENTENCES.items())
+def _name(words: str) -> str:
+    """A normalised licence name; the word and point before a version do not count."""
+    words = normalised(re.sub("([0-9])[+]", r"\1 or later", words)).replace("licence", "license")
+    return re.sub("( version| v|v)[ .]*(?=[0-9])", " ", words)
+
+
+def _map(pairs: dict[str, str]) -> str:
+    """SQL for a constant map of strings without signs."""
+    keys, values = ("split('" + "|".join(x) + "', '[|]')" for x in (pairs.keys(), pairs.values()))
+    return f"map_from_arrays({keys}, {values})" if pairs else "map('', '')"
+
+
+def _identifiers(text: str, sentences: dict[str, str], names: dict[str, str]) -> str:
+    """SQL for the identifiers of a text's known sentences; | where too many others lie between.
+
+    ``sentences`` and ``names`` have the identifiers of normalised sentences and names.
+    """
+    # These signs do not end a sentence.
+    whole = rf"regexp_replace(regexp_replace({text}, '(?i)(spdx-license-identifier|licen[cs]e|free software):[ \t]+', '$1 '), '(?i)([ ,(]v)[.][ \t]+([0-9])', '$1$2')"
     # A sentence ends with a sign and a space, or with the line.
-    parts = rf"split(regexp_replace({text}, '([.!?:])[ \\t]+', '$1\n'), '\n+')"
-    clean = r"regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' '), '^[ .]+|[ .]+$', '')"
-    found = f"filter(transform({parts}, (s, i) -> struct(i, map({table})[{clean}] AS id)), x -> x.id IS NOT NULL)"
+    parts = rf"split(regexp_replace({whole}, '([.!?:])[ \t]+', '$1\n'), '\n+')"
+    later = "regexp_replace(lower(s), '([0-9])[+]', '$1 or later ')"
+    clean = rf"replace(regexp_replace(regexp_replace({later}, '[^a-z0-9.]+', ' '), '^[ .]+|[ .]+$', ''), 'licence', 'license')"
+    under = f"regexp_replace(regexp_replace(regexp_replace(c, '{LEAD}', '>'), '{TRAIL}', ''), '( version| v|v)[ .]*(?=[0-9])', ' ')"
+    by_name = f"CASE WHEN c RLIKE '{LEAD}' THEN {_map(names)}[substr({under}, 2)] END"
+    found = (
+        f"filter(transform(transform({parts}, s -> {clean}), (c, i) -> struct(i, coalesce({_map(sentences)}[c], {by_name}) AS id)),"
+        " x -> x.id IS NOT NULL)"
+    )
     return (
         f"aggregate({found}, struct('' AS ids, -1 AS last), (a, x) -> struct("
         f"concat(a.ids, CASE WHEN a.ids <> '' AND x.i - a.last > {BETWEEN + 1} THEN '|' ELSE '' END, x.id) AS ids, x.i AS last),"
@@ -73,7 +117,21 @@ def _identifiers(text: str) -> str:
     )
 
 
-def find_licenses(documents: DataFrame) -> DataFrame:
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _code(i: int) -> str:
+    """Codes of one length with a digit at the end, so that rules match whole codes only."""
+    return "".join(chr(97 + i // d % 26) for d in (6760, 260, 10)) + str(i % 10)
+
+
+def find_licenses(
+    documents: DataFrame,
+    sentences: dict[str, str] = ALL_SENTENCES,
+    rules: list[tuple[str, list[str]]] = ALL_RULES,
+    names: dict[str, list[str]] = license_names.NAMES,
+) -> DataFrame:
     """``doc_id, licenses, n_notices`` for every row of ``documents``.
 
     ``licenses`` lists the licences found, each once, in alphabetical order and joined by
@@ -81,19 +139,37 @@ def find_licenses(documents: DataFrame) -> DataFrame:
     and also as running text, so that wrapped sentences are found; the reading with more
     notices counts, line by line on a tie.  Null texts are empty; repeated rows give
     repeated results.
+
+    ``sentences`` are known by a key; ``rules`` are tried in their order and have a licence
+    and the keys of its sentences.  ``names`` has the names of each licence, for sentences
+    that put something under it.
     """
-    rule = "|".join("".join(ids) for _, ids in RULES)
-    names = ", ".join(f"'{''.join(ids)}', '{licence}'" for licence, ids in RULES)
-    lines, running = (f"regexp_extract_all({_identifiers(t)}, '({rule})', 1)" for t in ("_text", _RUNNING))
+    codes = {key: _code(i) for i, key in enumerate(sentences)}
+    known = {normalised(re.sub(r"([ ,(]v)[.] ", r"\1", s)).replace("licence", "license"): codes[key] for key, s in sentences.items()}
+    named = {licence: _code(len(codes) + i) for i, licence in enumerate(names)}
+    called: dict[str, str] = {}
+    for licence, all_names in names.items():
+        for name in all_names:
+            called.setdefault(_name(name), named[licence])
+    # The first of rules with the same sentences counts.
+    licences: dict[str, str] = {}
+    for licence, ids in rules:
+        licences.setdefault("".join(codes[k] for k in ids), licence)
+    licences |= {code: licence for licence, code in named.items()}
+    rule = "|".join(licences) or "-"
+    table = "map({})".format(", ".join(f"'{ids}', {_literal(licence)}" for ids, licence in licences.items()) or "'', ''")
+    lines, running = (f"regexp_extract_all({_identifiers(t, known, called)}, '({rule})', 1)" for t in ("_text", _RUNNING))
+    text = F.col("text").cast("string")
+    # Other sentences than the usual ones may have other words.
+    usual = all(re.search(NAME_MARK, s, re.I) for s in sentences.values())
     texts = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").rlike(MARK), F.col("text").cast("string")).alias("_text"),
+        F.col("doc_id").cast("long").alias("doc_id"), (F.when(text.rlike(NAME_MARK), text) if usual else text).alias("_text")
     )
     read = texts.select("doc_id", F.expr(lines).alias("a"), F.expr(running).alias("b")).select(
         "doc_id", F.expr("coalesce(CASE WHEN size(b) > size(a) THEN b ELSE a END, array())").alias("notices")
     )
     return read.select(
-        "doc_id", F.expr(f"array_join(array_sort(array_distinct(transform(notices, n -> map({names})[n]))), ',')").alias("licenses"),
+        "doc_id", F.expr(f"array_join(array_sort(array_distinct(transform(notices, n -> {table}[n]))), ',')").alias("licenses"),
         F.size("notices").cast("long").alias("n_notices"),
     )
 
