@@ -189,3 +189,12 @@ def test_fingerprint_is_a_multiset_hash(first, second):
     assert fp.delete(both, "\n".join(second)) == fp.fingerprint("\n".join(first))
     same = Counter(s.strip() for s in first) == Counter(s.strip() for s in second)
     assert (fp.fingerprint("\n".join(first)) == fp.fingerprint("\n".join(second))) == same
+
+
+@pytest.mark.parametrize("runs", [40_000, 65_536])
+def test_likeness_of_long_repetitive_texts(runs):
+    long, longer = (fp.decode(fp.fingerprint("bad " * (n + 2)))[1] for n in (runs, runs + runs // 10))
+    empty = fp.decode(fp.fingerprint(""))[1]
+    assert fp.likeness(long, empty) == 0
+    # One run, n and 1.1 n times: 1 - 0.01 / 2.21.
+    assert abs(fp.likeness(long, longer) - (1 - 0.01 / 2.21)) < 1e-4

@@ -6,8 +6,8 @@ Sums commute, so paragraph order does not matter, and a paragraph is inserted or
 by adding or subtracting its vector.
 
 A vector has two parts.  ``DENSE`` lanes modulo 2**32 come from a cryptographic hash of
-the paragraph and decide equality.  ``SKETCH`` lanes modulo 2**16 take +1 or -1 for every
-run of three words of the paragraph; the squared length of a difference then estimates
+the paragraph and decide equality.  ``SKETCH`` lanes modulo 2**32, read back signed, take +1 or -1
+for every run of three words of the paragraph, and no text has 2**31 runs; the squared length of a difference then estimates
 how many runs two documents do not share, which gives a likeness.
 """
 
@@ -53,16 +53,16 @@ def sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             low, high = int(row[0]), int(row[-1]) + 1
             cell = (row - low) * SKETCH + lane.astype(np.int64)
             sketch[low:high] += np.bincount(cell, sign, (high - low) * SKETCH).reshape(-1, SKETCH).astype(np.int64)
-    return dense, (sketch & 0xFFFF).astype(np.uint16)
+    return dense, (sketch & 0xFFFFFFFF).astype(np.uint32)
 
 
 def encode(dense: np.ndarray, sketch: np.ndarray) -> str:
-    return dense.astype("<u4").tobytes().hex() + sketch.astype("<u2").tobytes().hex()
+    return dense.astype("<u4").tobytes().hex() + sketch.astype("<u4").tobytes().hex()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw, "<u4", DENSE), np.frombuffer(raw, "<u2", SKETCH, 4 * DENSE)
+    return np.frombuffer(raw, "<u4", DENSE), np.frombuffer(raw, "<u4", SKETCH, 4 * DENSE)
 
 
 def fingerprint(text: str) -> str:
@@ -84,8 +84,8 @@ def delete(fingerprint_: str, text: str) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of word runs in common, from sketch lanes; 1 for equal sketches."""
-    x, y = a.astype(np.uint16).view(np.int16).astype(float), b.astype(np.uint16).view(np.int16).astype(float)
-    apart = (a - b).astype(np.uint16).view(np.int16).astype(float)
+    x, y = a.astype(np.uint32).view(np.int32).astype(float), b.astype(np.uint32).view(np.int32).astype(float)
+    apart = (a - b).astype(np.uint32).view(np.int32).astype(float)
     size = (x * x).sum(-1) + (y * y).sum(-1)
     with np.errstate(invalid="ignore", divide="ignore"):
         like = np.where(size > 0, 1 - (apart * apart).sum(-1) / size, 1.0)
