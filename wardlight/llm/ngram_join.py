@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join: near-duplicate components of documents.
 
-The documents by n-grams incidence matrix is multiplied with its transpose block by
-block, and everything that a size bound rules out is dropped before it is multiplied:
+The documents by n-grams incidence matrix is cut into blocks, and everything that a size
+bound rules out is dropped.  Pairs come from a prefix filter join and are verified on
+whole sets; the matrix is not multiplied with its transpose:
 
 1. Documents with equal n-gram sets are one class; a class is one row of the matrix.
 2. The columns are cut into blocks by hash.  Every block finds the n-grams that occur
