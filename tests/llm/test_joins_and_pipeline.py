@@ -140,6 +140,16 @@ def test_snapshots(spark):
     assert chat.collapse_snapshots(df.limit(0)).count() == 0
 
 
+def test_short_benchmark_items_make_bounded_slices(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"{i:03}"[:3]) for i in range(1000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{i:03}") for i in range(0, 1000, 50)], "doc_id long, text string")
+    monkeypatch.setattr(dc, "ITEM_GRAMS", 10_000)
+    slices = list(dc._slices(items, dc.WORDS))
+    assert sum(len(s.ids) for s in slices) == 1000 and max(len(s.ids) for s in slices) * 16 * dc.HASHES <= 24 * 10_000
+    got = sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, items).collect())
+    assert got == [(i, i) for i in range(0, 1000, 50)]
+
+
 def test_licence_rules(spark):
     s = licenses.SENTENCES
     wrapped = s["mt1"].replace("documentation files", "documentation\nfiles").replace("permit persons", "permit\npersons")

@@ -27,8 +27,10 @@ PERCENT = 75
 HASHES = 48
 #: Smallest partition; each further one is twice as large.
 LEAST = 1
-#: N-grams of items that are sent to the tasks at once (24 bytes each); more take further passes.
+#: N-grams of items, of 24 bytes each, whose bytes are sent to the tasks at once; more take further passes.
 ITEM_GRAMS = 1_000_000
+#: Bytes of an item besides its n-grams: 48 minima with their item numbers, the id and the array around the set.
+ITEM_BYTES = 16 * HASHES + 160
 
 _FACTORS = np.random.default_rng(99).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long"
@@ -98,17 +100,24 @@ def _slices(benchmark: DataFrame, words: int) -> Iterator[Items]:
     """The items in slices of bounded size; those without words cannot be found."""
     waiting, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for row in rows.filter("item_id is not null").distinct().toLocalIterator():
+    for row in rows.filter("item_id is not null and text is not null").distinct().toLocalIterator():
         waiting.append((row["item_id"], row["text"]))
-        size += len(row["text"] or "") // 4
-        if size > ITEM_GRAMS:
+        # A word has a sign and a space at least; its text waits, and its n-gram has 8 bytes.
+        size += ITEM_BYTES + 5 * len(row["text"])
+        if size > 24 * ITEM_GRAMS:
             yield Items(*_item_sets(waiting, words))
             waiting, size = [], 0
     if waiting:
         yield Items(*_item_sets(waiting, words))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def contaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    workspace: Workspace | None = None,
+) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment``: items found in documents.
 
     An item is found if the document holds at least ``percent`` / 100 of the item's
@@ -116,15 +125,31 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS,
     ASCII white space, A-Z lowered; a text of fewer words is one n-gram, one without
     words (or null) has none.  Repeated document rows give repeated results, repeated
     benchmark rows count once, rows without an id are skipped.  Empty tables give no
-    rows.  Items are read to the driver in slices of bounded size, one pass each.
+    rows.  Items are read to the driver in slices of about 24 MB, signatures
+    included, with one pass each; the pairs of a pass are written before the next slice
+    but one is read, so that the driver holds two slices at most.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
         "doc_id is not null"
     )
-    passes = [texts.mapInArrow(ta.tidy(_searcher(s, words, percent)), _SCHEMA) for s in _slices(benchmark, words) if s.ids]
-    found = documents.sparkSession.createDataFrame([], _SCHEMA)
-    for one in passes:
-        found = one if one is passes[0] else found.union(one)
+    ws, found, waiting = workspace, None, None
+
+    def one_pass(items: Items) -> DataFrame:
+        return texts.mapInArrow(ta.tidy(_searcher(items, words, percent)), _SCHEMA)
+
+    for items in _slices(benchmark, words):
+        if not items.ids:
+            continue
+        if waiting is not None:
+            ws = ws or Workspace(documents.sparkSession)
+            written = ws.write(one_pass(waiting), "found")
+            found = written if found is None else found.union(written)
+        waiting = items
+    if waiting is not None:
+        last = one_pass(waiting)
+        found = last if found is None else found.union(last)
+    elif found is None:
+        found = documents.sparkSession.createDataFrame([], _SCHEMA)
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
@@ -154,4 +179,4 @@ def _searcher(items: Items, words: int, percent: int):
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """``documents`` without those that hold an item; rows without an id stay."""
     ws = workspace or Workspace(documents.sparkSession)
-    return without_ids(documents, contaminated(documents, benchmark), ws)
+    return without_ids(documents, contaminated(documents, benchmark, workspace=ws), ws)
