@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import chat, decontamination, fingerprint, html_text, licenses, ngram_join, packing, sharding, suffix_dedup, toxicity, twins
+from wardlight.llm import (
+    chat, decontamination, fingerprint, html_text, licenses, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity, twins,
+)
 from wardlight.llm.tables import load
 
 
@@ -50,6 +52,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_licenses": op2_licenses,
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op13_line_dedup": op13_line_dedup,
 }
 SQL: dict[str, str] = {
     "op1_chat": twins.CHAT,
@@ -68,4 +75,5 @@ SQL: dict[str, str] = {
     "op7_ngram_join": twins.NGRAM_JOIN,
     "op9_suffix_dedup": twins.SUFFIX_DEDUP,
     "op10_decontamination": twins.DECONTAMINATION,
+    "op13_line_dedup": line_dedup.TWIN,
 }
