@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlight.llm import (
-    chat, decontamination, fingerprint, html_text, licenses, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity, twins,
+    chat, decontamination, fingerprint, html_text, licenses, line_dedup, ngram_join, packing, periodic_runs,
+    resampling, sharding, suffix_dedup, toxicity, twins,
 )
 from wardlight.llm.tables import load
 
@@ -52,6 +53,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(load(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampling_digests(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(load(spark, sf_dir, "documents"))
 
@@ -67,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_resampling": op12_resampling,
     "op13_line_dedup": op13_line_dedup,
 }
 SQL: dict[str, str] = {
@@ -75,5 +86,6 @@ SQL: dict[str, str] = {
     "op7_ngram_join": twins.NGRAM_JOIN,
     "op9_suffix_dedup": twins.SUFFIX_DEDUP,
     "op10_decontamination": twins.DECONTAMINATION,
+    "op12_resampling": resampling.TWIN,
     "op13_line_dedup": line_dedup.TWIN,
 }
