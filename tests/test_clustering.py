@@ -213,8 +213,8 @@ def test_components_of_chain_and_star(spark):
     chain = nodes.filter("node < 199").selectExpr("node AS src", "node + 1 AS dst")
     star = nodes.filter("node > 300").selectExpr("node AS src", "300L AS dst")
     edges = chain.union(star)
-    for hot_rows in (10**6, 5):
-        labels = {r.node: r.label for r in connected_components(nodes, edges, hot_rows=hot_rows).collect()}
+    for hot_rows, tail in ((10**6, 10**5), (10**6, 0), (5, 0), (5, 60)):
+        labels = {r.node: r.label for r in connected_components(nodes, edges, hot_rows=hot_rows, tail_links=tail).collect()}
         assert labels == {i: 0 if i < 200 else i if i < 300 else 300 for i in range(400)}
 
 
@@ -239,6 +239,22 @@ def test_nearest_matches_brute_force(spark, monkeypatch, count, short):
     assert (got.districtId.values == flat).all()
 
 
+def test_nearest_of_many_districts(spark):
+    """20,000 points and districts, a third of the districts in one town: no level pairs all cells with all districts."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    pts = pd.DataFrame({"id": range(n), "lat": rng.uniform(-90, 90, n), "lng": rng.uniform(-180, 180, n)})
+    dim = pd.DataFrame({"ord": range(n), "id": [f"d{i:05d}" for i in range(n)], "name": "n", "country": "c", "state": "s",
+                        "lat": rng.uniform(-80, 80, n), "lng": rng.uniform(-180, 180, n), "infraScore": 1.0})
+    dim.loc[: n // 3, ["lat", "lng"]] = [40, 20] + rng.normal(0, 0.05, (n // 3 + 1, 2))
+    pts.loc[: n // 3, ["lat", "lng"]] = [40, 20] + rng.normal(0, 0.05, (n // 3 + 1, 2))
+    some = rng.choice(n, 400, replace=False)
+    v, w = vec(pts.lat.values[some], pts.lng.values[some]), vec(dim.lat.values, dim.lng.values)
+    want = dim.id.values[((v[:, None] - w[None]) ** 2).sum(-1).argmin(1)]
+    got = near_mod.nearest_district(spark.createDataFrame(pts), spark.createDataFrame(dim)).toPandas().sort_values("id")
+    assert len(got) == n and (got.districtId.values[some] == want).all()
+
+
 def test_hotspots_end_to_end(reports, districts):
     ranked, clusters = hotspots(reports, districts, k=2, radius_m=50.0, min_points=2)
     rows = ranked.orderBy(F.desc("priorityScore")).collect()

@@ -21,7 +21,12 @@ def aggregate_by_district(complaints: DataFrame) -> DataFrame:
     The frequency is a sorted array of (category, n); the top category is the most
     frequent one, of equals the smallest by bytes.
     """
-    return category_counts(complaints).groupBy("districtId").agg(
+    return district_figures(category_counts(complaints))
+
+
+def district_figures(counts: DataFrame) -> DataFrame:
+    """:func:`aggregate_by_district` from one row per district and category."""
+    return counts.groupBy("districtId").agg(
         F.sum("n").alias("complaintCount"),
         F.sum("severity").alias("severitySum"),
         F.min(F.struct((-F.col("n")).alias("rank"), "category")).getField("category").alias("topCategory"),
@@ -51,7 +56,11 @@ def score_districts(aggregates: DataFrame, districts: DataFrame) -> DataFrame:
 
 def top_districts(complaints: DataFrame, districts: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` districts of highest priority, of equals the smaller id first."""
-    scored = score_districts(aggregate_by_district(complaints), districts)
+    return rank_figures(aggregate_by_district(complaints), districts, k)
+
+
+def rank_figures(figures: DataFrame, districts: DataFrame, k: int) -> DataFrame:
+    scored = score_districts(figures, districts)
     return scored.orderBy(F.desc("priorityScore"), F.asc("districtId")).limit(k)
 
 

@@ -153,6 +153,10 @@ class Clusters:
 
     def summary(self) -> DataFrame:
         """``clusterId, lat, lng, memberCount``; computed from cell sums, not from members."""
+        return self.labelled().join(self._ranks, "label").select("clusterId", "lat", "lng", "memberCount")
+
+    def labelled(self) -> DataFrame:
+        """``label, lat, lng, memberCount``: clusters by the ``ord`` of their first core point."""
         parts = self._core_cells.select("label", "sum_lat", "sum_lng", "n")
         if self._border is not None:
             parts = parts.unionByName(
@@ -163,8 +167,8 @@ class Clusters:
         totals = parts.groupBy("label").agg(
             F.sum("sum_lat").alias("a"), F.sum("sum_lng").alias("b"), F.sum("n").alias("memberCount")
         )
-        return totals.join(self._ranks, "label").select(
-            "clusterId", (F.col("a") / F.col("memberCount")).alias("lat"),
+        return totals.select(
+            "label", (F.col("a") / F.col("memberCount")).alias("lat"),
             (F.col("b") / F.col("memberCount")).alias("lng"), "memberCount",
         )
 

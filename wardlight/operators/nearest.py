@@ -1,8 +1,11 @@
-"""Exact nearest-district search by narrowing candidate lists down a grid hierarchy.
-
-Points are reduced to the grid cells they occupy.  From coarse to fine, a cell keeps
-only the districts that can be nearest to some point of it: those whose lower distance
-bound to the cell's box does not exceed the best upper bound.  A point then compares
+"""Exact nearest-district search by narrowing pairs of nodes down a grid tree.
+
+Points and districts are reduced to the cells of one grid that they occupy, each with the
+bounding box of what it holds.  From coarse to fine, a point cell keeps only the district
+nodes that can hold the nearest district of some point of it: those whose lower distance
+bound does not exceed the best upper bound.  The children of kept pairs are the pairs of
+the next level, so a cell meets a bounded number of nodes at each level however many
+districts there are.  At the end nodes give way to their districts, and a point compares
 only its own cell's short list, inside one row.
 """
 
@@ -11,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wardlight.functions import geo
 from wardlight.operators import joins
@@ -20,14 +23,16 @@ from wardlight.workspace import Workspace
 #: A cell with more candidates than this is split further.
 SHORT_LIST = 64
 #: Bits per axis added from one level to the next.
-STEP = 3
+STEP = 2
+#: Districts in all short lists together that may be broadcast (some 150 bytes each).
+BROADCAST_ENTRIES = 200_000
 #: At this depth a cell is far below a millimetre and its list is compared as it is.
 DEEPEST = 36
 
 
 @dataclass(frozen=True)
 class Metric:
-    """Grid axes in [-1, 1], cost of a point and a district, and bounds on it over a box."""
+    """Grid axes in [-1, 1], cost of a point and a district, and bounds on it over two boxes."""
 
     axes: Callable[[str, str], tuple[str, ...]]
     cost: Callable[[str, str, str, str], str]
@@ -36,11 +41,11 @@ class Metric:
 
 
 def _gap(i: int) -> str:
-    return f"greatest(0D, lo{i} - d{i}, d{i} - hi{i})"
+    return f"greatest(0D, lo{i} - dhi{i}, dlo{i} - hi{i})"
 
 
 def _span(i: int) -> str:
-    return f"greatest(hi{i} - d{i}, d{i} - lo{i})"
+    return f"greatest(hi{i} - dlo{i}, dhi{i} - lo{i})"
 
 
 SPHERE = Metric(
@@ -135,29 +140,29 @@ def attach_nearest(
     rows = points.selectExpr("*", "CAST(lat AS DOUBLE) AS _plat", "CAST(lng AS DOUBLE) AS _plng")
     # Few districts: one level of some thousand cells.  Many: several levels down to
     # cells that are small against the spacing of districts.
-    levels = [4] if size <= SHORT_LIST else list(range(size.bit_length() // 2 + 3, 1, -STEP))[::-1]
+    levels = [4] if size <= SHORT_LIST else list(range(2, max(3, size.bit_length() // 2 + 3), STEP))
     level = levels[-1]
-    candidates = _first_candidates(rows, places, metric, n, levels)
+    boxes = ws.write(_boxes(rows, metric, n, level), "boxes")
+    pairs = None
+    for before, at in zip([0, *levels], levels):
+        pairs = ws.write(_narrow(_coarser(boxes, n, level - at), _nodes(places, n, at), pairs, metric, n, at - before), "pairs")
     grid = [f"g{i}" for i in range(n)]
     answers = []
     while True:
         placed = rows.selectExpr("*", *[f"{_index(a, level)} AS {g}" for a, g in zip(axes, grid)])
-        candidates = ws.write(candidates, "candidates")
         # A list can only be too long if there are that many districts at all.
         if size <= SHORT_LIST or level >= DEEPEST:
-            answers.append(_pick(placed, candidates, grid, metric, tie, columns))
+            answers.append(_pick(placed, _lists(pairs, places, metric, n, level, ws), grid, metric, tie, columns))
             break
-        crowded = candidates.groupBy(*grid).count().filter(F.col("count") > SHORT_LIST).select(*grid)
-        answers.append(
-            _pick(placed, candidates.join(crowded, grid, "left_anti"), grid, metric, tie, columns)
-        )
+        crowded = pairs.groupBy(*grid).agg(F.sum("m").alias("m")).filter(F.col("m") > SHORT_LIST).select(*grid)
+        calm = pairs.join(crowded, grid, "left_anti")
+        answers.append(_pick(placed, _lists(calm, places, metric, n, level, ws), grid, metric, tie, columns))
         if not joins.has_rows(crowded):
             break
         rows = ws.write(joins.lookup(placed, crowded, grid).select(*columns, "_plat", "_plng"), "crowded")
         deeper = min(level + STEP, DEEPEST)
-        candidates = _narrow(
-            _boxes(rows, metric, n, deeper), candidates.join(crowded, grid, "left_semi"), metric, n, deeper - level
-        )
+        open_ = pairs.join(crowded, grid, "left_semi")
+        pairs = ws.write(_narrow(_boxes(rows, metric, n, deeper), _nodes(places, n, deeper), open_, metric, n, deeper - level), "pairs")
         level = deeper
     result = answers[0]
     for more in answers[1:]:
@@ -177,43 +182,63 @@ def _boxes(rows: DataFrame, metric: Metric, n: int, level: int) -> DataFrame:
     return placed.groupBy(*[f"g{i}" for i in range(n)]).agg(*box)
 
 
-def _first_candidates(rows, places, metric, n, levels) -> DataFrame:
-    """Candidates at the last level, narrowed from a first one whose few cells take every district."""
-    level = levels[-1]
-    boxes = {level: _boxes(rows, metric, n, level)}
-    for fine, coarse in zip(levels[::-1], levels[::-1][1:]):
-        merged = [f(f"{b}{i}").alias(f"{b}{i}") for i in range(n) for b, f in (("lo", F.min), ("hi", F.max))]
-        up = [F.shiftright(f"g{i}", fine - coarse).alias(f"g{i}") for i in range(n)]
-        boxes[coarse] = boxes[fine].groupBy(*up).agg(*merged)
-    start = places
-    for i in range(n):
-        # All cells of a level between 2 and 4, a fixed number.
-        start = start.selectExpr("*", f"explode(sequence(0L, {2 ** levels[0]}L)) AS g{i}")
-    candidates = _narrow(boxes[levels[0]], start, metric, n, 0)
-    for coarse, finer in zip(levels, levels[1:]):
-        candidates = _narrow(boxes[finer], candidates, metric, n, finer - coarse)
-    return candidates
-
-
-def _narrow(boxes, parents, metric, n, bits) -> DataFrame:
-    """Rows (cell, district) of the parent's districts that may be nearest to a point of the cell."""
-    grid = [f"g{i}" for i in range(n)]
-    axes = [f"d{i}" for i in range(n)]
-    ups = parents.select(*[F.col(g).alias(f"u{g}") for g in grid], "district", *axes)
-    inner = boxes.selectExpr("*", *[f"shiftright({g}, {bits}) AS u{g}" for g in grid])
-    pairs = inner.join(ups, [f"u{g}" for g in grid]).selectExpr(
-        *grid, "district", *axes, f"{metric.lower(n)} AS low", f"{metric.upper(n)} AS high",
-    )
-    best = pairs.groupBy(*grid).agg(F.min("high").alias("bound"))
-    kept = pairs.join(best, grid).filter("low <= bound * (1D + 1e-9D) + 1e-18D")
-    return kept.select(*grid, "district", *axes)
+def _coarser(boxes: DataFrame, n: int, bits: int) -> DataFrame:
+    """Boxes of the cells ``bits`` levels up."""
+    if bits == 0:
+        return boxes
+    merged = [f(f"{b}{i}").alias(f"{b}{i}") for i in range(n) for b, f in (("lo", F.min), ("hi", F.max))]
+    return boxes.groupBy(*[F.shiftright(f"g{i}", bits).alias(f"g{i}") for i in range(n)]).agg(*merged)
+
+
+def _nodes(places: DataFrame, n: int, level: int) -> DataFrame:
+    """Cells that hold districts: ``e0 …`` with the districts' bounding box and number ``m``."""
+    placed = places.selectExpr(*[f"d{i}" for i in range(n)], *[f"{_index(f'd{i}', level)} AS e{i}" for i in range(n)])
+    box = [f(f"d{i}").alias(f"d{b}{i}") for i in range(n) for b, f in (("lo", F.min), ("hi", F.max))]
+    return placed.groupBy(*[f"e{i}" for i in range(n)]).agg(F.count("*").alias("m"), *box)
+
+
+def _narrow(boxes, nodes, parents, metric, n, bits) -> DataFrame:
+    """Pairs of a point cell and a district node below a pair of ``parents`` (None: the root) that may hold a nearest pair."""
+    grid, ends = [f"g{i}" for i in range(n)], [f"e{i}" for i in range(n)]
+    if parents is None:
+        # At the first level a fixed number of cells meets as many nodes.
+        pairs = boxes.withColumn("root", F.lit(0)).join(F.broadcast(nodes.withColumn("root", F.lit(0))), "root").drop("root")
+    else:
+        ups = parents.select(*[F.col(c).alias(f"u{c}") for c in grid + ends])
+        inner = boxes.selectExpr("*", *[f"shiftright({g}, {bits}) AS u{g}" for g in grid])
+        below = nodes.selectExpr("*", *[f"shiftright({e}, {bits}) AS u{e}" for e in ends])
+        pairs = inner.join(ups, [f"u{g}" for g in grid]).join(below, [f"u{e}" for e in ends])
+        pairs = pairs.drop(*[f"u{c}" for c in grid + ends])
+    return _possible(pairs, metric, n)
+
+
+def _possible(pairs: DataFrame, metric: Metric, n: int) -> DataFrame:
+    """Drop the pairs of a cell that another pair's upper bound rules out."""
+    cell = Window.partitionBy(*[f"g{i}" for i in range(n)])
+    pairs = pairs.selectExpr("*", f"{metric.lower(n)} AS low", f"{metric.upper(n)} AS high")
+    pairs = pairs.withColumn("bound", F.min("high").over(cell))
+    return pairs.filter("low <= bound * (1D + 1e-9D) + 1e-18D").drop("low", "high", "bound")
+
+
+def _lists(pairs, places, metric, n, level, ws) -> DataFrame:
+    """``g0 …, list``: the districts of each cell that may be nearest to one of its points."""
+    grid, ends = [f"g{i}" for i in range(n)], [f"e{i}" for i in range(n)]
+    inside = places.selectExpr("*", *[f"{_index(f'd{i}', level)} AS {e}" for i, e in enumerate(ends)])
+    box = [f"{b}{i}" for i in range(n) for b in ("lo", "hi")]
+    each = pairs.select(*grid, *ends, *box).join(inside, ends)
+    each = each.selectExpr(*grid, *box, "district", *[f"d{i} AS d{b}{i}" for i in range(n) for b in ("lo", "hi")])
+    return ws.write(_possible(each, metric, n).groupBy(*grid).agg(F.collect_list("district").alias("list")), "lists")
 
 
-def _pick(placed, candidates, grid, metric, tie, columns) -> DataFrame:
+def _pick(placed, listed, grid, metric, tie, columns) -> DataFrame:
     """Compare a point with its cell's short list inside the row."""
-    listed = candidates.groupBy(*grid).agg(F.collect_list("district").alias("list"))
     cost = metric.cost("_plat", "_plng", "c.lat", "c.lng")
-    return joins.lookup(placed, listed, grid).selectExpr(
+    entries = listed.agg(F.coalesce(F.sum(F.size("list")), F.lit(0)).alias("n")).first()["n"]
+    if entries <= BROADCAST_ENTRIES:
+        rows = placed.join(F.broadcast(listed), grid)
+    else:
+        rows = joins.lookup(placed, listed, grid, broadcast_rows=0)
+    return rows.selectExpr(
         *columns,
         f"array_min(transform(list, c -> struct({cost} AS cost, c.{tie} AS tie, c AS best))).best AS best",
     )

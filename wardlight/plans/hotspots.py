@@ -52,9 +52,16 @@ def enrich_clusters(
 
     Clusters whose district has no report are dropped.
     """
+    return clusters_with_figures(clusters, aggregate_by_district(complaints), districts, workspace)
+
+
+def clusters_with_figures(
+    clusters: DataFrame, figures: DataFrame, districts: DataFrame, workspace: Workspace | None = None
+) -> DataFrame:
+    """:func:`enrich_clusters` from the districts' figures."""
     ws = workspace or Workspace(clusters.sparkSession)
     near = nearest_district_planar(clusters, districts, "clusterId", ws)
-    figures = ws.write(aggregate_by_district(complaints).drop("categoryFrequency"), "figures")
+    figures = ws.write(figures.drop("categoryFrequency"), "figures")
     placed = clusters.join(near, "clusterId")
     return joins.lookup(placed, figures, "districtId").select(
         "clusterId", "districtId", "districtName", "country", "lat", "lng", "memberCount",
@@ -74,13 +81,18 @@ def hotspots(
     """
     ws = workspace or Workspace(complaints.sparkSession)
     found = analyze(complaints, districts, k, workspace=ws, **radii)
-    ranked = lookup_district(conform_hotspots(found.top.drop("districtName", "categoryFrequency")), districts)
-    ranked = merge_recommendations(ranked, recommendations).select(
-        "districtId", "districtName", "country", "lat", "lng", "priorityScore", "topCategory",
-        "complaintCount", "avgSeverity", "recommendation",
-    )
+    ranked = recommended(found.top, districts, recommendations)
     clusters = enrich_clusters(
         ws.write(conform_clusters(found.clusters), "clusters"),
         found.unique if dedup_for_clusters else complaints, districts, ws,
     )
     return ranked, clusters
+
+
+def recommended(top: DataFrame, districts: DataFrame, recommendations: DataFrame | None = None) -> DataFrame:
+    """Ranked districts with their place and recommendation."""
+    ranked = lookup_district(conform_hotspots(top.drop("districtName", "categoryFrequency")), districts)
+    return merge_recommendations(ranked, recommendations).select(
+        "districtId", "districtName", "country", "lat", "lng", "priorityScore", "topCategory",
+        "complaintCount", "avgSeverity", "recommendation",
+    )

@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlight import domain
 from wardlight.operators.store import overlay_union
-from wardlight.plans.hotspots import hotspots
 from wardlight.plans.ingest import ingest_reports
 from wardlight.plans.stats import count_reports, stats_from_counts
+from wardlight.streaming.live import LiveHotspots
 from wardlight.workspace import Workspace
 
 REFRESH = "30 seconds"
@@ -87,18 +87,21 @@ def stream_stats(
 
 def stream_hotspots(
     complaints: DataFrame, districts: DataFrame, stored_path: str, ranked_path: str, clusters_path: str,
-    checkpoint: str, every: str | None = REFRESH, k: int = 5,
+    checkpoint: str, every: str | None = REFRESH, k: int = 5, **radii,
 ) -> StreamingQuery:
-    """Append arriving reports to the stored table and recompute hotspots over all of it."""
-    schema = complaints.schema
+    """Add arriving reports to the store at ``stored_path`` and write the hotspots over all of it.
+
+    A batch reads and computes only the places it touches, see :class:`LiveHotspots`.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _write_batch(batch, stored_path, batch_id)
-        ws = Workspace(spark)
-        ranked, clusters = hotspots(read_batches(spark, stored_path, schema), districts, k, workspace=ws)
+        spark, ws = batch.sparkSession, Workspace(batch.sparkSession)
+        live = LiveHotspots(spark, stored_path, **radii)
+        live.add(batch, batch_id, ws)
+        ranked, clusters = live.results(districts, k, version=batch_id, workspace=ws)
         _write_batch(ranked, ranked_path, batch_id)
         _write_batch(clusters, clusters_path, batch_id)
+        live.store.vacuum()
         ws.close()
 
     return _start(complaints, handle, checkpoint, every)
