@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 from wardlight.llm import html_text as ht
 from wardlight.llm.registry import QUERIES
@@ -95,3 +96,49 @@ def test_rarer_boxes_are_deleted_and_passages_stay(spark):
             lines.append("To be or not to be")
         assert [x for x in got[i].split("\n") if i % 2 or x != "To be or not to be"] == lines
     assert all(got[100 + i].startswith(f"Head {i}\nParagraph 0") and "Paragraph 8" in got[100 + i] for i in range(8))
+
+
+def test_names_and_wrappers_around_articles():
+    """Whole names decide; an element that holds the only article is not dropped; teasers are not the article."""
+    def text(source):
+        return ht.read_page(source).text()
+
+    assert text('<div class="content no-sidebar"><article>A story</article></div>') == "A story"
+    assert text('<div id="page" class="site header-fixed"><main>A story</main></div>') == "A story"
+    assert text('<form id="aspnetForm"><nav>menu</nav><article>A story</article></form>') == "A story"
+    assert text('<article>A story<section id="share-price">of shares</section></article>') == "A story\nof shares"
+    assert text('<p>good</p><div class="comments"><article>bad</article></div>') == "good"
+    assert text('<aside><article>teaser</article></aside><p>good</p>') == "good"
+    assert text('<div class="site-footer">f</div><div class="related_posts">r</div><div id="top-banner">b</div><p>good</p>') == "good"
+    story = "A long story of many words. " * 9
+    assert text(f"<article>Teaser</article><div><p>{story}</p></div>") == f"Teaser\n{story.strip()}"
+    assert text(f"<article>{story}</article><div>Short text</div>") == story.strip()
+
+
+def test_repeated_stories_stay(spark):
+    """Blocks of an article, and long ones anywhere, that some of a host's pages repeat."""
+    story = "One story that six of forty pages tell in the same words. " * 6
+    extra = f"<div>{story}</div><table><tr><td>c1<td>c2</table><ul><li>i1<li>i2</ul>"
+
+    def page(i):
+        body = f"<h1>Head {i}</h1><p>Lead {i}</p>{extra if i < 6 else ''}"
+        return f"<article>{body}</article>" if i % 2 else f"<div>{body.split('<table>')[0]}</div>"
+
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(40)], "page_id long, url string, html string")
+    for r in ht.main_texts(df).collect():
+        i = r["page_id"]
+        lines = [f"Head {i}", f"Lead {i}"]
+        if i < 6:
+            lines += [story.strip(), *(["c1", "c2", "i1", "i2"] if i % 2 else [])]
+        assert r["text"].split("\n") == lines
+
+
+def test_deep_pages():
+    """Time grows with the length of a page, however its elements nest."""
+    for source in (
+        "<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "x", "<p><table><tr><td>" + "<div>" * 20_000, "<ul>" + "<li><b>" * 20_000,
+        "<table>" + "<tr><td>" * 20_000, "word <i>and</i> " * 50_000,
+    ):
+        start = time.perf_counter()
+        ht.read_page(source)
+        assert time.perf_counter() - start < 5

@@ -10,12 +10,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import connect, rows_of
 from wardlight.llm import chat, decontamination as dc, licenses, ngram_join as nj
 from wardlight.llm.registry import QUERIES, SQL
 from wardlight.llm.tables import load
+from wardlight.workspace import Workspace
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -194,6 +196,20 @@ def test_licence_names_and_parameters(spark):
     assert sorted(tuple(r) for r in own.collect()) == [(1, "Free's", 1), (2, "House", 1)]
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Extra columns named like those inside stay as they are, through every stage that keeps columns."""
+    odd = ["_id", "_key", "_spans", "_toxic_score", "_n", "id", "KEY", "spans", "toxic_score", "n", "row", "node", "label", "score", "a.b"]
+    docs = load(spark, sf_dir, "documents")
+    docs = docs.filter("doc_id < 60").unionByName(docs.filter("doc_id < 3")).select("*", *[F.lit(f"own {c}").alias(c) for c in odd])
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = Workspace(spark).write(stage(spark, kept, sf_dir), "kept")
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(tuple(r)[-len(odd) :] == tuple(f"own {c}" for c in odd) for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).count() >= kept.count()
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage's decisions, judged on its own input by brute force."""
     docs = load(spark, sf_dir, "documents")

@@ -2,12 +2,14 @@
 
 Every element of a page has a hash of its tag, texts and child elements.  Spark counts,
 for each host, on how many different pages a subtree occurs; common ones are the site's
-template and are deleted, with all that they hold.  A paragraph, heading or list item
-inside an article is common on most pages only, so that quoted passages stay; any other
-block (a notice, box, advert or menu) already on a small share or number of pages.
-Elements that never hold an article's text (menus, scripts, forms, adverts and so on) go
-by their tag, role, class or id; they are counted too, so that the same block without
-the class goes as well.  If the page marks its article, only that is kept.
+template and are deleted, with all that they hold.  A block of text inside an article,
+or of more than ``BOX_CHARS`` characters anywhere, is common on most pages only, so that
+quoted passages and stories told by several pages stay; a short box (a notice, advert or
+menu) already on a small share or number of pages.  Elements that never hold an
+article's text (menus, scripts, forms, adverts and so on) go by their tag, role, class
+or id, unless the page's only text is an article inside; they are counted too, so that the
+same block without the class goes as well.  If the page marks its article, only that is
+kept; marked teasers beside a far longer text are not the article.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ LEAST_PAGES = 5
 BOX_SHARE = 0.1
 #: On so many pages a box needs a tenth of its share only, which bounds the list of a large host.
 BOX_PAGES = 50
-#: Boxes may be so many characters of a page, or half of it; a page with more of them is a near copy of others.
-BOX_CHARS = 500
+#: A box has so many characters at most.
+BOX_CHARS = 200
+#: What articles mark is the main text if it is this share of all text at least.
+ARTICLE_SHARE = 0.25
 #: Bytes of template hashes that may be broadcast to the pages.
 BROADCAST_BYTES = 32 << 20
 
@@ -53,10 +57,10 @@ _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5"
     " h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
-#: Elements that hold a paragraph's text, a quotation or a part of a list or table.
+#: Elements that hold a paragraph's text, a quotation, a list or a table.
 _PARAGRAPHS = frozenset(
-    "address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 header hgroup legend li p pre summary tbody td tfoot th thead"
-    " tr".split()
+    "address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup legend li ol p pre summary"
+    " table tbody td tfoot th thead tr ul".split()
 )
 #: An opened element closes an open one of these kinds, up to the nearest of the bounds.
 _SIBLINGS = {
@@ -64,7 +68,14 @@ _SIBLINGS = {
     "option": (("option",), ("select",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
 }
-_SCOPE = frozenset("table td th caption button object html".split())
+_SCOPE = ("table", "td", "th", "caption", "button", "object", "html")
+#: What an opened element may close, and for each tag where it counts as such or as a bound.
+_CLOSERS = list(dict.fromkeys([(("p",), _SCOPE), *_SIBLINGS.values()]))
+_COUNTED: dict[str, list[tuple[int, bool]]] = {}
+for _i, (_tags, _bounds) in enumerate(_CLOSERS):
+    for _tag in {*_tags, *_bounds}:
+        # A bound that is also closed (a cell in a cell) counts as what is closed.
+        _COUNTED.setdefault(_tag, []).append((_i, _tag not in _tags))
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation"
@@ -73,7 +84,12 @@ _NAMES = frozenset(
     " skip toolbar pagination pager".split()
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME_PARTS = re.compile(r"[\s_\-:]+")
+#: Words that may stand beside those names; any other makes the name one of content.
+_BESIDE = frozenset(
+    "site page article main top bottom left right box block bar list area section wrapper wrap container content inner outer"
+    " button buttons link links post posts item items unit slot global primary secondary mobile desktop".split()
+)
+_NAME_PARTS = re.compile(r"[_\-:]+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -82,6 +98,20 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _names_template(value: str, in_article: bool) -> bool:
+    """True if a class or id is made of the listed names, as ``site-footer``, unlike ``no-sidebar`` or ``share-price``."""
+    for name in value.split():
+        parts = {part for part in _NAME_PARTS.split(name) if part}
+        # A headline's header is part of the article.
+        if parts <= _NAMES | _BESIDE and not _NAMES.isdisjoint(parts - ({"header"} if in_article else set())):
+            return True
+    return False
+
+
+#: Dropped elements that may be wrapped around a whole page.
+_WRAPPERS = frozenset(["form", "header"])
+
+
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     """True for elements that hold no article text, whatever the site."""
     if tag in _DROPPED or tag == "header" and not in_article:
@@ -92,10 +122,8 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and value:
-            # A headline's header is part of the article.
-            if not _NAMES.isdisjoint(set(_NAME_PARTS.split(value)) - ({"header"} if in_article else set())):
-                return True
+        if name in ("class", "id") and value and _names_template(value, in_article):
+            return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
@@ -104,17 +132,23 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
 class Page:
     """One walk over a page; collects blocks of text and the hashes of its subtrees.
 
-    ``template`` holds the hashes of subtrees to delete.  The hashes of an article's
-    paragraphs are odd, those of boxes even.
+    ``template`` holds the hashes of subtrees to delete.  The hashes of boxes are even,
+    those of other blocks odd.  ``unwrap`` keeps articles inside elements that would be
+    dropped by their name, role or as a form.
     """
 
-    def __init__(self, source: str, template: frozenset[int] = frozenset()):
+    def __init__(self, source: str, template: frozenset[int] = frozenset(), unwrap: bool = False):
         self.hashes: set[int] = set()
-        self._template = template
+        self._template, self._unwrap = template, unwrap
+        #: True if an element dropped by name holds an article.
+        self.wrapped = False
+        self._soft = False
+        self._open: dict[str, int] = {}
+        self._counts: list[list[int]] = [[0] for _ in _CLOSERS]
+        self._chars = [0]
         self._blocks: list[str] = []
         self._parts: list[str] = []
         self.article: list[str] = []
-        self._has_article = False
         # tag, blocks and parts so far, pieces to hash, blocks of the outermost article begin here
         self._stack: list[tuple[str, int, int, list[bytes], bool]] = [("", 0, 0, [], False)]
         self._skip = 0
@@ -128,7 +162,9 @@ class Page:
         self.root = self._hash(self._stack[0][3], "")
 
     def text(self) -> str:
-        return "\n".join(self.article if self._has_article and self.article else self._blocks)
+        marked = sum(map(len, self.article))
+        whole = not marked or marked < ARTICLE_SHARE * sum(map(len, self._blocks))
+        return "\n".join(self._blocks if whole else self.article)
 
     def _walk(self, source: str) -> None:
         at, end = 0, len(source)
@@ -160,7 +196,9 @@ class Page:
 
     def _note(self, text: str) -> None:
         if text.strip():
-            self._stack[-1][3].append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
+            text = " ".join(text.split())
+            self._chars[-1] += len(text)
+            self._stack[-1][3].append(text.encode("utf-8", "surrogatepass"))
 
     def _flush(self) -> None:
         if self._parts:
@@ -172,9 +210,9 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         stack = self._stack
         if tag in _CLOSES_P:
-            self._close_to(("p",), _SCOPE)
+            self._close_to(0)
         if tag in _SIBLINGS:
-            self._close_to(*_SIBLINGS[tag])
+            self._close_to(_CLOSERS.index(_SIBLINGS[tag]))
         if tag in _VOID:
             if not self._skip:
                 if tag == "br":
@@ -182,10 +220,19 @@ class Page:
                 elif tag == "hr":
                     self._flush()
             return
+        if self._skip and self._soft and tag in ("article", "main"):
+            self.wrapped = True
+            if self._unwrap:
+                # All that is open around the article becomes a plain element.
+                self._skip, self._listed = 0, None
         if self._skip or _dropped(tag, attributes, self._depth_article > 0):
-            if not self._skip and tag not in _INLINE and tag not in _RAW:
-                # Listed elements are counted as wholes.
-                self._listed = []
+            if not self._skip:
+                self._soft = tag not in _DROPPED or tag in _WRAPPERS
+                if tag not in _INLINE and tag not in _RAW:
+                    # Listed elements are counted as wholes.
+                    self._listed = []
+            elif tag in _DROPPED and tag not in _WRAPPERS:
+                self._soft = False
             self._skip += 1
         elif tag not in _INLINE:
             self._flush()
@@ -193,33 +240,46 @@ class Page:
         if tag in ("article", "main") and not self._skip:
             self._depth_article += 1
         stack.append((tag, len(self._blocks), len(self._parts), [], outermost))
+        self._chars.append(0)
+        self._open[tag] = self._open.get(tag, 0) + 1
+        for i, bound in _COUNTED.get(tag, ()):
+            if bound:
+                self._counts[i].append(0)
+            else:
+                self._counts[i][-1] += 1
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == tag:
-                while len(self._stack) > i:
-                    self._close()
-                return
-
-    def _close_to(self, tags: tuple[str, ...], bounds) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            tag = self._stack[i][0]
-            if tag in tags:
-                while len(self._stack) > i:
-                    self._close()
-                return
-            if tag in bounds:
-                return
+        # Each step closes an element, so that a page takes time by its length.
+        if self._open.get(tag):
+            while self._stack[-1][0] != tag:
+                self._close()
+            self._close()
+
+    def _close_to(self, closer: int) -> None:
+        """Close the innermost open element of a kind, if there is one inside its bounds."""
+        if self._counts[closer][-1]:
+            tags = _CLOSERS[closer][0]
+            while self._stack[-1][0] not in tags:
+                self._close()
+            self._close()
 
     def _hash(self, pieces: list[bytes], tag: str) -> int:
         digest = hashlib.blake2b(b"\x00".join([tag.encode(), *pieces]), digest_size=8).digest()
         return int.from_bytes(digest, "little", signed=True)
 
-    def _kind(self, own: int, tag: str) -> int:
-        return own | 1 if self._depth_article and tag in _PARAGRAPHS else own & ~1
+    def _kind(self, own: int, tag: str, chars: int) -> int:
+        return own | 1 if chars > BOX_CHARS or self._depth_article and tag in _PARAGRAPHS else own & ~1
 
     def _close(self) -> None:
         tag, blocks, parts, pieces, outermost = self._stack.pop()
+        chars = self._chars.pop()
+        self._chars[-1] += chars
+        self._open[tag] -= 1
+        for i, bound in _COUNTED.get(tag, ()):
+            if bound:
+                self._counts[i].pop()
+            else:
+                self._counts[i][-1] -= 1
         if self._skip:
             self._skip -= 1
             if self._listed is not None and pieces:
@@ -227,7 +287,7 @@ class Page:
                 if self._skip:
                     self._stack[-1][3].append(b"\x01" + own.to_bytes(8, "little", signed=True))
                 else:
-                    self.hashes.add(self._kind(own, tag))
+                    self.hashes.add(self._kind(own, tag, chars))
             if not self._skip:
                 self._listed = None
             return
@@ -238,7 +298,7 @@ class Page:
             self._stack[-1][3].append(b"\x01" + own.to_bytes(8, "little", signed=True))
             # Inline elements go only with the whole block that holds them.
             if tag not in _INLINE and tag not in ("html", "body", "article", "main"):
-                own = self._kind(own, tag)
+                own = self._kind(own, tag, chars)
                 self.hashes.add(own)
                 if own in self._template:
                     del self._blocks[blocks:]
@@ -246,13 +306,18 @@ class Page:
         if tag in ("article", "main"):
             self._depth_article -= 1
         if outermost:
-            self._has_article = True
             self.article += self._blocks[blocks:]
 
 
+def read_page(source: str, template: frozenset[int] = frozenset()) -> Page:
+    """Walk a page; an article inside a dropped element counts only if there is no other text."""
+    page = Page(source, template)
+    return Page(source, template, unwrap=True) if page.wrapped and not page.text() else page
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = [Page(source.as_py() or "") for source in batch.column("html")]
+        pages = [read_page(source.as_py() or "") for source in batch.column("html")]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([host_of(u) for u in batch.column("url").to_pylist()]),
@@ -288,20 +353,12 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
 
 
 def main_text(source: str, template: frozenset[int], boxes: frozenset[int]) -> str:
-    """A page's text without its host's template and boxes.
-
-    A page that would lose most of its text to boxes is a near copy of others, not a
-    page with boxes: its boxes stay.
-    """
-    page = Page(source, template)
-    text = page.text()
-    if boxes.isdisjoint(page.hashes):
-        return text
-    less = Page(source, template | boxes)
-    rest = less.text()
-    if not rest or len(page.article) and not len(less.article):
-        return text
-    return text if len(text) - len(rest) > max(BOX_CHARS, len(text) // 2) else rest
+    """A page's text without its host's template and boxes; boxes stay if there is nothing else."""
+    page = read_page(source, template | boxes)
+    if page.article or boxes.isdisjoint(page.hashes):
+        return page.text()
+    with_boxes = read_page(source, template)
+    return with_boxes.text() if with_boxes.article else page.text() or with_boxes.text()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,24 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def without_ids(df: DataFrame, ids: DataFrame, ws: Workspace) -> DataFrame:
     """The rows of ``df`` whose ``doc_id`` is not in ``ids``; rows without an id stay.
 
-    Up to ``BROADCAST_IDS`` ids are broadcast, so that texts do not move; more are joined.
+    All columns stay, whatever their names.  Up to ``BROADCAST_IDS`` ids are broadcast, so
+    that texts do not move; more are joined.
     """
-    ids = ws.write(ids.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "ids")
+    (name,) = free_names(df, "id")
+    ids = ws.write(ids.select(F.col("doc_id").cast("long").alias(name)).filter(F.col(name).isNotNull()).distinct(), "ids")
     other = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.join(other, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return df.join(other, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they differ from those of all columns, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

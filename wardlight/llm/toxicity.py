@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wardlight.llm import textarrays as ta
+from wardlight.llm.tables import free_names
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -206,8 +207,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
     """Fit on at most ``most[c]`` labelled documents of class c that are not held out.
 
     The sample is the documents with the smallest hashes of their ids, so it does not
-    depend on the order of rows.  Rows without an id or label, and ids labelled both
-    ways, are not learned from.
+    depend on the order of rows; of several texts of one id the smallest counts.  Rows
+    without an id or label, and ids labelled both ways, are not learned from.
     """
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -224,8 +225,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
     picked = F.broadcast(chosen[0].union(chosen[1]))
     bags = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(picked, "doc_id").dropDuplicates(["doc_id"])
-        .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+        .join(picked, "doc_id")
+        .groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
         .mapInArrow(ta.tidy(_count_words), "doc_id long, toxic int, words array<binary>, counts array<int>")
     )
     total = sum(counts.values())
@@ -241,8 +242,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
             [pa.array([model.bucket_scores.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["scores", "bias"]
         )
 
-    # The bounded sample is fitted by one task, which keeps the driver small.
-    model = bags.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(ta.tidy(train_on), "scores binary, bias double").first()
+    # The words are counted in many tasks; one fits the bounded sample, which keeps the driver small.
+    model = bags.repartition(1).sortWithinPartitions("doc_id").mapInArrow(ta.tidy(train_on), "scores binary, bias double").first()
     if model is None:
         return train(Sample(), share)
     return Model(np.frombuffer(bytes(model["scores"]), "<f4"), model["bias"])
@@ -265,12 +266,15 @@ def add_scores(documents: DataFrame, model: Model, name: str = "score") -> DataF
     """Add the chance that a text is toxic (a column of this name is replaced)."""
     documents = documents.drop(name)
     at = documents.columns.index("text")
+    # Python functions take no column whose name holds a dot.
+    plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column(name, pa.array(model.scores(batch.column(at))))
+            yield batch.append_column("score", pa.array(model.scores(batch.column(at))))
 
-    return documents.mapInArrow(ta.tidy(score), T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(ta.tidy(score), schema).toDF(*documents.columns, name)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -287,5 +291,6 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those scored at 0.5 or more."""
-    return add_scores(documents, fit(documents, labels), "_toxic_score").filter("_toxic_score < 0.5").drop("_toxic_score")
+    """``documents`` without those scored at 0.5 or more; all columns stay, whatever their names."""
+    (score,) = free_names(documents, "toxic_score")
+    return add_scores(documents, fit(documents, labels), score).filter(F.col(score) < 0.5).drop(score)
