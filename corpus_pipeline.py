@@ -8,14 +8,26 @@ from wardlight.llm import decontamination, ngram_join, packing, suffix_dedup, to
 from wardlight.llm.tables import load
 from wardlight.workspace import Workspace
 
+#: Whole texts that travel to a worker together; Spark's default of 10,000 rows is meant for narrow rows.
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Workers live through all stages, so their batches add up; a size that the session has set stays."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword model does not reject."""
+    _bound_batches(spark)
     return toxicity.without_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, that of the smallest id."""
+    _bound_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -24,17 +36,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text.  Documents of which nothing is left are dropped.
     """
+    _bound_batches(spark)
     cut = suffix_dedup.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _bound_batches(spark)
     return decontamination.without_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece with its sequence and offset."""
+    _bound_batches(spark)
     return packing.pack_documents(docs)
 
 
