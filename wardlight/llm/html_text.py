@@ -142,7 +142,8 @@ class Page:
         self._template, self._unwrap = template, unwrap
         #: True if an element dropped by name holds an article.
         self.wrapped = False
-        self._soft = False
+        #: Place on the stack of the open element that never holds an article.
+        self._hard = 0
         self._open: dict[str, int] = {}
         self._counts: list[list[int]] = [[0] for _ in _CLOSERS]
         self._chars = [0]
@@ -220,19 +221,17 @@ class Page:
                 elif tag == "hr":
                     self._flush()
             return
-        if self._skip and self._soft and tag in ("article", "main"):
+        if self._skip and not self._hard and tag in ("article", "main"):
             self.wrapped = True
             if self._unwrap:
                 # All that is open around the article becomes a plain element.
                 self._skip, self._listed = 0, None
         if self._skip or _dropped(tag, attributes, self._depth_article > 0):
-            if not self._skip:
-                self._soft = tag not in _DROPPED or tag in _WRAPPERS
-                if tag not in _INLINE and tag not in _RAW:
-                    # Listed elements are counted as wholes.
-                    self._listed = []
-            elif tag in _DROPPED and tag not in _WRAPPERS:
-                self._soft = False
+            if not self._skip and tag not in _INLINE and tag not in _RAW:
+                # Listed elements are counted as wholes.
+                self._listed = []
+            if not self._hard and tag in _DROPPED and tag not in _WRAPPERS:
+                self._hard = len(stack)
             self._skip += 1
         elif tag not in _INLINE:
             self._flush()
@@ -275,6 +274,8 @@ class Page:
         chars = self._chars.pop()
         self._chars[-1] += chars
         self._open[tag] -= 1
+        if len(self._stack) == self._hard:
+            self._hard = 0
         for i, bound in _COUNTED.get(tag, ()):
             if bound:
                 self._counts[i].pop()
