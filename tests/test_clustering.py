@@ -255,6 +255,25 @@ def test_nearest_of_many_districts(spark):
     assert len(got) == n and (got.districtId.values[some] == want).all()
 
 
+@pytest.mark.parametrize("count", [1, 40, 700])
+def test_prepared_index_equals_search(spark, tmp_path, count):
+    """An index built without the points gives every point its nearest district, poles and crowds included."""
+    rng = np.random.default_rng(count)
+    pts = pd.DataFrame({"id": range(900), "lat": rng.uniform(-90, 90, 900), "lng": rng.uniform(-180, 180, 900)})
+    pts.loc[:4, ["lat", "lng"]] = [[90, 0], [-90, 10], [0, 180], [0, -180], [0, 0]]
+    dim = pd.DataFrame({"ord": range(count), "id": [f"d{i:04d}" for i in range(count)], "name": "n", "country": "c", "state": "s",
+                        "lat": rng.uniform(-80, 80, count), "lng": rng.uniform(-180, 180, count), "infraScore": 1.0})
+    if count > 100:
+        dim.loc[:300, ["lat", "lng"]] = [40, 20] + rng.normal(0, 0.01, (301, 2))
+        pts.loc[5:200, ["lat", "lng"]] = [40, 20] + rng.normal(0, 0.01, (196, 2))
+    v, w = vec(pts.lat.values, pts.lng.values), vec(dim.lat.values, dim.lng.values)
+    want = dim.id.values[((v[:, None] - w[None]) ** 2).sum(-1).argmin(1)]
+    index = near_mod.NearestIndex(spark, str(tmp_path / "index"))
+    assert not index.exists()
+    got = index.build(spark.createDataFrame(dim)).attach(spark.createDataFrame(pts)).selectExpr("id", "best.id AS d").toPandas().sort_values("id")
+    assert index.exists() and len(got) == 900 and (got.d.values == want).all()
+
+
 def test_hotspots_end_to_end(reports, districts):
     ranked, clusters = hotspots(reports, districts, k=2, radius_m=50.0, min_points=2)
     rows = ranked.orderBy(F.desc("priorityScore")).collect()

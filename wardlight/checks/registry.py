@@ -15,7 +15,7 @@ from wardlight.operators.components import connected_components
 from wardlight.operators.rate_limit import token_bucket
 from wardlight.plans import classify, hotspots as hot, ingest, stats as st
 from wardlight.sources import seed as seeds, sinks, tables
-from wardlight.streaming import reports as streams, stateful
+from wardlight.streaming import reports as streams, stateful, status, upsert
 from wardlight.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -861,11 +861,20 @@ def _(spark, sf):
 # -- streams: the same results from a file stream over the events table ---------------
 
 
-def _stream(spark, sf, view: str) -> DataFrame:
-    """A derived view over the events table read as a stream."""
-    schema = load(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return spark.sql(VIEWS[view], events=events)
+def _stream(spark, sf, view: str | None = None, batches: int = 1) -> DataFrame:
+    """The events table, or a view over it, as a stream of so many micro-batches in event order."""
+    events = load(spark, sf, "events")
+    if batches == 1:
+        source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        folder = f"{Workspace(spark).root}/events"
+        last = events.agg(F.max("event_id").alias("n")).first().n or 0
+        for i in range(batches):
+            # Files are taken in the order in which they were written.
+            part = events.filter(F.floor(F.col("event_id") * batches / (last + 1)) == i)
+            part.coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.sql(VIEWS[view], events=source) if view else source
 
 
 @query("stream_ingest", ["submissions", "catalog", "districts", "district_rows"], O.INGEST)
@@ -894,7 +903,7 @@ def _(spark, sf):
 def _(spark, sf):
     root = Workspace(spark).root
     streams.stream_hotspots(
-        _stream(spark, sf, "complaints"), load(spark, sf, "districts"), f"{root}/stored", f"{root}/ranked",
+        _stream(spark, sf, "complaints", 3), load(spark, sf, "districts"), f"{root}/stored", f"{root}/ranked",
         f"{root}/clusters", f"{root}/log", every=None,
     ).awaitTermination()
     ranked = streams.latest_batch(spark, f"{root}/ranked")
@@ -913,24 +922,44 @@ def _(spark, sf):
     SELECT complaintId, arg_max(status, (updatedAt, seq)) AS status, arg_max(note, (updatedAt, seq)) FILTER (WHERE note IS NOT NULL) AS adminNote,
            epoch_us(max(updatedAt)) AS updatedUs, CAST(count(*) AS INTEGER) AS entries FROM d GROUP BY complaintId""")
 def _(spark, sf):
+    kept = _streamed_status(spark, sf)
+    entries = kept.history().groupBy("complaintId").agg(F.count("*").cast("int").alias("entries"))
+    return kept.current().join(entries, "complaintId").select(
+        "complaintId", "status", "adminNote", F.unix_micros("updatedAt").alias("updatedUs"), "entries"
+    )
+
+
+def _streamed_status(spark, sf) -> status.StatusStore:
     root = Workspace(spark).root
-    folded = stateful.stream_status(_stream(spark, sf, "status_events"), load(spark, sf, "complaints"))
-    # Update mode emits a row per change; the row with the most entries is the current one.
-    folded.writeStream.outputMode("update").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).foreachBatch(
-        lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/status/batch={i}")
-    ).start().awaitTermination()
-    rows = spark.read.parquet(f"{root}/status")
-    last = rows.groupBy("complaintId").agg(F.max_by(F.struct("status", "adminNote", "updatedUs", "entries"), F.struct("batch", "entries")).alias("r"))
-    return last.select("complaintId", "r.*")
+    status.stream_status(
+        _stream(spark, sf, "status_events", 3), load(spark, sf, "complaints"), f"{root}/status", f"{root}/log", buckets=16
+    ).awaitTermination()
+    return status.StatusStore(spark, f"{root}/status")
+
+
+@query("stream_status_rejects", ["status_events", "complaints"], """
+    SELECT complaintId, seq, reason FROM (
+      SELECT e.complaintId, seq, CASE WHEN e.status IS NULL OR e.status NOT IN ('submitted', 'reviewing', 'in_progress', 'resolved') THEN 'status'
+             WHEN length(note) > 500 THEN 'note' WHEN c.id IS NULL AND r.referenceId IS NULL THEN 'complaintId' END AS reason
+      FROM status_events e LEFT JOIN complaints c ON c.id = e.complaintId
+      LEFT JOIN (SELECT DISTINCT referenceId FROM complaints) r ON r.referenceId = e.complaintId) WHERE reason IS NOT NULL""")
+def _(spark, sf):
+    return _streamed_status(spark, sf).rejected().select("complaintId", "seq", "reason")
+
+
+@query("stream_upsert", [], SQL["upsert_complaints"])
+def _(spark, sf):
+    root, schema = Workspace(spark).root, "id string, ord long, category string"
+    rows = _stream(spark, sf, "complaints", 3).filter("userId IS NOT NULL").select(F.col("userId").alias("id"), "ord", "category")
+    upsert.stream_upsert(rows, f"{root}/rows", schema, "ord", f"{root}/log", buckets=16).awaitTermination()
+    return upsert.UpsertStore(spark, f"{root}/rows", schema, "ord", buckets=16).read()
 
 
 @query("stream_token_bucket", [], SQL["token_bucket"])
 def _(spark, sf):
     root = Workspace(spark).root
-    schema = load(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     flags = stateful.stream_token_bucket(
-        events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "event_id", 3.0, _RATE
+        _stream(spark, sf, batches=4).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "event_id", 3.0, _RATE
     )
     flags.writeStream.format("parquet").option("path", f"{root}/flags").option("checkpointLocation", f"{root}/log").trigger(
         availableNow=True

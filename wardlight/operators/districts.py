@@ -8,7 +8,7 @@ from wardlight import domain
 from wardlight.functions import geo
 from wardlight.functions.text import label, normalize_admin_name, strip_district_suffix
 from wardlight.operators import joins
-from wardlight.operators.nearest import attach_nearest
+from wardlight.operators.nearest import NearestIndex, attach_nearest
 from wardlight.workspace import Workspace
 
 
@@ -123,17 +123,19 @@ def ensure_district_rows(reports: DataFrame, districts: DataFrame, catalog: Data
 
 
 def assign_district(
-    reports: DataFrame, districts: DataFrame, workspace: Workspace | None = None
+    reports: DataFrame, districts: DataFrame, workspace: Workspace | None = None, index: NearestIndex | None = None
 ) -> DataFrame:
     """Set ``districtId`` and ``stateName``: a known explicit id wins, else the nearest district.
 
+    ``index`` is a prepared index over the same districts.
     Rows with neither a known id nor finite coordinates get null for both.
     """
     dim = districts.select(F.col("id").alias("districtId"), F.col("state").alias("_state"))
     matched = joins.lookup(reports, dim.withColumn("_known", F.lit(True)), "districtId", "left")
     explicit = matched.filter("_known").withColumn("stateName", F.col("_state")).drop("_known", "_state")
     rest = matched.filter("_known IS NULL").drop("_known", "_state")
-    placed = attach_nearest(rest.filter(geo.located("lat", "lng")), districts, workspace).withColumns(
+    located = rest.filter(geo.located("lat", "lng"))
+    placed = (index.attach(located) if index else attach_nearest(located, districts, workspace)).withColumns(
         {"districtId": F.col("best.id"), "stateName": F.col("best.state")}
     )
     nowhere = rest.filter(~geo.located("lat", "lng")).withColumns(

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wardlight.functions import geo
 from wardlight.operators import joins
@@ -124,13 +124,7 @@ def attach_nearest(
     spark = points.sparkSession
     ws = workspace or Workspace(spark)
     n = len(metric.axes("lat", "lng"))
-    carried = [c for c in ("ord", "id", "name", "state", "country", "infraScore") if c in districts.columns]
-    # Of districts at one place only the first in tie order can ever win.
-    places = districts.groupBy("lat", "lng").agg(F.min_by(F.struct(*carried), tie).alias("d"))
-    places = places.selectExpr(
-        "struct(lat, lng, d.*) AS district", *[f"{a} AS d{i}" for i, a in enumerate(metric.axes("lat", "lng"))]
-    )
-    places = ws.write(places, "places")
+    places = ws.write(_places(districts, metric, tie), "places")
     size = places.count()
     if size == 0:
         raise ValueError("nearest district search needs at least one district")
@@ -170,6 +164,94 @@ def attach_nearest(
     return result
 
 
+class NearestIndex:
+    """Short lists for every cell of the sphere, written once for a table of districts.
+
+    :func:`attach_nearest` derives its lists from the points at hand; this derives them
+    from the districts alone, so that any number of batches can use them.  A cell whose
+    list would be long gives way to its finer cells, down to cells that are small against
+    the mean spacing of districts; around denser crowds lists stay longer.
+    """
+
+    FIRST = 4
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _levels(self) -> list[int]:
+        """Levels that have lists; empty if the index is not complete."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("level=")) if "_SUCCESS" in names else []
+
+    def exists(self) -> bool:
+        return bool(self._levels())
+
+    def build(self, districts: DataFrame, workspace: Workspace | None = None, tie: str = "id") -> NearestIndex:
+        ws = workspace or Workspace(self.spark)
+        places, n, level, parents, lists = ws.write(_places(districts, SPHERE, tie), "places"), 3, self.FIRST, None, []
+        if not joins.has_rows(places):
+            raise ValueError("nearest district search needs at least one district")
+        grid = [f"g{i}" for i in range(n)]
+        cells = self.spark.range(1)
+        for g in grid:
+            cells = cells.withColumn(g, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2**level).cast("long"))))
+        finest = max(level, places.count().bit_length() // 2 + 3)
+        while True:
+            bits = level if parents is None else STEP
+            pairs = ws.write(_narrow(_on_sphere(cells, level), _nodes(places, n, level), parents, SPHERE, n, bits), "pairs")
+            crowded = pairs.groupBy(*grid).agg(F.sum("m").alias("m")).filter(F.col("m") > SHORT_LIST).select(*grid)
+            crowded = ws.write(crowded if level < finest else crowded.limit(0), "crowded")
+            calm = pairs.join(crowded, grid, "left_anti")
+            lists.append(_lists(calm, places, SPHERE, n, level, ws).withColumn("level", F.lit(level)))
+            if not joins.has_rows(crowded):
+                break
+            level, parents, cells = level + STEP, pairs.join(crowded, grid, "left_semi"), crowded
+            for g in grid:
+                inside = F.sequence(F.shiftleft(g, STEP), F.shiftleft(g, STEP) + (2**STEP - 1))
+                cells = cells.withColumn(g, F.explode(inside))
+        whole = lists[0]
+        for more in lists[1:]:
+            whole = whole.unionByName(more)
+        whole.write.mode("overwrite").partitionBy("level").parquet(self.path)
+        return self
+
+    def attach(self, points: DataFrame, tie: str = "id") -> DataFrame:
+        """All columns of ``points`` (with finite coordinates) and ``best``, as :func:`attach_nearest`."""
+        grid, axes = [f"g{i}" for i in range(3)], SPHERE.axes("_plat", "_plng")
+        rows = points.selectExpr("*", "CAST(lat AS DOUBLE) AS _plat", "CAST(lng AS DOUBLE) AS _plng")
+        answer = None
+        for level in self._levels():
+            placed = rows.selectExpr("*", *[f"{_index(a, level)} AS {g}" for a, g in zip(axes, grid)])
+            found = _pick(placed, self.spark.read.parquet(f"{self.path}/level={level}"), grid, SPHERE, tie, points.columns)
+            answer = found if answer is None else answer.unionByName(found)
+        if answer is None:
+            raise ValueError(f"there is no complete index at {self.path}")
+        return answer
+
+
+def _on_sphere(cells: DataFrame, level: int) -> DataFrame:
+    """The cells that hold points of the sphere, with their bounds as boxes."""
+    step, near, far = 2.0 ** (1 - level), [], []
+    for i in range(3):
+        cells = cells.selectExpr("*", f"g{i} * {step!r}D - 1D AS lo{i}", f"(g{i} + 1) * {step!r}D - 1D AS hi{i}")
+        near.append(f"pow(greatest(0D, lo{i}, -hi{i}), 2D)")
+        far.append(f"pow(greatest(abs(lo{i}), abs(hi{i})), 2D)")
+    return cells.filter(f"{' + '.join(near)} <= 1D + 1e-9D AND {' + '.join(far)} >= 1D - 1e-9D").select(
+        *[f"g{i}" for i in range(3)], *[f"{b}{i}" for i in range(3) for b in ("lo", "hi")]
+    )
+
+
+def _places(districts: DataFrame, metric: Metric, tie: str) -> DataFrame:
+    """``district, d0 …``: of districts at one place the first in tie order, as only that can ever win."""
+    carried = [c for c in ("ord", "id", "name", "state", "country", "infraScore") if c in districts.columns]
+    places = districts.groupBy("lat", "lng").agg(F.min_by(F.struct(*carried), tie).alias("d"))
+    return places.selectExpr(
+        "struct(lat, lng, d.*) AS district", *[f"{a} AS d{i}" for i, a in enumerate(metric.axes("lat", "lng"))]
+    )
+
+
 def _index(axis: str, level: int) -> str:
     return f"CAST(floor(({axis} + 1D) * {2.0 ** (level - 1)!r}D) AS BIGINT)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlight import domain
 from wardlight.functions import display
@@ -111,6 +111,12 @@ def clean_status_events(events: DataFrame) -> DataFrame:
     ).withColumn("note", F.when(note != "", note))
 
 
+def event_fault() -> Column:
+    """Why a status event cannot be taken, whichever report it names: status or note; null if it can."""
+    fine = F.coalesce(F.col("status").isin(domain.STATUSES), F.lit(False))
+    return F.when(~fine, "status").when(F.length("note") > 500, "note")
+
+
 def report_names(complaints: DataFrame) -> DataFrame:
     """``wanted, _report``: every name that a report answers to, its id first, else its reference id."""
     by_id = complaints.select(F.col("id").alias("wanted"), F.col("id").alias("_report"), F.lit(0).alias("_rank"))
@@ -130,10 +136,7 @@ def resolve_events(events: DataFrame, complaints: DataFrame) -> DataFrame:
 def rejected_status_events(events: DataFrame, complaints: DataFrame) -> DataFrame:
     """Events that :func:`status_history` leaves out, with ``reason``: status, note or complaintId."""
     names = report_names(complaints).withColumnRenamed("wanted", "complaintId")
-    reason = (
-        F.when(~F.coalesce(F.col("status").isin(domain.STATUSES), F.lit(False)), "status")
-        .when(F.length("note") > 500, "note").when(F.col("_report").isNull(), "complaintId")
-    )
+    reason = F.coalesce(event_fault(), F.when(F.col("_report").isNull(), "complaintId"))
     return events.join(names, "complaintId", "left").withColumn("reason", reason).filter("reason IS NOT NULL").select(
         *events.columns, "reason"
     )

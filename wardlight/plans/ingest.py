@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight import domain
 from wardlight.functions import scoring
 from wardlight.operators import joins
 from wardlight.operators.districts import assign_district, ensure_district_rows
+from wardlight.operators.nearest import NearestIndex
 from wardlight.operators.validation import conform_severity, split_valid, validate_complaints
 from wardlight.plans.classify import classify_reports
 from wardlight.workspace import Workspace
 
 
 def ingest_reports(
-    submissions: DataFrame, districts: DataFrame, catalog: DataFrame, workspace: Workspace | None = None
+    submissions: DataFrame, districts: DataFrame, catalog: DataFrame, workspace: Workspace | None = None,
+    index_of: Callable[[DataFrame], NearestIndex] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stored reports, rejects, districts).
 
@@ -24,13 +28,14 @@ def ingest_reports(
 
     ``submissions`` has the columns of ``validate_complaints`` plus ``id, userId,
     timestamp, isAnonymous, photoUrls`` and, if there is model output, ``enrichment``.
+    ``index_of`` gives a prepared index over the returned districts.
     """
     ws = workspace or Workspace(submissions.sparkSession)
     # Read several times below: validate once.
     checked = ws.write(validate_complaints(submissions, catalog), "checked")
     valid, rejects = split_valid(checked)
     known = ws.write(known_districts(valid, districts, catalog), "districts")
-    return finish_reports(valid, known, ws), rejects, known
+    return finish_reports(valid, known, ws, index_of(known) if index_of else None), rejects, known
 
 
 def known_districts(reports: DataFrame, districts: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -43,12 +48,14 @@ def known_districts(reports: DataFrame, districts: DataFrame, catalog: DataFrame
     ).select(*rows.columns)
 
 
-def finish_reports(valid: DataFrame, districts: DataFrame, workspace: Workspace | None = None) -> DataFrame:
+def finish_reports(
+    valid: DataFrame, districts: DataFrame, workspace: Workspace | None = None, index: NearestIndex | None = None
+) -> DataFrame:
     """Classify, place, score and shape rows that passed validation.
 
     A report's own ``districtId`` wins if ``districts`` has it.
     """
-    placed = classify_reports(assign_district(valid, districts, workspace))
+    placed = classify_reports(assign_district(valid, districts, workspace, index))
     c = F.col("classification")
     scored = scoring.mask_anonymous(
         placed.withColumns(

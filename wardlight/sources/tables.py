@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardlight import domain
+from wardlight.sources.json_arrays import read_elements
 
 _BAD = "_corrupt"
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
-    """Rows of ``schema`` and, in ``_corrupt``, the text of what could not be read."""
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str, large: bool = False) -> DataFrame:
+    """Rows of ``schema`` and, in ``_corrupt``, the text of what could not be read.
+
+    A ``large`` array is read by many tasks.
+    """
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path).withColumn(_BAD, F.lit(None).cast("string"))
-    # An array of objects needs multiLine; JSON Lines files split and scale.
     loose = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    if fmt == "json-array" and large:
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+        parsed = F.from_json("element", loose, options).alias("r")
+        return read_elements(spark, path).select(parsed).select("r.*")
+    # A small array is read as a whole; JSON Lines files split and scale.
     return (
         spark.read.schema(loose)
         .option("multiLine", fmt == "json-array")
@@ -54,16 +62,16 @@ def read_complaints(spark: SparkSession, path: str, fmt: str = "json-array") ->
     ``fmt`` is ``json-array``, ``json-lines`` or ``parquet``.  The query fails on what
     cannot be read and on rows without lat, lng or severity; see :func:`split_complaints`.
     """
-    return _complaint_defaults(_sound(_with_reason(_read(spark, path, _COMPLAINT, fmt), _COMPLAINT_NEEDS)))
+    return _complaint_defaults(_sound(_with_reason(_read(spark, path, _COMPLAINT, fmt, True), _COMPLAINT_NEEDS)))
 
 
 def split_complaints(spark: SparkSession, path: str, fmt: str = "json-array") -> tuple[DataFrame, DataFrame]:
     """(reports, rejects): rejects have ``reason, record`` and the columns that could be read.
 
-    A JSON array that breaks off is one reject, with its whole text as ``record``; the
-    rows before the break are rejected with it.
+    A JSON array is read in as many splits as its file has; of one that breaks off, the
+    rows before the break are good and what is left of the last one is a reject.
     """
-    rows = _with_reason(_read(spark, path, _COMPLAINT, fmt), _COMPLAINT_NEEDS)
+    rows = _with_reason(_read(spark, path, _COMPLAINT, fmt, True), _COMPLAINT_NEEDS)
     good = _complaint_defaults(rows.filter("reason IS NULL").drop("reason", _BAD))
     return good, rows.filter("reason IS NOT NULL").withColumnRenamed(_BAD, "record")
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight import domain
+from wardlight.operators import joins
+from wardlight.operators.nearest import NearestIndex
 from wardlight.operators.store import overlay_union
 from wardlight.plans.ingest import ingest_reports
 from wardlight.plans.stats import count_reports, stats_from_counts
@@ -46,7 +48,9 @@ def stream_ingest(
     """Validate, classify, place and store arriving submissions; rejects go to their own folder.
 
     Rows of districts that reports bring about go to ``districts_path`` (by default
-    beside ``stored_path``), where later batches find them.
+    beside ``stored_path``), where later batches find them.  The index for the nearest
+    district lies beside it and is built anew by batches that bring new districts only;
+    ``districts`` must stay the same.
 
     ``every`` is a processing interval; without it the query takes what is there and ends.
     """
@@ -55,12 +59,22 @@ def stream_ingest(
         spark, ws = batch.sparkSession, Workspace(batch.sparkSession)
         made = districts_path or f"{stored_path}-districts"
         given = known = districts.select(*[f.name for f in domain.DISTRICT])
+        newest = -1
         if _exists(spark, made):
             # A batch that is run again does not see what it wrote before.
             shape = T.StructType([*given.schema.fields, T.StructField("batch", T.LongType())])
-            earlier = spark.read.schema(shape).parquet(made).filter(F.col("batch") < batch_id).drop("batch")
-            known = overlay_union(given, earlier)
-        stored, rejects, after = ingest_reports(batch, known, catalog, ws)
+            earlier = spark.read.schema(shape).parquet(made).filter(F.col("batch") < batch_id)
+            known = overlay_union(given, earlier.drop("batch"))
+            newest = earlier.agg(F.max("batch")).first()[0]
+            newest = -1 if newest is None else newest
+
+        def index_of(after: DataFrame) -> NearestIndex:
+            # The districts are those as of the last batch that brought any.
+            new = joins.has_rows(after.join(known.select("id"), "id", "left_anti"))
+            index = NearestIndex(spark, f"{made}-index/batch={batch_id if new else newest}")
+            return index if index.exists() and not new else index.build(after, ws)
+
+        stored, rejects, after = ingest_reports(batch, known, catalog, ws, index_of)
         _write_batch(after.join(known.select("id"), "id", "left_anti").select(*given.columns), made, batch_id)
         _write_batch(stored, stored_path, batch_id)
         _write_batch(rejects, rejects_path, batch_id)

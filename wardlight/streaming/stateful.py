@@ -1,12 +1,11 @@
-"""Keyed streaming state: the status of each report and the bucket of each sender.
+"""Keyed streaming state: the bucket of each sender.
 
-Both functions order the rows of one key inside each micro-batch; the source's rate
-limit (``maxFilesPerTrigger`` and the like) bounds what a key can bring at once.
+The rows of one key are ordered inside each micro-batch; the source's rate limit
+(``maxFilesPerTrigger`` and the like) bounds what a key can bring at once.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,67 +13,45 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardlight.operators.rate_limit import CAPACITY, REFILL_PER_S, flag_run, units
-from wardlight.operators.store import clean_status_events, resolve_events
 
-_ENTRY = ["us", "seq", "status", "adminId", "note"]
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    entries = {tuple(e[:1] + e[2:]): e for e in json.loads(state.get[0])} if state.exists else {}
-    for frame in frames:
-        for row in frame[_ENTRY].itertuples(index=False):
-            entry = [int(row.us), int(row.seq), row.status, row.adminId, None if pd.isna(row.note) else row.note]
-            same = tuple(entry[:1] + entry[2:])
-            if same not in entries or entries[same][1] < entry[1]:
-                entries[same] = entry
-    history = sorted(entries.values(), key=lambda e: (e[0], e[1]))
-    state.update((json.dumps(history),))
-    notes = [e[4] for e in history if e[4] is not None]
-    yield pd.DataFrame(
-        {
-            "complaintId": [key[0]], "status": [history[-1][2]], "adminNote": [notes[-1] if notes else None],
-            "updatedUs": [history[-1][0]], "entries": [len(history)], "history": [json.dumps(history, ensure_ascii=False)],
-        }
-    )
-
-
-def stream_status(events: DataFrame, complaints: DataFrame) -> DataFrame:
-    """Current status per report after each batch with events for it (update mode).
-
-    ``history`` is a JSON array of [microseconds, seq, status, adminId, note] in time
-    order; late events take their place in it.
-    """
-    known = resolve_events(clean_status_events(events), complaints).filter("complaintId IS NOT NULL")
-    return known.select("complaintId", F.unix_micros("updatedAt").alias("us"), "seq", "status", "adminId", "note").groupBy(
-        "complaintId"
-    ).applyInPandasWithState(
-        _fold,
-        "complaintId string, status string, adminNote string, updatedUs long, entries int, history string",
-        "history string", "update", GroupStateTimeout.NoTimeout,
-    )
+#: How far the watermark stays behind the newest event.
+LATENESS = "1 hour"
 
 
 def stream_token_bucket(
-    events: DataFrame, key: str, time: str, tie: str, capacity: float = CAPACITY, refill_per_s: float = REFILL_PER_S
+    events: DataFrame, key: str, time: str, tie: str, capacity: float = CAPACITY, refill_per_s: float = REFILL_PER_S,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """Flag arriving events (append mode).
 
-    The state of a key is two numbers, kept for good: event time decides about refills, so
-    no pause of the stream may forget a bucket.  Events older than the state find no refill.
+    The state of a key is two numbers.  It is dropped by an event-time timer once the
+    watermark, ``lateness`` behind the newest event, has passed the moment at which the
+    bucket is full again: from then on a missing state says the same, so nothing is lost
+    however long the stream pauses.  An event that is older than its key's state finds no
+    refill; Spark drops events that are older than the watermark, so ``lateness`` must
+    cover the disorder of the source.
     """
     scale = units(capacity, refill_per_s)
-    slim = events.select(F.col(key).alias("k"), F.unix_micros(time).alias("us"), F.col(tie).alias("tie"))
+    watched = events.select(F.col(key).alias("k"), F.col(time).alias("at"), F.col(tie).alias("tie")).withWatermark("at", lateness)
+    slim = watched.select("k", F.unix_micros("at").alias("us"), "tie", "at")
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
 
     def flag(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["us", "tie"])
         times = rows["us"].tolist()
         tokens, last = state.get if state.exists else (scale[2], times[0])
         flags, tokens = flag_run(times, tokens, last, scale)
-        state.update((tokens, max(last, times[-1])))
+        last = max(last, times[-1])
+        state.update((tokens, last))
+        if scale[1]:
+            full_us = last - (tokens - scale[2]) // scale[1]  # rounded up
+            state.setTimeoutTimestamp(max(full_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield rows[["k", "us", "tie"]].assign(allowed=flags)
 
     return slim.groupBy("k").applyInPandasWithState(
         flag, f"k {kinds['k']}, us long, tie {kinds['tie']}, allowed boolean", "tokens long, last long", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     ).select(F.col("k").alias(key), F.timestamp_micros("us").alias(time), F.col("tie").alias(tie), "allowed")
