@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm.tables import number
-from wardlight.llm.textarrays import tidy
+from wardlight.llm.textarrays import forget_for_others, tidy
 from wardlight.workspace import Workspace
 
 LIMIT = 2048
@@ -112,6 +112,7 @@ def _as_bytes(ids: list[int]) -> bytes:
 def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        forget_for_others("packing", _tokenizers.clear)
     return _tokenizers[path]
 
 
@@ -147,7 +148,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, limit: int = LIMI
             )
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(tidy(cut), _PIECE_SCHEMA)
+    return narrow.mapInArrow(tidy(cut, "packing"), _PIECE_SCHEMA)
 
 
 def fit_counts(patterns: np.ndarray, target: np.ndarray, steps: int = 400) -> np.ndarray:

@@ -130,10 +130,24 @@ def release_memory() -> None:
         pass  # another C library
 
 
-def tidy(function: Callable) -> Callable:
-    """A function for ``mapInArrow`` that releases memory at the end of its task."""
+#: What to do before a task of another operator: a worker lives through many, and what it remembers adds up.
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def forget_for_others(owner: str, function: Callable[[], None]) -> None:
+    """Have ``function`` drop what ``owner``'s tasks remember when another operator's task begins."""
+    _forget[owner] = function
+
+
+def tidy(function: Callable, owner: str = "") -> Callable:
+    """A function for ``mapInArrow`` that releases memory at the end of its task, and what other owners remember before."""
 
     def run(batches):
+        others = [name for name in _forget if name != owner]
+        for name in others:
+            _forget.pop(name)()
+        if others:
+            release_memory()
         yield from function(batches)
         release_memory()
 
