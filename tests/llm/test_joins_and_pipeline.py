@@ -142,6 +142,19 @@ def test_snapshots(spark):
     assert chat.collapse_snapshots(df.limit(0)).count() == 0
 
 
+def test_long_conversations_and_ties(spark):
+    """50,000 turns in one conversation, equal turn numbers, repeated rows, a long text, and snapshots of all of them."""
+    long = [(1, i, "user", f"turn {i}") for i in range(50_000)]
+    rows = [*long, *((2, *r[1:]) for r in long[:30_000]), (3, 0, "user", "b"), (3, 0, "user", "a"), (3, 0, "user", "a"),
+            (4, 5, "user", "a"), (4, 6, "user", "a"), (5, 0, None, "x" * 500_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["n_snapshots"], len(r["text"])) for r in chat.collapse_snapshots(df).collect()}
+    each = len("<|user|>\n" + "<|end|>")
+    assert set(got) == {1, 3, 5}
+    assert got[1] == (50_000, 1, sum(len(r[3]) + each for r in long) + 49_999)
+    assert got[3] == (3, 1, 3 * (each + 1) + 2) and got[5] == (1, 1, 500_000 + each)
+
+
 def test_short_benchmark_items_make_bounded_slices(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"{i:03}"[:3]) for i in range(1000)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"{i:03}") for i in range(0, 1000, 50)], "doc_id long, text string")

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from wardlight.llm import toxicity as tx
+from wardlight.llm import textarrays as ta, toxicity as tx
 from wardlight.llm.registry import QUERIES
 from wardlight.llm.tables import load
 
@@ -62,3 +62,34 @@ def test_learns_nothing_from_held_out_rows(spark):
     docs = spark.createDataFrame([(i, f"word{i} text") for i in ids], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
     assert not tx.fit(docs, labels).bucket_scores.any()
+
+
+def test_scores_equal_a_plain_version():
+    """A text's score from the means over its words' own and n-gram rows, one by one."""
+    rng = np.random.default_rng(2)
+    model = tx.Model(rng.normal(0, 3, tx.BUCKETS).astype(np.float32), -0.25)
+
+    def row(piece: bytes) -> int:
+        block = ta.Block(0, np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))
+        return int(block.spans(np.array([0]), np.array([len(piece)]))[0] % np.uint64(tx.BUCKETS))
+
+    def plain(text: str | None) -> float:
+        found, total = tx.words(text or ""), 0.0
+        for word in found:
+            marked = b"<" + word + b">"
+            pieces = [marked, *(marked[i : i + n] for n in tx.GRAMS for i in range(len(marked) - n + 1))]
+            total += np.mean([model.bucket_scores[row(p)] for p in pieces])
+        return 1 / (1 + np.exp(-(model.bias + total / (len(found) + tx.BLANK_WORDS))))
+
+    texts = [None, "", "a", "Some WORDS, some words again; größe 日本", "x" * 300, "...", "one two " * 50]
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), [plain(t) for t in texts], atol=1e-6)
+
+
+def test_several_texts_of_one_id(spark):
+    """The smallest text of an id is learned from, whatever the order and partitions of rows."""
+    rows = [(i, f"bad{i % 7} stuff {i}" if i % 2 else f"good{i % 5} things {i}") for i in range(300)]
+    rows += [(i, "zzz other text") for i in range(0, 300, 3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = (tx.fit(d, labels) for d in (docs, docs.orderBy("text").repartition(5)))
+    assert one.bias == other.bias and np.array_equal(one.bucket_scores, other.bucket_scores)

@@ -3,13 +3,13 @@
 Chat logs often hold every state of a conversation: each snapshot repeats all turns so
 far and adds some.  A snapshot is a proper prefix of a longer one exactly if the hash of
 all its turns equals the hash of as many leading turns of the longer one.  Hashes of
-prefixes are rolled over the turns in the JVM; an anti join keeps the conversations that
-no longer one continues, and only those are rendered.
+prefixes are rolled over the turns by a running window, in time by their number; an anti
+join keeps the conversations that no longer one continues, and only those are rendered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROLES = ("system", "user", "assistant", "tool")
 
@@ -36,39 +36,25 @@ def collapse_snapshots(conversations: DataFrame) -> DataFrame:
     the conversations (this one included) that are equal to the one that stayed.  Turns
     are compared by two 64-bit hashes rolled over them.  A conversation must fit a task.
     """
-    turn = F.struct(
-        F.col("turn").cast("long").alias("turn"),
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    hashed = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).select(
-        "conv_id", "t.turn", F.xxhash64("t.role", "t.text").alias("a"), F.xxhash64("t.text", "t.role", F.lit(7)).alias("b"),
-        F.col("t.role").alias("role"), F.col("t.text").alias("text"),
+    # One sort per conversation; the hash of a prefix follows from that of the one before it and its last turn.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = turns.withColumn("n", F.row_number().over(order))
+    hashes = F.xxhash64("n", "role", "text"), F.xxhash64("text", "role", F.lit(7), "n")
+    rolled = placed.select(
+        "conv_id", F.struct("n", *(F.bit_xor(h).over(order).alias(c) for h, c in zip(hashes, "ab"))).alias("key"),
+        F.lead("n").over(order).isNotNull().alias("goes_on"),
     )
-    # Only hashes travel for the comparison; the order of texts decides ties of turn numbers.
-    keys = hashed.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "a", "b"))).alias("turns")
-    ).select("conv_id", F.transform("turns", lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"))).alias("h"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    rolled = F.aggregate(
-        "h", start,
-        lambda acc, t: F.concat(acc, F.array(F.struct(
-            F.xxhash64(F.element_at(acc, -1)["a"], t["a"]).alias("a"), F.xxhash64(F.element_at(acc, -1)["b"], t["b"]).alias("b"),
-        ))),
-    )
-    keyed = keys.select("conv_id", F.slice(rolled, 2, F.size("h")).alias("p")).withColumn("n", F.size("p"))
-    whole = keyed.select("conv_id", "n", F.element_at("p", -1).alias("key"))
     # Every proper prefix that some conversation continues; a popular one is one row per task after the partial distinct.
-    prefixes = (
-        keyed.filter("n > 1").select(F.explode(F.slice("p", F.lit(1), F.col("n") - 1)).alias("key")).distinct()
-    )
-    same = whole.groupBy("key").agg(
-        F.min("conv_id").alias("conv_id"),
-        F.first("n").alias("n_turns"), F.count("*").alias("n_snapshots"),
-    )
-    kept = same.join(prefixes, "key", "left_anti").select("conv_id", "n_turns", "n_snapshots")
-    chosen = hashed.join(kept, hashed["conv_id"].eqNullSafe(kept["conv_id"])).select(
-        hashed["conv_id"], "n_turns", "n_snapshots", "turn", "role", "text"
+    prefixes = rolled.filter("goes_on").select("key").distinct()
+    same = rolled.filter("NOT goes_on").groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_snapshots"))
+    kept = same.join(prefixes, "key", "left_anti").select("conv_id", F.col("key.n").alias("n_turns"), "n_snapshots")
+    chosen = turns.join(kept, turns["conv_id"].eqNullSafe(kept["conv_id"])).select(
+        turns["conv_id"], "n_turns", "n_snapshots", "turn", "role", "text"
     )
     return (
         chosen.groupBy("conv_id", "n_turns", "n_snapshots")
