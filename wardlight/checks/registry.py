@@ -226,7 +226,10 @@ def _(spark, sf):
       SELECT pointId, lat, lng, state, country_code, 0 AS pos, state_district AS v FROM addresses
       UNION ALL SELECT pointId, lat, lng, state, country_code, 1, district FROM addresses
       UNION ALL SELECT pointId, lat, lng, state, country_code, 2, county FROM addresses
-      UNION ALL SELECT pointId, lat, lng, state, country_code, 5, city FROM addresses),
+      UNION ALL SELECT pointId, lat, lng, state, country_code, 3, city_district FROM addresses
+      UNION ALL SELECT pointId, lat, lng, state, country_code, 4, municipality FROM addresses
+      UNION ALL SELECT pointId, lat, lng, state, country_code, 5, city FROM addresses
+      UNION ALL SELECT pointId, lat, lng, state, country_code, 6, town FROM addresses),
     k AS (SELECT pointId, lat, lng, pos, trim(regexp_replace(lower(state), '[^a-z0-9]+', ' ', 'g')) AS s,
                  regexp_replace(trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g')), '\\s+district$', '') AS d
           FROM f WHERE country_code = 'in' AND state IS NOT NULL AND v IS NOT NULL),
@@ -904,7 +907,7 @@ def _(spark, sf):
     root = Workspace(spark).root
     streams.stream_hotspots(
         _stream(spark, sf, "complaints", 3), load(spark, sf, "districts"), f"{root}/stored", f"{root}/ranked",
-        f"{root}/clusters", f"{root}/log", every=None,
+        f"{root}/clusters", f"{root}/log", every=None, buckets=16,
     ).awaitTermination()
     ranked = streams.latest_batch(spark, f"{root}/ranked")
     return _rounded(

@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
                CAST(600 + n_nationkey AS STRING) AS lgdCode, 's' || CAST(n_regionkey AS STRING) AS stateId,
                'State ' || CAST(n_regionkey AS STRING) AS stateName,
                CASE WHEN n_regionkey < 4 THEN 'state' ELSE 'union-territory' END AS kind
-        FROM {{nation}} WHERE n_nationkey % 6 <> 5""",
+        FROM {{nation}}""",
     "complaints": f"""
         SELECT e AS ord, 'c' || CAST(e AS STRING) AS id, g % 25 AS district,
                {case_list('g % 6', domain.MODEL_CATEGORIES)} AS category,
@@ -162,9 +162,11 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE ' STATE--' || CAST(c_nationkey % 5 AS STRING) END AS state,
                CASE WHEN c_custkey % 3 = 0 THEN 'Unheard of' END AS state_district,
                CASE WHEN c_custkey % 5 = 0 THEN 'NATION ' || CAST(c_nationkey AS STRING) || ' District' END AS district,
-               CASE WHEN c_custkey % 2 = 0 THEN 'nation-' || CAST((c_nationkey + 5) % 25 AS STRING) END AS county,
-               CAST(NULL AS STRING) AS city_district, CAST(NULL AS STRING) AS municipality,
-               'Nation_' || CAST(c_nationkey AS STRING) AS city, CAST(NULL AS STRING) AS town
+               CASE WHEN c_custkey % 2 = 0 THEN 'nation-' || CAST((c_nationkey + 4) % 25 AS STRING) END AS county,
+               CASE WHEN c_custkey % 7 = 0 THEN 'NATION--' || CAST((c_nationkey + 10) % 25 AS STRING) END AS city_district,
+               CASE WHEN c_custkey % 3 = 1 THEN 'nation ' || CAST((c_nationkey + 15) % 25 AS STRING) || ' district' END AS municipality,
+               CASE WHEN c_custkey % 4 <> 1 THEN 'Nation_' || CAST(c_nationkey AS STRING) END AS city,
+               CASE WHEN c_custkey % 8 = 1 THEN 'Nation ' || CAST(c_nationkey AS STRING) END AS town
         FROM {customer}""",
     "district_docs": f"""
         SELECT s_suppkey AS ord,

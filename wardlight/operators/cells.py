@@ -225,14 +225,17 @@ def _split_until_decided(grid: Grid, points: DataFrame, pairs: DataFrame, ws: Wo
 def _parts(grid: Grid, points: DataFrame, open_pairs: DataFrame, level: int) -> DataFrame:
     """Summaries of the quarter cells (at ``level``) of every part that is still open."""
     edge = grid.edge / 4.0**level
-    fine = points.drop(*CELL).selectExpr("*", *_cell_sql(edge))
     parent = [f"p{c}" for c in CELL]
     # Dividing by an edge scaled by a power of four is exact, so a shift finds the parent.
-    summary = grid.summarise(fine).drop("sum_lat", "sum_lng", "node").withColumns(
-        {p: F.shiftright(c, 2) for p, c in zip(parent, CELL)}
-    )
+    parents = {p: F.shiftright(c, 2) for p, c in zip(parent, CELL)}
+    fine = points.drop(*CELL).selectExpr("*", *_cell_sql(edge))
     wanted = None
     for side in "ab":
         part = open_pairs.select(*grid.keys, *[F.col(f"{side}_p{c}").alias(f"p{c}") for c in CELL])
         wanted = part if wanted is None else wanted.union(part)
-    return summary.join(wanted.distinct(), grid.keys + parent, "left_semi")
+    wanted = wanted.distinct()
+    if joins.is_small(wanted):
+        # Only the points of open parts are summed up.
+        fine = fine.withColumns(parents).join(F.broadcast(wanted), grid.keys + parent, "left_semi")
+    summary = grid.summarise(fine).drop("sum_lat", "sum_lng", "node").withColumns(parents)
+    return summary.join(wanted, grid.keys + parent, "left_semi")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.operators import joins
+from wardlight.shipping import ship_package
 from wardlight.workspace import Workspace
 
 #: So many links (16 bytes each) may meet in one task.
@@ -34,6 +35,7 @@ def connected_components(
     ``nodes`` has one ``node`` column, ``edges`` has ``src`` and ``dst``.
     Returns ``node, label``.
     """
+    ship_package(nodes.sparkSession)
     ws = workspace or Workspace(nodes.sparkSession)
     links = ws.write(_undirected(edges.select("src", "dst")), "links")
     lows = nodes.selectExpr("node", "node AS low").distinct()

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.operators import joins
+from wardlight.shipping import ship_package
 from wardlight.workspace import Workspace
 
 CAPACITY = 20.0
@@ -99,6 +100,7 @@ def token_bucket(
 
     Events of a key are taken in the order of ``time`` and ``tie``.
     """
+    ship_package(events.sparkSession)
     ws = workspace or Workspace(events.sparkSession)
     scale = units(capacity, refill_per_s)
     slim = events.select(F.col(key).alias("k"), F.unix_micros(time).alias("us"), F.col(tie).alias("tie"), F.col(time).alias("time"))

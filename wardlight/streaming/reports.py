@@ -101,16 +101,17 @@ def stream_stats(
 
 def stream_hotspots(
     complaints: DataFrame, districts: DataFrame, stored_path: str, ranked_path: str, clusters_path: str,
-    checkpoint: str, every: str | None = REFRESH, k: int = 5, **radii,
+    checkpoint: str, every: str | None = REFRESH, k: int = 5, **options,
 ) -> StreamingQuery:
     """Add arriving reports to the store at ``stored_path`` and write the hotspots over all of it.
 
-    A batch reads and computes only the places it touches, see :class:`LiveHotspots`.
+    A batch reads and computes only the places it touches, see :class:`LiveHotspots`,
+    which takes the further options.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, ws = batch.sparkSession, Workspace(batch.sparkSession)
-        live = LiveHotspots(spark, stored_path, **radii)
+        live = LiveHotspots(spark, stored_path, **options)
         live.add(batch, batch_id, ws)
         ranked, clusters = live.results(districts, k, version=batch_id, workspace=ws)
         _write_batch(ranked, ranked_path, batch_id)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardlight.operators.rate_limit import CAPACITY, REFILL_PER_S, flag_run, units
+from wardlight.shipping import ship_package
 
 #: How far the watermark stays behind the newest event.
 LATENESS = "1 hour"
@@ -31,6 +32,7 @@ def stream_token_bucket(
     refill; Spark drops events that are older than the watermark, so ``lateness`` must
     cover the disorder of the source.
     """
+    ship_package(events.sparkSession)
     scale = units(capacity, refill_per_s)
     watched = events.select(F.col(key).alias("k"), F.col(time).alias("at"), F.col(tie).alias("tie")).withWatermark("at", lateness)
     slim = watched.select("k", F.unix_micros("at").alias("us"), "tie", "at")
