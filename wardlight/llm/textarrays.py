@@ -122,7 +122,8 @@ def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterat
 
 
 def release_memory() -> None:
-    """Hand freed memory back to the system; workers live on after a task."""
+    """Hand freed memory back to the system, tables of powers too; workers live on after a task."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
