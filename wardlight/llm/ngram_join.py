@@ -84,18 +84,17 @@ def with_partners(documents: DataFrame, total: int, words: int, percent: int) ->
     columns = max(16, -(-4 * total // BLOCK_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, waiting, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            waiting, size = [], 0
-            for part in _sets(batch, words):
-                waiting.append(part)
-                size += len(part[1])
+            for ids, hashes, begins in _sets(batch, words):
+                # A copy of the ids, so that the batch can go.
+                waiting.append((np.array(ids.to_numpy(zero_copy_only=False)), hashes, begins))
+                size += len(hashes)
                 if size > SEND_BYTES // 8:
                     yield _blobs(waiting, number, columns)
                     number, waiting, size = number + 1, [], 0
-            if waiting:
-                yield _blobs(waiting, number, columns)
-                number += 1
+        if waiting:
+            yield _blobs(waiting, number, columns)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         data = [np.frombuffer(d, "<u4") for d in pdf["hashes"]]
@@ -126,7 +125,7 @@ def with_partners(documents: DataFrame, total: int, words: int, percent: int) ->
 
 def _blobs(parts: list, number: int, columns: int) -> pa.RecordBatch:
     """One row per block of columns; the documents' ids and sizes go with one of them."""
-    ids = np.concatenate([p[0].to_numpy(zero_copy_only=False) for p in parts]).astype("<i8")
+    ids = np.concatenate([p[0] for p in parts]).astype("<i8")
     n = np.concatenate([np.diff(p[2]) for p in parts])
     hashes = np.concatenate([p[1] for p in parts])
     column = ((hashes >> np.uint64(32)) % np.uint64(columns)).astype(np.int64)
