@@ -9,7 +9,7 @@ from wardlight.llm.tables import load
 from wardlight.workspace import Workspace
 
 #: Whole texts that travel to a worker together; Spark's default of 10,000 rows is meant for narrow rows.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
