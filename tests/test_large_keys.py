@@ -28,6 +28,6 @@ def shifted(sf_dir, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["gen_seed", "get_complaint"])
+@pytest.mark.parametrize("name", ["gen_seed", "get_complaint", "resolve_complaints"])
 def test_twin(spark, shifted, name):
     assert compare(spark, connect(shifted), shifted, name) is None
