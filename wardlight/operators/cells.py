@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardlight.functions import geo
 from wardlight.operators import joins
+from wardlight.operators.components import connected_components
 from wardlight.workspace import Workspace
 
 #: Absolute slack on unit-sphere lengths that covers floating-point error (0.06 micrometres).
@@ -152,16 +153,36 @@ def neighbour_pairs(grid: Grid, left: DataFrame, right: DataFrame, only: str = "
     )
 
 
-def linked_cells(grid: Grid, points: DataFrame, cells: DataFrame, ws: Workspace) -> DataFrame:
-    """Pairs ``src, dst`` of cells that hold at least one pair of points within the radius.
+def labelled_cells(grid: Grid, points: DataFrame, cells: DataFrame, ws: Workspace) -> DataFrame:
+    """``node, label``: cells joined where they hold a pair of points within the radius, by their smallest node.
 
-    Boxes decide most pairs.  Of the rest, small ones are compared point by point and
-    large ones are split into quarter cells until the boxes decide.
+    Samples decide most pairs, and small ones are compared point by point.  A large one
+    matters only if its cells are not joined by then: those are split into quarter cells
+    until the boxes decide.
     """
+    edges, large = _links(grid, points, cells, ws)
+    labels = connected_components(cells.select("node"), edges, ws, grid.hot_rows)
+    if not joins.has_rows(large):
+        return labels
+    ends = {s: labels.toDF(f"{s}_node", f"{s}_label") for s in "ab"}
+    apart = large.join(ends["a"], "a_node").join(ends["b"], "b_node").filter("a_label <> b_label")
+    apart = ws.write(apart, "apart")
+    if not joins.has_rows(apart):
+        return labels
+    found = _split_until_decided(grid, points, apart.drop("a_label", "b_label"), ws).toDF("a_node", "b_node")
+    met = apart.join(found, ["a_node", "b_node"], "left_semi")
+    groups = labels.filter("node = label").select("node")
+    merged = connected_components(groups, met.selectExpr("a_label AS src", "b_label AS dst"), ws, grid.hot_rows)
+    return ws.write(joins.lookup(labels, merged.toDF("label", "_to"), "label", hot_rows=grid.hot_rows).selectExpr("node", "_to AS label"), "merged")
+
+
+def _links(grid: Grid, points: DataFrame, cells: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``src, dst`` of cells that surely hold a near pair of points, and the large pairs still undecided."""
     slim = cells.drop("sum_lat", "sum_lng")
+    # One near pair is enough, and the samples may be one; where boxes say that all pairs are near, they are.
     pairs = neighbour_pairs(grid, slim, slim, "a_node < b_node").selectExpr(
         *grid.keys, "a_node", "b_node", "a_n", "b_n", *[f"{s}_{c}" for s in "ab" for c in CELL],
-        grid.verdict("a", "b") + " AS near",
+        f"CASE WHEN {grid.near('a', 'b')} THEN true WHEN {grid.single('a')} AND {grid.single('b')} THEN false END AS near",
     )
     pairs = ws.write(pairs, "cellpairs")
     edges = pairs.filter("near").select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
@@ -176,12 +197,7 @@ def linked_cells(grid: Grid, points: DataFrame, cells: DataFrame, ws: Workspace)
         mine = prefixed(small.select(*grid.cell_keys, "lat", "lng"), side, grid.keys)
         found = found.join(mine, grid.keys + [f"{side}_{c}" for c in CELL])
     found = found.filter(grid.near("a", "b")).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
-    edges = edges.union(found)
-
-    large = undecided.filter(~is_direct)
-    if joins.has_rows(large):
-        edges = edges.union(_split_until_decided(grid, points, large, ws))
-    return edges.distinct()
+    return edges.union(found), undecided.filter(~is_direct)
 
 
 def _points_of_small_cells(grid: Grid, points: DataFrame, cells: DataFrame) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from wardlight.functions import geo
 from wardlight.operators import joins
 from wardlight.operators.cells import (
-    CELL, Grid, linked_cells, near_by_chord, near_by_haversine, neighbour_pairs, point_boxes, prefixed,
+    CELL, Grid, labelled_cells, near_by_chord, near_by_haversine, neighbour_pairs, point_boxes, prefixed,
 )
-from wardlight.operators.components import connected_components
 from wardlight.operators.ranking import number_rows
 from wardlight.workspace import Workspace
 
@@ -79,8 +78,7 @@ def dedup_reports(
     keyed = df.withColumn("_category", F.coalesce("category", F.lit("\0")))
     points = ws.write(grid.place(keyed), "points")
     cells = ws.write(grid.summarise(points), "cells")
-    links = linked_cells(grid, points, cells, ws)
-    labels = connected_components(cells.select("node"), links, ws, hot_rows)
+    labels = labelled_cells(grid, points, cells, ws)
     first = labels.filter(F.col("node") == F.col("label")).select(F.col("node").alias("ord"))
     return df.join(first, "ord", "left_semi").select(*df.columns).unionByName(everything.filter(~geo.located("lat", "lng")))
 
@@ -123,8 +121,7 @@ def dbscan(
         in_dense = points.join(sparse.select("ord"), "ord", "left_anti")
         core_points = in_dense.unionByName(sparse_core.select(*points.columns))
 
-    links = linked_cells(grid, core_points, core_cells, ws)
-    labels = connected_components(core_cells.select("node"), links, ws, hot_rows)
+    labels = labelled_cells(grid, core_points, core_cells, ws)
     core_cells = core_cells.join(labels, "node")
     ranks = number_rows(labels.filter(F.col("node") == F.col("label")).select("label"), "label", "clusterId", ws)
     border = None
