@@ -198,3 +198,18 @@ def test_likeness_of_long_repetitive_texts(runs):
     assert fp.likeness(long, empty) == 0
     # One run, n and 1.1 n times: 1 - 0.01 / 2.21.
     assert abs(fp.likeness(long, longer) - (1 - 0.01 / 2.21)) < 1e-4
+
+
+def test_words_are_forgotten_a_part_at_a_time(monkeypatch):
+    """Texts of a block have the ids they have alone, also when few words are remembered."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
+    monkeypatch.setattr(packing, "BLOCK_WORDS", 3)
+    path = packing.default_tokenizer()
+    texts = ["One two, three.", "", "four five six seven ONE", "a\tb\n\nc two, É é <|x|>", "  eight nine ten " * 5]
+    own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    for _ in range(2):
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in own.ids_of([t.encode() for t in texts])]
+        assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own._young) <= 4 + len(own._old) and len(own._old) <= 40

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm.tables import number
@@ -29,12 +30,18 @@ LIMIT = 2048
 END_ID = 0
 #: Width of the bins of the fitted patterns, as a part of the limit.
 BINS = 64
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a task remembers: so many of late, and as many from before.
+CACHE_WORDS = 200_000
 #: Words of letters that are tokenised as one text.
 JOINED = 256
+#: Bytes of text, and words, that are worked on together.
+BLOCK_BYTES, BLOCK_WORDS = 1 << 20, 1 << 18
 #: Parts that the tokenizer splits between and treats apart.
 _LETTERS_THEN_SIGNS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: Words that are one part, which the normaliser leaves as it is.
+_LETTERS = re.compile(rb"[a-z]+")
+_SPACES = bytes.maketrans(b"\n\t\r", b"   ")
+_LOWER_SPACES = bytes.maketrans(b"\n\t\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -44,7 +51,7 @@ class WordTokenizer:
 
     For tokenizers that lower case, drop white space, never look across it and split
     letters from punctuation, the ids of a text are those of its space-separated parts,
-    so a word seen before costs one look-up.
+    so a word seen before costs one look-up per block of texts.
     """
 
     def __init__(self, path: str):
@@ -52,57 +59,92 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._known: dict[bytes, bytes] = {b"": b""}
+        #: Words used of late, and those used before; the latter are forgotten when the former are too many.
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
         """The ids of UTF-8 bytes, as little-endian unsigned 32-bit numbers."""
-        # A combining mark may compose with a small letter only, and a special token is
-        # spelled in small letters: such texts keep their capitals.
-        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
-            text = text.lower()
-        words = text.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" ")
-        known = self._known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn(set(words))
-        return b"".join([known[w] for w in words])
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self._known
-        new = words.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            known[b""] = b""
-            new = words.difference(known)
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each of several texts, which are worked on together."""
+        words = pc.split_pattern(pa.array([_plain(t) for t in texts], pa.large_binary()), b" ")
+        ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        known = self._look_up(coded.dictionary.to_pylist())
+        of, begin = coded.indices.to_numpy(), 0
+        for end in ends.tolist():
+            # Slices of words, so that a long text needs little besides its ids.
+            some = [of[i : min(end, i + BLOCK_WORDS)].tolist() for i in range(begin, end, BLOCK_WORDS)]
+            yield b"".join([b"".join([known[o] for o in part]) for part in some])
+            begin = end
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = self._remembered(words)
+        new = [w for w in words if w not in found]
         split = {w: m.groups() for w in new if (m := _LETTERS_THEN_SIGNS.fullmatch(w))}
-        missing = list({part for w in new for part in split.get(w, (w,))}.difference(known))
-        texts = [w.decode() for w in missing]
+        parts = list({part for w in new for part in split.get(w, (w,))}.difference(found))
+        found |= self._remembered(parts)
+        self._learn(found, [part for part in parts if part not in found])
+        for w, (letters, signs) in split.items():
+            found[w] = found[letters] + found[signs]
+        return [found[w] for w in words]
+
+    def _remembered(self, words: list[bytes]) -> dict[bytes, bytes]:
+        young, old = self._young, self._old
+        again = {w: old[w] for w in words if w in old and w not in young}
+        young |= again
+        found = {w: young[w] for w in words if w in young}
+        found[b""] = b""
+        return found
+
+    def _learn(self, found: dict[bytes, bytes], missing: list[bytes]) -> None:
+        learned: dict[bytes, bytes] = {}
+        tokenize = self._model.tokenize
+        others = []
+        for w in missing:
+            if _LETTERS.fullmatch(w):
+                learned[w] = _as_bytes([token.id for token in tokenize(w.decode())])
+            else:
+                others.append(w)
+        texts = [w.decode() for w in others]
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
         for k in range(0, len(plain), JOINED):
-            self._learn_plain([missing[i] for i in plain[k : k + JOINED]], [texts[i] for i in plain[k : k + JOINED]])
-        self._learn_each([w for w in missing if w not in known])
-        for w, (letters, signs) in split.items():
-            known[w] = known[letters] + known[signs]
-
-
-    def _learn_plain(self, words: list[bytes], texts: list[str]) -> None:
+            chosen = plain[k : k + JOINED]
+            learned |= self._learn_plain([others[i] for i in chosen], [texts[i] for i in chosen])
+        learned |= self._learn_each([w for w in others if w not in learned])
+        found |= learned
+        for w, ids in learned.items():
+            if len(self._young) >= CACHE_WORDS:
+                self._old, self._young = self._young, {}
+            self._young[w] = ids
+
+    def _learn_plain(self, words: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
         """Tokenise words of letters together; each ends with the only token that ends a word."""
         ids = np.array(self._tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(words):
             return self._learn_each(words)
-        data, begin = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist()):
-            self._known[word] = data[begin:end]
-            begin = end
+        data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {word: data[begin:end] for word, begin, end in zip(words, ends, ends[1:])}
 
-    def _learn_each(self, words: list[bytes]) -> None:
+    def _learn_each(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self._known.update(zip(words, (_as_bytes(e.ids) for e in found)))
+        return {w: _as_bytes(e.ids) for w, e in zip(words, found)}
+
+
+def _plain(text: bytes) -> bytes:
+    """White space as blanks and A-Z lowered."""
+    # A combining mark may compose with a small letter only, and a special token is
+    # spelled in small letters: such texts keep their capitals.
+    mixed = b"\xcc" in text or b"\xcd" in text or b"<|" in text
+    return text.translate(_SPACES if mixed else _LOWER_SPACES)
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -122,6 +164,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of a batch, some ``BLOCK_BYTES`` at a time."""
+    docs, texts, size = [], [], 0
+    for doc, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.large_binary())):
+        docs.append(doc.as_py())
+        texts.append(text.as_py() or b"")
+        size += len(texts[-1])
+        if size >= BLOCK_BYTES:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def pieces(documents: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """The pieces of every document: ``doc_id, piece, start, length, ids_crc32``.
 
@@ -135,12 +191,12 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, limit: int = LIMI
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.large_binary())):
-                ids = tokens.ids(text.as_py() or b"") + end
-                doc = doc.as_py()
-                for i in range(0, len(ids), 4 * limit):
-                    part = ids[i : i + 4 * limit]
-                    rows.append((doc, i // (4 * limit), i // 4, len(part) // 4, zlib.crc32(part)))
+            for docs, texts in _blocks(batch):
+                for doc, ids in zip(docs, tokens.ids_of(texts)):
+                    ids += end
+                    for i in range(0, len(ids), 4 * limit):
+                        part = ids[i : i + 4 * limit]
+                        rows.append((doc, i // (4 * limit), i // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
