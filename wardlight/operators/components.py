@@ -45,7 +45,7 @@ def connected_components(
         attach = _Attach(hot_rows if size > hot_rows else None)
         first = ws.write(_hook(links, len(rounds)), "first")
         moves = attach(first, first.toDF("parent", "above"), "parent").selectExpr("node", "above AS parent")
-        step = ws.write(moves.join(lows, "node"), "hook")
+        step = ws.write(moves.join(lows.hint("merge"), "node"), "hook")
         links = ws.write(_contract(links, step, attach), "links")
         rounds.append((step, lows, attach))
         lows = ws.write(step.groupBy("parent").agg(F.min("low").alias("low")).toDF("node", "low"), "lows")
@@ -53,17 +53,22 @@ def connected_components(
     labels = ws.write(_finish(links, lows, ws), "labels")
     for step, lows, attach in reversed(rounds):
         deep = attach(step.select("node", "parent"), labels.toDF("parent", "deep"), "parent").select("node", "deep")
-        labels = ws.write(lows.join(deep, "node", "left").selectExpr("node", "coalesce(deep, low) AS label"), "labels")
+        labels = ws.write(lows.join(deep.hint("merge"), "node", "left").selectExpr("node", "coalesce(deep, low) AS label"), "labels")
     return labels
 
 
 class _Attach:
-    """Join to a table with unique keys, splitting hot keys if the graph can have any."""
+    """Join to a table with unique keys, splitting hot keys if the graph can have any.
+
+    Tables of nodes are shuffled even where Spark would broadcast them: broadcasts of every
+    round would all pass through the driver.
+    """
 
     def __init__(self, hot_rows: int | None):
         self.hot_rows = hot_rows
 
     def __call__(self, left: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+        dim = dim.hint("merge")
         if self.hot_rows is None:
             return left.join(dim, key)
         return joins.lookup(left, dim, key, hot_rows=self.hot_rows)
