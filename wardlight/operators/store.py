@@ -117,13 +117,24 @@ def event_fault() -> Column:
     return F.when(~fine, "status").when(F.length("note") > 500, "note")
 
 
+def names_of_reports(complaints: DataFrame) -> DataFrame:
+    """``wanted, _report, _rank``: each report's id (rank 0) and reference id (rank 1), read in one pass."""
+    def name(column: str, rank: int) -> Column:
+        return F.struct(F.col(column).alias("wanted"), F.col("id").alias("_report"), F.lit(rank).alias("_rank"))
+
+    return complaints.select(F.inline(F.array(name("id", 0), name("referenceId", 1)))).filter(
+        (F.col("_rank") == 0) | F.col("wanted").rlike(domain.REFERENCE_ID_PATTERN)
+    )
+
+
+def first_of_name(names: DataFrame) -> DataFrame:
+    """``wanted, _report``: the report of each name, by rank, then the smallest id."""
+    return names.groupBy("wanted").agg(F.min(F.struct("_rank", "_report"))["_report"].alias("_report"))
+
+
 def report_names(complaints: DataFrame) -> DataFrame:
     """``wanted, _report``: every name that a report answers to, its id first, else its reference id."""
-    by_id = complaints.select(F.col("id").alias("wanted"), F.col("id").alias("_report"), F.lit(0).alias("_rank"))
-    by_reference = complaints.filter(F.col("referenceId").rlike(domain.REFERENCE_ID_PATTERN)).select(
-        F.col("referenceId").alias("wanted"), F.col("id").alias("_report"), F.lit(1).alias("_rank")
-    )
-    return by_id.union(by_reference).groupBy("wanted").agg(F.min_by("_report", F.struct("_rank", "_report")).alias("_report"))
+    return first_of_name(names_of_reports(complaints))
 
 
 def resolve_events(events: DataFrame, complaints: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ class StatusStore:
         bad = batch.withColumn("reason", store.event_fault()).filter("reason IS NOT NULL")
         asked = ws.write(store.clean_status_events(batch).unionByName(change.read("waiting").select(*_COLUMNS)), "asked")
         wanted = ws.write(asked.select(F.col("complaintId").alias("wanted")).distinct(), "wanted")
-        names = store.report_names(_asked_for(complaints, wanted)).withColumnRenamed("wanted", "complaintId")
+        names = _asked_for(complaints, wanted).withColumnRenamed("wanted", "complaintId")
         found = ws.write(asked.join(names, "complaintId", "left"), "found")
         known = found.filter("_report IS NOT NULL").withColumn("complaintId", F.col("_report")).select(*_COLUMNS)
         unknown = self._bucketed(found.filter("_report IS NULL").select(*_COLUMNS))
@@ -98,11 +98,9 @@ def _distinct_entries(rows: DataFrame) -> DataFrame:
 
 
 def _asked_for(complaints: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The reports that answer to a wanted name; the reports are not shuffled for a small batch."""
+    """The wanted ones of the names that reports answer to; the reports are not shuffled for a small batch."""
     some = F.broadcast(wanted) if joins.is_small(wanted) else wanted
-    slim = complaints.select("id", "referenceId")
-    found = [slim.join(some.toDF(c), c, "left_semi").select("id", "referenceId") for c in ("id", "referenceId")]
-    return found[0].union(found[1]).distinct()
+    return store.first_of_name(store.names_of_reports(complaints).join(some, "wanted", "left_semi"))
 
 
 def stream_status(
