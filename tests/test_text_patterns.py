@@ -55,3 +55,15 @@ def test_confidence_of_latin_texts(spark):
     rows = spark.createDataFrame([("the road 7",), ("A",), ("7 -",), ("",), ("hai nahi ka",), (None,)], "text string")
     got = [r.s and (r.s.code, r.s.confidence) for r in rows.select(tx.detect_script(F.col("text")).alias("s")).collect()]
     assert got[:5] == [("en", 1.0), ("en", 1.0), ("en", 0.0), ("en", 0.0), ("hi-Latn", 1.0)]
+
+
+def test_most_frequent_keyword_of_many(spark):
+    # Two water, two road words: of equal counts the first seen wins; counts are made for what occurs only.
+    texts = ["water road tap road", "road water road tap", "internet", "nothing", "дорога road дорога"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.keyword for r in tx.keyword_classify(rows).collect()}
+    assert [got[i] and (got[i].category, got[i].language) for i in range(5)] == [
+        ("water", "en"), ("roads", "en"), ("internet", "en"), None, ("roads", "ru")
+    ]
+    parts = tx.keyword_summary_parts(F.col("hits"))._jc.toString()
+    assert not any(f"'{c}'" in parts or f" {c})" in parts for c in ("sanitation", "electricity"))
