@@ -213,3 +213,21 @@ def test_words_are_forgotten_a_part_at_a_time(monkeypatch):
         found = [np.frombuffer(ids, "<u4").tolist() for ids in own.ids_of([t.encode() for t in texts])]
         assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(own._young) <= 4 + len(own._old) and len(own._old) <= 40
+
+
+def test_letters_are_tokenised_without_the_signs_after_them():
+    """Words are remembered without punctuation, and the ids are those of the whole text."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert list(own.ids_of([b"", b""])) == [b"", b""]
+    own.ids("été. Été, été! word; WORD?".encode())
+    assert set(own._young) == {w.encode() for w in "été word . , ! ; ?".split()} | {"Été".encode()}
+    rng = np.random.default_rng(5)
+    parts = ["a", "don't", "'S", "é", "ß", "İ", "×", "÷", "Ж", "中", "≠", "é", "̀", ".", "..", "<|", "|>", "'", "`", "_",
+             "7", " ", "\n", " ", "<|endoftext|>", "ÿ", "À"]
+    texts = ["".join(rng.choice(parts, int(n))) for n in rng.integers(0, 30, 2000)]
+    for block in (texts, [f"{t}." for t in texts[:300]], [f".{t}" for t in texts[300:600]]):
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in own.ids_of([t.encode() for t in block])]
+        assert found == [plain.encode(t, add_special_tokens=False).ids for t in block]

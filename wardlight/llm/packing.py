@@ -10,7 +10,6 @@ a time.  The pieces then look up their place by their rank among pieces of their
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,10 +35,11 @@ CACHE_WORDS = 200_000
 JOINED = 256
 #: Bytes of text, and words, that are worked on together.
 BLOCK_BYTES, BLOCK_WORDS = 1 << 20, 1 << 18
-#: Parts that the tokenizer splits between and treats apart.
-_LETTERS_THEN_SIGNS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
-#: Words that are one part, which the normaliser leaves as it is.
-_LETTERS = re.compile(rb"[a-z]+")
+#: Signs, and the small letters and last bytes of U+00C0 to U+00FF, between which the tokenizer always splits.
+_SIGN, _SMALL, _LATIN = np.zeros((3, 256), bool)
+_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+_SMALL[0x61:0x7B] = True
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True  # neither of the signs for times and divided by
 _SPACES = bytes.maketrans(b"\n\t\r", b"   ")
 _LOWER_SPACES = bytes.maketrans(b"\n\t\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,61 +73,52 @@ class WordTokenizer:
 
     def ids_of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each of several texts, which are worked on together."""
-        words = pc.split_pattern(pa.array([_plain(t) for t in texts], pa.large_binary()), b" ")
+        words = pc.split_pattern(_parted([_plain(t) for t in texts]), b" ")
         ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        known = self._look_up(coded.dictionary.to_pylist())
-        of, begin = coded.indices.to_numpy(), 0
+        data, at = _data(coded.dictionary), _offsets(coded.dictionary)
+        at = (at - at[0]).tolist()
+        known = pa.array(self._look_up([data[i:j] for i, j in zip(at, at[1:])]), pa.large_binary())
+        of, begin = coded.indices, 0
+        if len(of) <= BLOCK_WORDS:
+            taken = known.take(of)
+            data, at = _data(taken), [0, *_offsets(taken)[ends].tolist()]
+            yield from (data[i:j] for i, j in zip(at, at[1:]))
+            return
         for end in ends.tolist():
             # Slices of words, so that a long text needs little besides its ids.
-            some = [of[i : min(end, i + BLOCK_WORDS)].tolist() for i in range(begin, end, BLOCK_WORDS)]
-            yield b"".join([b"".join([known[o] for o in part]) for part in some])
+            some = [known.take(of[i : min(end, i + BLOCK_WORDS)]) for i in range(begin, end, BLOCK_WORDS)]
+            yield b"".join([_data(part) for part in some])
             begin = end
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
-        found = self._remembered(words)
-        new = [w for w in words if w not in found]
-        split = {w: m.groups() for w in new if (m := _LETTERS_THEN_SIGNS.fullmatch(w))}
-        parts = list({part for w in new for part in split.get(w, (w,))}.difference(found))
-        found |= self._remembered(parts)
-        self._learn(found, [part for part in parts if part not in found])
-        for w, (letters, signs) in split.items():
-            found[w] = found[letters] + found[signs]
-        return [found[w] for w in words]
-
-    def _remembered(self, words: list[bytes]) -> dict[bytes, bytes]:
-        young, old = self._young, self._old
-        again = {w: old[w] for w in words if w in old and w not in young}
-        young |= again
-        found = {w: young[w] for w in words if w in young}
-        found[b""] = b""
-        return found
-
-    def _learn(self, found: dict[bytes, bytes], missing: list[bytes]) -> None:
+        found = list(map(self._young.get, words))
+        others = [w for w, ids in zip(words, found) if ids is None]
+        again = {w: self._old[w] for w in others if w in self._old}
+        self._young |= again
+        learned = again | self._learn([w for w in others if w and w not in again])
+        learned[b""] = b""
+        return [learned[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         learned: dict[bytes, bytes] = {}
-        tokenize = self._model.tokenize
-        others = []
-        for w in missing:
-            if _LETTERS.fullmatch(w):
-                learned[w] = _as_bytes([token.id for token in tokenize(w.decode())])
-            else:
-                others.append(w)
-        texts = [w.decode() for w in others]
+        texts = [w.decode() for w in missing]
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
         for k in range(0, len(plain), JOINED):
             chosen = plain[k : k + JOINED]
-            learned |= self._learn_plain([others[i] for i in chosen], [texts[i] for i in chosen])
-        learned |= self._learn_each([w for w in others if w not in learned])
-        found |= learned
+            learned |= self._learn_plain([missing[i] for i in chosen], [texts[i] for i in chosen])
+        learned |= self._learn_each([w for w in missing if w not in learned])
         for w, ids in learned.items():
             if len(self._young) >= CACHE_WORDS:
                 self._old, self._young = self._young, {}
             self._young[w] = ids
+        return learned
 
     def _learn_plain(self, words: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
         """Tokenise words of letters together; each ends with the only token that ends a word."""
-        ids = np.array(self._tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        (found,) = self._tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
         ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(words):
             return self._learn_each(words)
@@ -147,6 +138,38 @@ def _plain(text: bytes) -> bytes:
     return text.translate(_SPACES if mixed else _LOWER_SPACES)
 
 
+def _parted(texts: list[bytes]) -> pa.LargeBinaryArray:
+    """The texts with a blank between each letter and the sign after it.
+
+    The tokenizer ends a part there whatever comes before or after, so the ids stay the
+    same, and words are met without their punctuation.  Texts in which a special token
+    may stand are left as they are, and so are letters beyond U+00FF.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.flatnonzero(_SIGN[data[1:]]) + 1
+    before = data[at - 1]
+    latin = _LATIN[before] & (at > 1) & (data[at - 2] == 0xC3)
+    at = at[_SMALL[before] | latin]
+    text = np.searchsorted(offsets, at, "right") - 1
+    special = np.fromiter((b"<|" in t for t in texts), bool, len(texts))
+    inside = (at > offsets[text]) & ~special[text]
+    at, text = at[inside], text[inside]
+    offsets[1:] += np.cumsum(np.bincount(text, minlength=len(texts)))
+    data = np.insert(data, at, 0x20)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _offsets(strings: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def _data(strings: pa.LargeBinaryArray) -> bytes:
+    begin, end = _offsets(strings)[[0, -1]].tolist()
+    return strings.buffers()[2][begin:end].to_pybytes() if end > begin else b""
+
+
 def _as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
