@@ -124,32 +124,45 @@ def near_by_chord(radius_m: float) -> Callable[[str, str], str]:
     return lambda a, b: geo.chord_sq_sql(f"{a}_lat", f"{a}_lng", f"{b}_lat", f"{b}_lng") + f" <= {limit!r}D"
 
 
-def neighbour_pairs(grid: Grid, left: DataFrame, right: DataFrame, only: str = "true") -> DataFrame:
+def neighbour_pairs(grid: Grid, left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
     """Pairs of rows in different cells whose boxes come within the radius.
 
-    ``only`` is a cheap condition on the pair, checked before the boxes.
+    ``once`` keeps the pairs whose left cell comes first, in the order of cells.
 
     Rows meet in blocks of cells: the left side lies in its own block, the right side
     is copied to the one or two blocks per axis that its reach touches.  A block holds
-    a bounded number of cells, so blocks cannot be skewed by dense places.
+    a bounded number of cells, so blocks cannot be skewed by dense places.  They are
+    sorted by one hash; the copies of a row lie in adjacent blocks, so the last bits of
+    a block's numbers tell them apart even if two blocks have the same hash.
     """
     blocks = [f"_b{c}" for c in CELL]
+    on = ["_block", *grid.keys]
+    block = f"xxhash64({', '.join(blocks)}) AS _block"
+    bits = " + ".join(f"{1 << i} * ({b} & 1)" for i, b in enumerate(blocks))
     lhs = prefixed(left, "a", grid.keys).selectExpr(
         "*", *[f"shiftright(a_{c}, {BLOCK_BITS}) AS {b}" for b, c in zip(blocks, CELL)]
     )
     rhs = prefixed(right, "b", grid.keys)
-    for b, c in zip(blocks, CELL):
-        low, high = (f"shiftright(b_{c} {sign} {REACH}, {BLOCK_BITS})" for sign in "-+")
+    for i, (b, c) in enumerate(zip(blocks, CELL)):
+        low = f"shiftright(b_{c} - {REACH}, {BLOCK_BITS})"
+        # No left cell that comes first is further on along the first axis.
+        high = f"shiftright(b_{c} + {0 if once and i == 0 else REACH}, {BLOCK_BITS})"
         rhs = rhs.selectExpr("*", f"explode(sequence({low}, {high})) AS {b}")
+    lhs = lhs.selectExpr("*", block, f"CAST({bits} AS TINYINT) AS _a_bits").drop(*blocks)
+    rhs = rhs.selectExpr("*", block, f"CAST({bits} AS TINYINT) AS _b_bits").drop(*blocks)
     close = " AND ".join(f"abs(a_{c} - b_{c}) <= {REACH}" for c in CELL)
-    same = " AND ".join(f"a_{c} = b_{c}" for c in CELL)
+    kept = f"NOT ({' AND '.join(f'a_{c} = b_{c}' for c in CELL)})"
+    if once:
+        kept = "false"
+        for c in reversed(CELL):
+            kept = f"(a_{c} < b_{c} OR (a_{c} = b_{c} AND {kept}))"
     # The box tests are the heavy part, so they run spread by block even if Spark would
     # broadcast the other side.
     return (
-        lhs.repartition(*grid.keys, *blocks)
-        .join(rhs, grid.keys + blocks)
-        .filter(f"({only}) AND {close} AND NOT ({same}) AND {grid.possible('a', 'b')}")
-        .drop(*blocks)
+        lhs.repartition(*on)
+        .join(rhs, on)
+        .filter(f"_a_bits - _b_bits = 0 AND {close} AND {kept} AND {grid.possible('a', 'b')}")
+        .drop("_block", "_a_bits", "_b_bits")
     )
 
 
@@ -180,7 +193,7 @@ def _links(grid: Grid, points: DataFrame, cells: DataFrame, ws: Workspace) -> tu
     """Pairs ``src, dst`` of cells that surely hold a near pair of points, and the large pairs still undecided."""
     slim = cells.drop("sum_lat", "sum_lng")
     # One near pair is enough, and the samples may be one; where boxes say that all pairs are near, they are.
-    pairs = neighbour_pairs(grid, slim, slim, "a_node < b_node").selectExpr(
+    pairs = neighbour_pairs(grid, slim, slim, once=True).selectExpr(
         *grid.keys, "a_node", "b_node", "a_n", "b_n", *[f"{s}_{c}" for s in "ab" for c in CELL],
         f"CASE WHEN {grid.near('a', 'b')} THEN true WHEN {grid.single('a')} AND {grid.single('b')} THEN false END AS near",
     )

@@ -17,6 +17,11 @@ whole region is recomputed as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardlight.functions import geo
@@ -33,6 +38,8 @@ from wardlight.workspace import Workspace
 
 #: log2 of the cells per tile edge.
 TILE_BITS = 5
+#: Tables of a batch that are written side by side, while it goes on.
+WRITERS = 4
 
 _REPORT = "ord long, category string, districtId string, lat double, lng double, severity double"
 _CELL = "cx long, cy long, cz long"
@@ -82,22 +89,28 @@ class LiveHotspots:
             "CAST(severity AS DOUBLE) AS severity",
         )
         slim = ws.write(slim, "batch")
-        placed = self.grid.place(slim.filter(located)).join(slim.select("ord", "category", "districtId", "severity"), "ord")
+        placed = replace(self.grid, keys=["category", "districtId", "severity"]).place(slim.filter(located))
         rows = ws.write(placed.withColumn("bucket", self._tile(*CELL)), "placed")
 
         cells, moved, tiles = self._merge_places(change, rows, ws)
         # Cells of the batch's places; every other stored report stays unread.
         hit = ws.write(cells.filter("hit").select(*CELL, "place", "bucket"), "hit")
         stored = change.read("reports", tiles).drop("bucket")
-        again = ws.write(joins.lookup(stored, hit.select(*CELL, "place"), CELL), "again")
-        fresh = rows.select(*stored.columns).join(hit.select(*CELL, "place"), CELL)
-        mine = ws.write(again.unionByName(fresh), "mine")
-
-        change.append("reports", rows)
-        change.replace("cells", cells, tiles)
-        self._replace_results(change, mine, hit, moved, slim.filter(~located), version, ws)
+        with ThreadPoolExecutor(WRITERS) as writers:
+            writes = []
+
+            def beside(write: Callable[..., None], *what) -> None:
+                writes.append(writers.submit(inheritable_thread_target(self.spark)(write), *what))
+
+            beside(change.append, "reports", rows)
+            beside(change.replace, "cells", cells, tiles)
+            both = stored.unionByName(rows.select(*stored.columns))
+            mine = ws.write(joins.lookup(both, hit.select(*CELL, "place"), CELL), "mine")
+            self._replace_results(change, mine, hit, moved, slim.filter(~located), version, ws, beside)
+        for written in writes:
+            written.result()
         change.commit()
-        return {"read": again.count(), "added": slim.count()}
+        return {"read": mine.count() - rows.count(), "added": slim.count()}
 
     def _tile(self, x: str, y: str, z: str):
         return bucket_of(*[F.shiftright(F.col(c), TILE_BITS) for c in (x, y, z)], buckets=self.buckets)
@@ -144,27 +157,31 @@ class LiveHotspots:
     def _buckets_of(self, places: DataFrame) -> list[int]:
         return [r.b for r in places.select(self._bucket(places.columns[0]).alias("b")).distinct().collect()]
 
-    def _replace_results(self, change, mine, hit, moved, lost, version, ws) -> None:
+    def _replace_results(self, change, mine, hit, moved, lost, version, ws, beside) -> None:
         unique = ws.write(dedup_reports(mine, self.duplicate_radius_m, ws), "unique")
-        clusters = dbscan(unique, self.radius_m, self.min_points, ws).labelled()
-        clusters = clusters.join(unique.select(F.col("ord").alias("label"), "place"), "label")
-        places = hit.groupBy("place").agg(F.sort_array(F.collect_set("bucket")).alias("tiles"))
         # Rows without coordinates are nobody's neighbours; each batch has a name for its own.
         lost = lost.withColumn("place", F.lit(-1 - version).cast("long"))
         counts = ws.write(_counts(mine.unionByName(lost, allowMissingColumns=True), unique.unionByName(lost, allowMissingColumns=True)), "counts")
-
         gone = moved.select("place").union(counts.select("place")).distinct()
         buckets = self._buckets_of(gone)
-        for table, rows in (
-            ("places", places), ("unique", unique.select("place", "ord")), ("counts", counts), ("clusters", clusters),
-        ):
+
+        def after(table: str, rows: DataFrame) -> DataFrame:
             others = change.read(table, buckets).join(gone, "place", "left_anti")
-            rows = others.unionByName(rows.withColumn("bucket", self._bucket()))
-            if table == "counts":
-                rows = ws.write(rows, "allcounts")
-                totals = rows.groupBy("bucket", "districtId", "category").agg(*[F.sum(c).alias(c) for c in _SUMS])
-                change.replace("totals", totals, buckets)
-            change.replace(table, rows, buckets)
+            return others.unionByName(rows.withColumn("bucket", self._bucket()))
+
+        def replace_counts() -> None:
+            rows = ws.write(after("counts", counts), "allcounts")
+            totals = rows.groupBy("bucket", "districtId", "category").agg(*[F.sum(c).alias(c) for c in _SUMS])
+            change.replace("totals", totals, buckets)
+            change.replace("counts", rows, buckets)
+
+        places = hit.groupBy("place").agg(F.sort_array(F.collect_set("bucket")).alias("tiles"))
+        beside(change.replace, "places", after("places", places), buckets)
+        beside(change.replace, "unique", after("unique", unique.select("place", "ord")), buckets)
+        beside(replace_counts)
+        clusters = dbscan(unique, self.radius_m, self.min_points, ws).labelled()
+        clusters = clusters.join(unique.select(F.col("ord").alias("label"), "place"), "label")
+        change.replace("clusters", after("clusters", clusters), buckets)
 
     # -- results -----------------------------------------------------------------------
 
