@@ -71,6 +71,49 @@ def test_near_copies(spark, seed):
     assert {tuple(r) for r in nj.near_duplicates(df).collect()} == _components(docs)
 
 
+class _Tables(Workspace):
+    """Keeps the written tables."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.tables = {}
+
+    def write(self, df, label):
+        self.tables[label] = super().write(df, label)
+        return self.tables[label]
+
+
+def test_copies_alone_are_not_compared(spark):
+    """Equal sets are one class, and only classes with other partners are compared."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
+    near = texts[0].replace("w0x59", "edited")
+    docs = [(k, t) for k, t in enumerate(texts * 3)] + [(100, near), (101, None), (None, texts[1])]
+    ws = _Tables(spark)
+    out = nj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), workspace=ws)
+    assert {r["node"] for r in ws.tables["survivors"].collect()} == {0, 100}
+    mine = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.filter("doc_id is not null").collect()}
+    assert mine == _components(docs[:-1])
+
+
+def test_only_texts_that_share_are_searched():
+    """A text without any n-gram of an item gets no signatures; the pairs found stay the same."""
+    item = " ".join(f"i{j}" for j in range(30))
+    texts = ["", "no such words in here at all", f"before {item} after", None, "i1 i2 i3", item]
+    items = dc.Items(*dc._item_sets([(7, item)], 5))
+    (block,) = dc.ta.blocks(pa.array(texts, pa.string()))
+    grams = dc.ta.shingles(*block.words(), 5)
+    assert items.sharing(*grams).tolist() == [2, 5]
+    assert items.candidates(*grams) == {(2, 0), (5, 0)}
+    assert dc.Items([], []).candidates(*grams) == set()
+
+
+def test_distinct_hashes():
+    hashes = np.array([3, 1, 3, 1, 1, 9, 9], np.uint64)
+    out, begins = dc.ta.distinct(hashes, np.array([0, 0, 3, 5, 5, 7, 7]))
+    assert out.tolist() == [1, 3, 1, 9] and begins.tolist() == [0, 0, 2, 3, 3, 4, 4]
+    assert hashes.tolist() == [3, 1, 3, 1, 1, 9, 9]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm import textarrays as ta
@@ -41,6 +42,7 @@ class Items:
 
     def __init__(self, ids: list[int], sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
+        self.grams = pa.array(np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)])))
         self.partitions: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size_of = [max(LEAST, 1 << (len(s) - 1).bit_length()) for s in sets]
         for size in sorted(set(size_of)):
@@ -52,17 +54,27 @@ class Items:
                 tables.append((least[order], own[order]))
             self.partitions[size] = tables
 
+    def sharing(self, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The texts that share any n-gram with an item; equal minima are equal n-grams."""
+        known = pc.is_in(pa.array(hashes), value_set=self.grams).to_numpy(zero_copy_only=False)
+        shared = np.append(0, np.cumsum(known))
+        return np.flatnonzero(shared[begins[1:]] > shared[begins[:-1]])
+
     def candidates(self, hashes: np.ndarray, begins: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs that share a minimum in some window."""
         found: set[tuple[int, int]] = set()
-        if not len(hashes):
+        # Most texts share nothing, and need no signatures.
+        texts = self.sharing(hashes, begins)
+        if not len(texts):
             return found
-        counts = np.diff(begins)
+        counts = np.diff(begins)[texts]
+        hashes = hashes[ta.ranges(begins[texts], counts)]
+        begins = np.append(0, np.cumsum(counts))
         layouts = {}
         for size in self.partitions:
             runs = -(-counts // size)
             starts = np.repeat(begins[:-1], runs) + size * ta.ranges(np.zeros(len(runs), np.int64), runs)
-            text = np.repeat(np.arange(len(counts)), runs)
+            text = np.repeat(texts, runs)
             pairs = np.flatnonzero(text[1:] == text[:-1])
             alone = np.flatnonzero(np.repeat(runs == 1, runs))
             layouts[size] = starts, text, pairs, alone

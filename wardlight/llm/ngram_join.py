@@ -97,18 +97,15 @@ def with_partners(documents: DataFrame, total: int, words: int, percent: int) ->
             yield _blobs(waiting, number, columns)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = [np.frombuffer(d, "<u4") for d in pdf["hashes"]]
-        ordered = np.sort(np.concatenate(data))
-        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        out = []
-        for own, sizes in zip(data, pdf["sizes"]):
-            ends = np.cumsum(np.frombuffer(sizes, "<u4"))
-            if len(again):
-                at = np.minimum(np.searchsorted(again, own), len(again) - 1)
-                seen = np.concatenate([[0], np.cumsum(again[at] == own)])
-            else:
-                seen = np.zeros(len(own) + 1, np.int64)
-            out.append(np.diff(seen[ends], prepend=0).astype("<u4").tobytes())
+        hashes = np.concatenate([np.frombuffer(d, "<u4") for d in pdf["hashes"]])
+        again = pd.Series(hashes).duplicated(keep=False).to_numpy()
+        seen = np.append(0, np.cumsum(again))
+        # The texts of all blobs, one after another.
+        sizes = [np.frombuffer(s, "<u4") for s in pdf["sizes"]]
+        ends = np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        shared = np.diff(seen[ends], prepend=0).astype("<u4")
+        cuts = np.cumsum([len(s) for s in sizes])
+        out = [shared[end - len(s) : end].tobytes() for s, end in zip(sizes, cuts)]
         return pd.DataFrame({"block": pdf["block"], "ids": pdf["ids"], "shared": out})
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,11 +259,12 @@ def near_duplicates(
     sets = ws.write(ngram_sets(documents, words), "sets")
     usable = sets.filter("doc_id is not null and n > 0")
     classes = ws.write(usable.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
-    total = usable.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    survivors = ws.write(
-        classes.join(with_partners(documents, total, words, percent), "node", "left_semi"), "survivors"
-    )
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     texts = _texts(documents)
+    # A class's first document stands for all its copies, so that they are no partners of each other.
+    nodes = classes.select(F.col("node").alias("doc_id"))
+    ones = without_ids(texts, sets.select("doc_id").join(nodes, "doc_id", "left_anti"), ws)
+    survivors = ws.write(classes.join(with_partners(ones, total, words, percent), "node", "left_semi"), "survivors")
     few = survivors.select(F.col("node").alias("doc_id")).distinct()
     if few.count() <= BROADCAST_IDS:
         few = F.broadcast(few)

@@ -53,17 +53,21 @@ def grams(words_: ta.Block) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(words_.offsets)
     to = words_.offsets[:-1] + 2 * np.arange(len(sizes))
     data = np.full(len(words_.data) + 2 * len(sizes), ord("<"), np.uint8)
-    data[ta.ranges(to + 1, sizes)] = ta.lowered(words_.data)
     data[to + sizes + 1] = ord(">")
+    marks = np.zeros(len(data), bool)
+    marks[to] = marks[to + sizes + 1] = True
+    data[~marks] = ta.lowered(words_.data)
     marked = ta.Block(0, data, np.append(to, len(data)))
-    begins, ends, owners = [to], [to + sizes + 2], [np.arange(len(sizes))]
+    # Of each byte: its word, and where that ends.
+    word = np.repeat(np.arange(len(sizes)), sizes + 2)
+    limit = (to + sizes + 2)[word]
+    hashes, owners = [marked.spans(to, to + sizes + 2)], [np.arange(len(sizes))]
     for n in GRAMS:
-        count = np.maximum(0, sizes + 3 - n)
-        begins.append(ta.ranges(to, count))
-        ends.append(begins[-1] + n)
-        owners.append(np.repeat(owners[0], count))
-    rows = marked.spans(np.concatenate(begins), np.concatenate(ends)) % np.uint64(BUCKETS)
-    return rows.astype(np.int32), np.concatenate(owners)
+        inside = np.flatnonzero(np.arange(n, len(data) + 1) <= limit[: max(0, len(data) - n + 1)])
+        hashes.append(marked.runs(n)[inside])
+        owners.append(word[inside])
+    # A power of two: the lowest bits are the remainder.
+    return (np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int32), np.concatenate(owners)
 
 
 @dataclass
@@ -79,7 +83,9 @@ class Model:
         for block in ta.blocks(texts):
             begin, end = block.word_spans(_APART)
             number = np.searchsorted(begin, block.offsets)
-            _, first, word = np.unique(block.spans(begin, end, lower=True), return_index=True, return_inverse=True)
+            # Words are numbered as they appear.
+            word = pa.array(block.spans(begin, end, lower=True)).dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(word), prepend=-1))
             sizes = (end - begin)[first]
             own = ta.Block(0, block.data[ta.ranges(begin[first], sizes)], np.append(0, np.cumsum(sizes)))
             rows, owner = grams(own)
@@ -100,7 +106,7 @@ class Sample:
         self.counts: list[np.ndarray] = []
         self.labels: list[int] = []
 
-    def add(self, words_: list[bytes], counts: list[int], label: int) -> None:
+    def add(self, words_: list[bytes], counts: list[int] | np.ndarray, label: int) -> None:
         if words_:
             number = self.vocabulary.setdefault
             self.words.append(np.array([number(w, len(self.vocabulary)) for w in words_], np.int32))
@@ -110,7 +116,9 @@ class Sample:
 
 def _means(table: np.ndarray, rows: np.ndarray, share: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Weighted sums of table rows over groups that follow one another."""
-    return np.add.reduceat(table[rows] * share[:, None], begins, axis=0)
+    vectors = table.take(rows, axis=0)
+    vectors *= share[:, None]
+    return np.add.reduceat(vectors, begins, axis=0)
 
 
 def _spread(gradient: np.ndarray, group: np.ndarray, rows: np.ndarray, share: np.ndarray, height: int) -> np.ndarray:
@@ -236,7 +244,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE)
         sample = Sample()
         for batch in batches:
             for own, counted, label in zip(*(batch.column(c) for c in ("words", "counts", "toxic"))):
-                sample.add(own.as_py(), counted.as_py(), label.as_py())
+                sample.add(own.as_py(), counted.values.to_numpy(), label.as_py())
         model = train(sample, share)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.bucket_scores.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["scores", "bias"]
